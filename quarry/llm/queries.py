@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat, exact_dedup, url_filter
+from quarry.llm import chat, exact_dedup, jaccard, url_filter
 
 
 def _table(spark, sf_dir, name):
@@ -13,6 +13,10 @@ def op1_chat_format(spark, sf_dir):
     return chat.chat_query(_table(spark, sf_dir, "conversations"))
 
 
+def op5_jaccard(spark, sf_dir):
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark, sf_dir):
     return url_filter.url_query(_table(spark, sf_dir, "pages"))
 
@@ -22,7 +26,7 @@ def op7_exact_dedup(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_chat_format, op6_url_filter, op7_exact_dedup)}
+    return {f.__name__: f for f in (op1_chat_format, op5_jaccard, op6_url_filter, op7_exact_dedup)}
 
 
 def oracle_sql():
