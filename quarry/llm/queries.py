@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat, exact_dedup, jaccard, url_filter
+from pyspark.sql import functions as F
+
+from quarry.llm import chat, exact_dedup, jaccard, line_dedup, url_filter
 
 
 def _table(spark, sf_dir, name):
@@ -25,8 +27,13 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"), keep="max")
 
 
+def op9_line_dedup(spark, sf_dir):
+    out = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_chat_format, op5_jaccard, op6_url_filter, op7_exact_dedup)}
+    return {f.__name__: f for f in (op1_chat_format, op5_jaccard, op6_url_filter, op7_exact_dedup, op9_line_dedup)}
 
 
 def oracle_sql():
@@ -34,4 +41,5 @@ def oracle_sql():
         "op1_chat_format": chat.ORACLE,
         "op6_url_filter": url_filter.ORACLE,
         "op7_exact_dedup": exact_dedup.ORACLE,
+        "op9_line_dedup": line_dedup.ORACLE,
     }
