@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, exact_dedup, jaccard, line_dedup, url_filter
+from quarry.llm import chat, exact_dedup, jaccard, line_dedup, quality, url_filter
 
 
 def _table(spark, sf_dir, name):
@@ -15,6 +15,10 @@ def op1_chat_format(spark, sf_dir):
     return chat.chat_query(_table(spark, sf_dir, "conversations"))
 
 
+def op4_quality(spark, sf_dir):
+    return quality.quality_query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_jaccard(spark, sf_dir):
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -33,7 +37,7 @@ def op9_line_dedup(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_chat_format, op5_jaccard, op6_url_filter, op7_exact_dedup, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_chat_format, op4_quality, op5_jaccard, op6_url_filter, op7_exact_dedup, op9_line_dedup)}
 
 
 def oracle_sql():
