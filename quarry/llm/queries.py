@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, exact_dedup, jaccard, line_dedup, quality, url_filter
+from quarry.llm import chat, exact_dedup, jaccard, line_dedup, packing, quality, url_filter
 
 
 def _table(spark, sf_dir, name):
@@ -15,6 +15,16 @@ def op1_chat_format(spark, sf_dir):
     return chat.chat_query(_table(spark, sf_dir, "conversations"))
 
 
+def tokenizer_path():
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_packing(spark, sf_dir):
+    return packing.packing_query(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op4_quality(spark, sf_dir):
     return quality.quality_query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -37,7 +47,7 @@ def op9_line_dedup(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_chat_format, op4_quality, op5_jaccard, op6_url_filter, op7_exact_dedup, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_chat_format, op3_packing, op4_quality, op5_jaccard, op6_url_filter, op7_exact_dedup, op9_line_dedup)}
 
 
 def oracle_sql():
