@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, exact_dedup, jaccard, line_dedup, packing, quality, url_filter
+from quarry.llm import chat, exact_dedup, jaccard, line_dedup, packing, quality, url_filter, warc
 
 
 def _table(spark, sf_dir, name):
@@ -41,13 +41,17 @@ def op7_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"), keep="max")
 
 
+def op8_warc(spark, sf_dir):
+    return warc.warc_query(_table(spark, sf_dir, "pages"))
+
+
 def op9_line_dedup(spark, sf_dir):
     out = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def queries():
-    return {f.__name__: f for f in (op1_chat_format, op3_packing, op4_quality, op5_jaccard, op6_url_filter, op7_exact_dedup, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_chat_format, op3_packing, op4_quality, op5_jaccard, op6_url_filter, op7_exact_dedup, op8_warc, op9_line_dedup)}
 
 
 def oracle_sql():
@@ -55,5 +59,6 @@ def oracle_sql():
         "op1_chat_format": chat.ORACLE,
         "op6_url_filter": url_filter.ORACLE,
         "op7_exact_dedup": exact_dedup.ORACLE,
+        "op8_warc": warc.ORACLE,
         "op9_line_dedup": line_dedup.ORACLE,
     }
