@@ -46,9 +46,11 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words [^ \\t-\\r]+ of each row, A-Z lower-cased, and n + 1 offsets
-    of the rows in them. Works on pieces of about CHUNK bytes that end at white space,
+def word_hashes(data: np.ndarray, at: np.ndarray, apart: np.ndarray = WHITE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of each row, A-Z lower-cased, and n + 1 offsets of the rows in
+    them. Words are runs of bytes that are not in the table apart, white space if not
+    given. With prefixes the hashes have a column for each word and one for each prefix
+    of so many bytes (0 where the word is not longer). Works on pieces of about CHUNK bytes that end at white space,
     so a long text needs no more memory than its words."""
     hashes, counts = [], np.zeros(len(at) - 1, np.int64)
     first = np.zeros(len(data) + 1, bool)
@@ -56,10 +58,10 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     begin = 0
     while begin < len(data):
         end = min(begin + CHUNK, len(data))
-        while end < len(data) and not WHITE[data[end]] and not first[end]:
+        while end < len(data) and not apart[data[end]] and not first[end]:
             end += 1
         part = data[begin:end]
-        solid = ~WHITE[part]
+        solid = ~apart[part]
         start = solid.copy()
         start[1:] &= ~solid[:-1] | first[begin + 1 : end]
         starts = np.flatnonzero(start)
@@ -68,11 +70,20 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
             inside = np.arange(starts[0], len(part)) - np.repeat(starts, length)
             value = (LOWER[part[starts[0] :]].astype(np.uint64) + np.uint64(1)) * solid[starts[0] :]
             value *= powers(int(length.max()))[inside]
-            hashes.append(mix(np.add.reduceat(value, starts - starts[0])))
+            here = mix(np.add.reduceat(value, starts - starts[0]))
+            if prefixes:
+                columns = [here]
+                for n in prefixes:
+                    short = np.add.reduceat(np.where(inside < n, value, 0), starts - starts[0])
+                    long = np.add.reduceat(solid[starts[0] :].astype(np.int64), starts - starts[0]) > n
+                    columns.append(np.where(long, mix(short + np.uint64(n)), np.uint64(0)))
+                here = np.stack(columns, axis=1)
+            hashes.append(here)
             row = np.searchsorted(at, starts + begin, "right") - 1
             counts += np.bincount(row, minlength=len(counts))
         begin = end
-    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(counts)])
+    none = np.zeros((0, 1 + len(prefixes)) if prefixes else 0, np.uint64)
+    return (np.concatenate(hashes) if hashes else none), np.concatenate([[0], np.cumsum(counts)])
 
 
 def shingle_sets(column: pa.Array, k: int, budget: int = 1 << 22) -> Iterator[tuple[int, np.ndarray]]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, exact_dedup, jaccard, line_dedup, packing, quality, url_filter, warc
+from quarry.llm import chat, exact_dedup, jaccard, line_dedup, packing, quality, toxicity, url_filter, warc
 
 
 def _table(spark, sf_dir, name):
@@ -15,6 +15,10 @@ def op1_chat_format(spark, sf_dir):
     return chat.chat_query(_table(spark, sf_dir, "conversations"))
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity.toxicity_query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def tokenizer_path():
     import public_tokenizers
 
@@ -51,7 +55,7 @@ def op9_line_dedup(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_chat_format, op3_packing, op4_quality, op5_jaccard, op6_url_filter, op7_exact_dedup, op8_warc, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_chat_format, op2_toxicity, op3_packing, op4_quality, op5_jaccard, op6_url_filter, op7_exact_dedup, op8_warc, op9_line_dedup)}
 
 
 def oracle_sql():
