@@ -134,9 +134,9 @@ def train_severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return Severity(features, *fit(x, graded(x, toxic)))
 
 
-def score_severity(docs: DataFrame, model: Severity, text_col: str = "text") -> DataFrame:
+def score_severity(docs: DataFrame, model: Severity, text_col: str = "text", flag_at: float = 0.3) -> DataFrame:
     """docs with expected_severity (0 to GRADES - 1), severity (the likeliest grade) and
-    toxic (1 where a grade above 0 is likelier than not) for each whole text.
+    toxic (1 where a grade above 0 has probability flag_at or more) for each whole text.
 
     Null and empty texts have the severity of no words. Columns of these names are
     replaced; other columns stay.
@@ -146,7 +146,7 @@ def score_severity(docs: DataFrame, model: Severity, text_col: str = "text") ->
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text = fresh(own, "scored_text")
     frame = docs.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{text_col}`").cast("string").alias(text))
-    schema = frame.drop(text).schema.add("expected_severity", "double").add("severity", "int").add("toxic", "int")
+    schema = frame.drop(text).schema.add("expected_severity", "double").add("severity", "integer").add("toxic", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -156,7 +156,7 @@ def score_severity(docs: DataFrame, model: Severity, text_col: str = "text") ->
                 above = known.above(matrix(batch[text], known.features).astype(np.float64))
                 edge = np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], axis=1)
                 grade = (edge[:, :-1] - edge[:, 1:]).argmax(axis=1).astype(np.int32)
-                values = [pa.array(above.sum(axis=1)), pa.array(grade), pa.array((above[:, 0] >= 0.5).astype(np.int32))]
+                values = [pa.array(above.sum(axis=1)), pa.array(grade), pa.array((above[:, 0] >= flag_at).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([*[batch[c] for c in own], *values], [*own, *added])
 
     return frame.mapInArrow(run, schema)
