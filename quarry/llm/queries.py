@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, exact_dedup, jaccard, line_dedup, packing, quality, toxicity, url_filter, warc
+from quarry.llm import chat, decontam, exact_dedup, jaccard, line_dedup, packing, quality, toxicity, url_filter, warc
 
 
 def _table(spark, sf_dir, name):
@@ -54,8 +54,12 @@ def op9_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_decontaminate(spark, sf_dir):
+    return decontam.decontamination_query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_chat_format, op2_toxicity, op3_packing, op4_quality, op5_jaccard, op6_url_filter, op7_exact_dedup, op8_warc, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_chat_format, op2_toxicity, op3_packing, op4_quality, op5_jaccard, op6_url_filter, op7_exact_dedup, op8_warc, op9_line_dedup, op10_decontaminate)}
 
 
 def oracle_sql():
