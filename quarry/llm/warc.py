@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import shared_path
+from quarry.llm.common import shared_path, small_batches, staged
 
 #: Fixed values of the formats: magic numbers and the record's version line.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -53,24 +53,29 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     response and the others are revisits of it; of rows that repeat this id one is the
     response. A null id is the smallest. Equal means equal SHA-1 and length.
 
-    Payloads are shuffled once, by id and digest, so a payload that many pages share is
-    spread. A file ends past roll_bytes of payload; its dictionary is trained on its own
+    Payloads stay in the partitions they are read in if the rows that share a payload are
+    few enough for Spark to broadcast (a staged table of ids and digests); else they are
+    joined by id and digest, so a payload that many pages share is spread. A file ends past roll_bytes of payload; its dictionary is trained on its own
     first records and leads it in a skippable frame. A file is written under a name of
     its attempt and then renamed; a failed attempt leaves no archive. Only pyarrow's own
     file systems are written to (local, HDFS, S3, GCS).
     """
+    small_batches(pages.sparkSession)
     key = [F.col("digest"), F.col("bytes")]
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit(""))
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.length("payload"))
     best = (F.max if keep == "max" else F.min)(F.struct(F.col("id").isNotNull().alias("known"), "id"))
     kept = rows.where(F.col("bytes") >= min_bytes).groupBy(*key).agg(best.alias("kept"), F.count("*").alias("n")).where("n > 1")
-    # one row for each id and payload, so that no payload is a key of the large join
-    told = rows.select("id", *key).distinct().join(kept, ["digest", "bytes"]).select(F.col("id").alias("id_"), F.col("digest").alias("digest_"), F.col("kept.id").alias("first"), F.lit(True).alias("shared"))
+    # one row for each id and payload; few, as a rule, and then broadcast by Spark
+    told = rows.groupBy("id", *key).agg(F.count("*").alias("rows")).join(kept, ["digest", "bytes"])
+    told = staged(told.select(F.col("id").alias("id_"), F.col("digest").alias("digest_"), F.col("kept.id").alias("first"), "rows"), "revisits")
     all_ = rows.join(told, F.col("id").eqNullSafe(F.col("id_")) & (F.col("digest") == F.col("digest_")), "left")
+    is_first = F.col("rows").isNull() | F.col("id").eqNullSafe(F.col("first"))
+    again = F.coalesce(F.col("rows") > 1, F.lit(False)) & is_first
     turn = F.row_number().over(Window.partitionBy("id", "digest").orderBy("id", "digest"))
-    is_first = F.col("shared").isNull() | (F.col("id").eqNullSafe(F.col("first")) & (turn == 1))
-    ready = all_.select(F.col("id").cast("string").alias("id"), "url", "payload", is_first.alias("response"), F.col("first").cast("string").alias("first"))
+    all_ = all_.where(~again).withColumn("is_first", is_first).unionByName(all_.where(again).withColumn("is_first", turn == 1))
+    ready = all_.select(F.col("id").cast("string").alias("id"), "url", "payload", F.col("is_first").alias("response"), F.col("first").cast("string").alias("first"))
     return ready.mapInArrow(_written(path, roll_bytes, dictionary_bytes), "archive string, records long")
 
 
