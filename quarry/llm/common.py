@@ -37,6 +37,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of whole texts small: 512 rows and 8 MiB, where the session
+    allows more."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 512), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = spark.conf.get(key)
+        size = int(now) if now.lstrip("-").isdigit() else 1 << 62
+        if not 0 < size <= most:
+            spark.conf.set(key, str(most))
+
+
 def fresh(columns: list[str], stem: str) -> str:
     """A column name that none of columns has, whatever their case."""
     taken = {c.lower() for c in columns}

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.bytewords import utf8
-from quarry.llm.common import fresh, staged
+from quarry.llm.common import fresh, small_batches, staged
 
 HASHES = 3
 CHUNK_BITS = 20
@@ -49,6 +49,7 @@ def drop_repeated_lines(
     """
     if min_documents < 2:
         raise ValueError("min_documents is 2 at least")
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("t64"))
     lines = rows.select(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0

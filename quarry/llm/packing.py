@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import staged
+from quarry.llm.common import small_batches, staged
 from quarry.llm.tokens import tokenizer
 
 K1, B = 1.2, 0.75
@@ -50,6 +50,7 @@ def pack_documents(
     kind = dict(docs.select(F.col(f"`{id_col}`").alias("id")).dtypes)["id"]
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     spark = docs.sparkSession
+    small_batches(spark)
     tokens = staged(rows.mapInArrow(_encoded(tokenizer_path, end_id), f"id {kind}, ids binary"), "tokens")
     df = np.zeros(1 << 16)
     counted = tokens.select("ids").mapInArrow(_frequencies, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))

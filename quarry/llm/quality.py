@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.bytewords import utf8
-from quarry.llm.common import fresh
+from quarry.llm.common import fresh, small_batches
 
 WIDTH, STRIDE, CHUNK, EMBED, FILTERS = 8, 2, 512, 8, 24
 #: A byte is marked as an echo when it ends SAME bytes that also stand up to FAR bytes before.
@@ -210,6 +210,7 @@ def score_quality(docs: DataFrame, net: ByteConv, text_col: str = "text", score_
     """docs with a score from 0 to 1 for each whole text; null and empty texts have the
     score of no chunks. A column of that name is replaced, other columns stay."""
     own = [c for c in docs.columns if c.lower() != score_col.lower()]
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
     text = fresh(own, "scored_text")
     frame = docs.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{text_col}`").cast("string").alias(text))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.bytewords import utf8, word_hashes
-from quarry.llm.common import fresh
+from quarry.llm.common import fresh, small_batches
 from quarry.llm.quality import held_out
 
 #: Words are runs of letters: ASCII letters and all bytes of other characters.
@@ -143,6 +143,7 @@ def score_severity(docs: DataFrame, model: Severity, text_col: str = "text", fla
     """
     added = ("expected_severity", "severity", "toxic")
     own = [c for c in docs.columns if c.lower() not in added]
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text = fresh(own, "scored_text")
     frame = docs.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{text_col}`").cast("string").alias(text))
