@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quarry.plans import searches
+
+MODULES = (searches,)
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return {name: query for m in MODULES for name, query in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return dict(ORACLES)
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
