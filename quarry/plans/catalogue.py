@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.plans import searches
+from quarry.plans import histories, searches
 
-MODULES = (searches,)
+MODULES = (searches, histories)
 
 
 def queries() -> dict:
