@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.plans import histories, searches
+from quarry.plans import graphs, histories, searches, texts
 
-MODULES = (searches, histories)
+MODULES = (searches, histories, texts, graphs)
 
 
 def queries() -> dict:
