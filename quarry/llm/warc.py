@@ -229,7 +229,7 @@ def warc_query(pages: DataFrame) -> DataFrame:
     """Writes all pages, reads the archives back and tells about each record."""
     spark = pages.sparkSession
     path = shared_path(spark, "warc")
-    names = shared_path(spark, "warc-names")
+    names = f"{path}/names"
     write_archives(pages, path).write.parquet(names)
     got = read_archives(spark, path, spark.read.parquet(names))
     page = lambda c: F.when(F.col(c) != "urn:page:None", F.substring(c, 10, 20).cast("long"))
