@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 
 def admit_once(events: DataFrame, id_col: str, time_col: str, delay: str = "1 day") -> DataFrame:
@@ -76,7 +77,7 @@ def limit_rate(events: DataFrame, key: str, time_col: str, most: int, window: st
         state.update((int(begin), int(n)))
         yield rows.assign(allowed=allowed)
 
-    schema = events.schema.add("allowed", "boolean")
+    schema = StructType([*events.schema.fields, StructField("allowed", BooleanType())])
     return events.groupBy(key).applyInPandasWithState(run, schema, "begin long, n long", "append", GroupStateTimeout.NoTimeout)
 
 
