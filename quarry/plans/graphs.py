@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from quarry.operators import graph, resolve
@@ -62,7 +60,7 @@ def rate_windows(spark, sf_dir):
 
 def stream_dedup(spark, sf_dir):
     """The events table twice through a file stream; every event is admitted once."""
-    path = "file://" + tempfile.mkdtemp(prefix="quarry-stream-")
+    path = graph.shared_path(spark, "stream")
     rows = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
     rows.unionByName(rows).write.mode("overwrite").parquet(f"{path}/in")
     stream = messages.admit_once(spark.readStream.schema(rows.schema).parquet(f"{path}/in"), "event_id", "ts", "60 days")
