@@ -65,7 +65,8 @@ def drop_repeated_lines(
     suspects = staged(rows.mapInArrow(_suspects(shared, bits, min_chars), f"id {dict(rows.dtypes)['id']}, t64 long, digest binary, positions array<int>"), "suspects")
     first = F.min(F.struct("id", "t64", F.array_min("positions").alias("at")))
     common = suspects.groupBy("digest").agg(F.count("*").alias("n"), first.alias("first")).where(F.col("n") >= min_documents)
-    hit = suspects.join(common, "digest")
+    # written, so that Spark knows its size and can split a digest that many rows have
+    hit = suspects.join(staged(common, "common"), "digest")
     if keep_first:
         here = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("t64") == F.col("first.t64"))
         hit = hit.withColumn("positions", F.when(here, F.filter("positions", lambda p: p != F.col("first.at"))).otherwise(F.col("positions")))
