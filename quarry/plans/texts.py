@@ -124,6 +124,9 @@ SQL = {
     "labeled_fields": L + f"q || '|big' AS size, 's' || l_suppkey AS owner, 2::BIGINT AS n {LINES}",
     "contacts_extract": L + f"'own' || l_suppkey || '@mail.example.com' AS email, 'user_' || l_orderkey AS telegram, '+8490' || lpad(l_partkey::VARCHAR, 7, '0') AS phone {LINES}",
     "language_detect": PICK("language", ("en", "ru", "vi", "unknown"), 4),
+    "document_language": r"""WITH s AS (SELECT doc_id, len(regexp_extract_all(text, '(?i)\b(?:apartment|available|bedroom|contact|deposit|for\s+rent|house|month|price|room)\b')) AS en,
+      CASE WHEN regexp_matches(text, '(?i)[ăâđêôơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉĩịọỏốồổỗộớờởỡợụủũứừửữựỳỵỷỹ]') THEN 2 ELSE 0 END AS vi FROM documents)
+      SELECT doc_id, CASE WHEN en = 0 AND vi = 0 THEN 'unknown' WHEN en >= vi THEN 'en' ELSE 'vi' END AS language FROM s""",
     "classify_posts": "SELECT label, sum(n)::BIGINT AS n FROM (" + PICK("label", ("request", "sale", "service", "commercial", "offer", "unrelated", "offer"), 7) + ") GROUP BY 1",
     "quote_bases": PICK("basis", ("property", "room", "bed", "person", "unknown", "bedroom"), 6),
     "url_canonical": r"""WITH p AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\.', '') AS host, lower(regexp_extract(url, '^([a-z]+)://', 1)) AS scheme,
