@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.bytewords import utf8, word_hashes
+from quarry.llm.bytewords import mix, utf8, word_hashes
 from quarry.llm.common import fresh, small_batches, staged
 
 #: Words are runs of ASCII letters and digits and of the bytes of other characters.
@@ -31,7 +31,10 @@ class Latent:
         n = max(1, -(-len(features) // STEP))
         blocks = np.zeros((n + 1, self.embed.shape[1]), np.float32)
         if len(features):
-            blocks[:n] = np.add.reduceat(self.embed[features], np.arange(0, len(features), STEP), axis=0)
+            rows = self.embed[features]
+            again, share = repeats(features)
+            rows[again] *= share[:, None]
+            blocks[:n] = np.add.reduceat(rows, np.arange(0, len(features), STEP), axis=0)
         both = blocks[:-1] + blocks[1:]
         both = both[: max(1, n - 1)]
         return both / np.maximum(np.linalg.norm(both, axis=1, keepdims=True), 1e-9)
@@ -52,6 +55,17 @@ def features_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(FEATURES - 1)).astype(np.int64)
 
 
+def repeats(features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of words that their block of STEP words has had before, and what each still
+    counts there: n equal words count as the root of n."""
+    key = np.arange(len(features)) // STEP * FEATURES + features
+    order = np.argsort(key, kind="stable")
+    new = np.diff(key[order], prepend=-1) != 0
+    nth = np.arange(len(key)) - np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+    again, nth = order[~new], nth[~new]
+    return again, (np.sqrt(nth + 1) - np.sqrt(nth)).astype(np.float32)
+
+
 def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     """In how many texts each feature is, and the number of texts, over all of them."""
     counted = texts.mapInArrow(_counted, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
@@ -74,11 +88,10 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(feature.astype(np.int32)), pa.array(n[feature])], ["feature", "n"])
 
 
-def fit_latent(texts: DataFrame, idf: np.ndarray, rank: int, lead: int = 2, spare: int = 4, rounds: int = 2, seed: int = 5) -> Latent:
+def fit_latent(texts: DataFrame, idf: np.ndarray, rank: int, spare: int = 4, rounds: int = 2, seed: int = 5) -> Latent:
     """Randomised SVD of the TF-IDF passages of texts: A'A is applied to a random block
     by all partitions together, rounds times, with a QR step after each; then the small
-    projected matrix gives the right singular vectors. The first lead ones, which all
-    passages of a language share, are left out."""
+    projected matrix gives the right singular vectors."""
     spark = texts.sparkSession
     block = np.linalg.qr(np.random.default_rng(seed).standard_normal((FEATURES, rank + spare)))[0].astype(np.float32)
     for last in [False] * rounds + [True]:
@@ -91,7 +104,7 @@ def fit_latent(texts: DataFrame, idf: np.ndarray, rank: int, lead: int = 2, spar
         if not last:
             block = np.linalg.qr(total)[0]
     values, turn = np.linalg.eigh((block.T @ total).astype(np.float64))
-    return Latent(idf.astype(np.float32)[:, None] * (block @ turn[:, np.argsort(-values)[lead:rank]].astype(np.float32)))
+    return Latent(idf.astype(np.float32)[:, None] * (block @ turn[:, np.argsort(-values)[:rank]].astype(np.float32)))
 
 
 def _applied(shared):
@@ -101,9 +114,12 @@ def _applied(shared):
         for batch in batches:
             for _, hashes in texts_of(batch["text"]):
                 features = features_of(hashes)
+                counts = np.ones(len(features))
+                again, share = repeats(features)
+                counts[again] = share
                 for begin in range(0, max(1, len(features) - STEP), STEP):
-                    here, n = np.unique(features[begin : begin + WINDOW], return_counts=True)
-                    row = idf[here] * n
+                    here, which = np.unique(features[begin : begin + WINDOW], return_inverse=True)
+                    row = idf[here] * np.bincount(which, counts[begin : begin + WINDOW], len(here))
                     size = np.sqrt((row**2).sum())
                     if size:
                         row = (row / size).astype(np.float32)
@@ -138,6 +154,92 @@ def holds(region: np.ndarray, answer: np.ndarray) -> bool:
     return bool(np.all([region[i : len(region) - n + 1 + i] == answer[i] for i in range(n)], axis=0).any())
 
 
+def rolled(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n neighbouring words."""
+    out = np.zeros(max(len(hashes) - n + 1, 0), np.uint64)
+    for j in range(n):
+        out = mix(out + hashes[j : j + len(out)])
+    return out
+
+
+def ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    size = end - begin
+    ends = np.cumsum(size)
+    return np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Lookup:
+    """Exact candidates: every passage around which an item can pass the checks.
+
+    Verbatim: an item of n words may lack n - t of them, so that around the passage there
+    are at least r - (n - t) places of its r rarest words (about half of it). Paraphrase:
+    the answer's words stand there in one piece. Both are looked up in inverted indexes,
+    so nothing depends on weights or on the latent space."""
+
+    def __init__(self, items: list[np.ndarray], vocabulary: np.ndarray, idf: np.ndarray, verbatim: float, answer_words: int):
+        rarity = idf[features_of(vocabulary)]
+        self.sizes = np.array([len(w) for w in items], np.int64)
+        self.need = np.zeros(len(items), np.int64)
+        term, owner = [], []
+        tails: dict[int, dict[int, list[int]]] = {}
+        for i, item in enumerate(items):
+            n = len(item)
+            if not n:
+                continue
+            kinds, often = np.unique(np.searchsorted(vocabulary, item), return_counts=True)
+            order = np.argsort(-rarity[kinds], kind="stable")
+            held = np.cumsum(often[order])
+            spared = n - int(np.ceil(verbatim * n - 1e-6))
+            take = int(np.searchsorted(held, min(n, max(n // 2, spared + 1)))) + 1
+            self.need[i] = held[take - 1] - spared
+            term.append(kinds[order[:take]])
+            owner.append(np.full(take, i))
+            tail = min(n, answer_words)
+            if tail:
+                tails.setdefault(tail, {}).setdefault(int(rolled(item[-tail:], tail)[0]), []).append(i)
+        term, self.owner = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (term, owner))
+        order = np.argsort(term, kind="stable")
+        self.owner = self.owner[order]
+        self.begin = np.searchsorted(term[order], np.arange(len(vocabulary) + 2))
+        self.tails = {n: (np.array(sorted(t), np.uint64), [t[k] for k in sorted(t)]) for n, t in tails.items()}
+
+    def passages(self, hashes: np.ndarray, at: np.ndarray, possible: np.ndarray, n_passages: int) -> dict[int, np.ndarray]:
+        """The passages of a text to check, by item."""
+        found: dict[int, np.ndarray] = {}
+        first = np.arange(n_passages) * STEP
+        begin, end = self.begin[at], self.begin[at + 1]
+        spot = np.repeat(np.arange(len(at)), end - begin)
+        item = self.owner[ranges(begin, end)]
+        keep = possible[item]
+        spot, item = spot[keep], item[keep]
+        order = np.argsort(item, kind="stable")
+        spot, item = spot[order], item[order]
+        bounds = np.searchsorted(item, np.arange(len(self.sizes) + 1))
+        for i in np.flatnonzero((np.diff(bounds) >= self.need) & possible).tolist():
+            here, need, n = spot[bounds[i] : bounds[i + 1]], max(int(self.need[i]), 1), int(self.sizes[i])
+            if not (here[need - 1 :] - here[: len(here) - need + 1] < WINDOW + 2 * n).any():
+                continue
+            hits = np.flatnonzero(np.searchsorted(here, first + WINDOW + n) - np.searchsorted(here, first - n) >= need)
+            if len(hits):
+                found[i] = hits
+        for tail, (known, owners) in self.tails.items():
+            pieces = rolled(hashes, tail)
+            if not len(pieces):
+                continue
+            place = np.minimum(np.searchsorted(known, pieces), len(known) - 1)
+            spots: dict[int, list[int]] = {}
+            for j in np.flatnonzero(known[place] == pieces).tolist():
+                for i in owners[place[j]]:
+                    if possible[i]:
+                        spots.setdefault(i, []).append(j)
+            for i, starts in spots.items():
+                here, n = np.array(starts), int(self.sizes[i])
+                hits = np.flatnonzero(np.searchsorted(here, first + WINDOW + n - tail, "right") > np.searchsorted(here, first - n))
+                found[i] = np.union1d(found[i], hits) if i in found else hits
+        return found
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -158,7 +260,9 @@ def find_leaks(
 
     Every passage of every text (WINDOW words every STEP words) is compared with every
     passage of every item in a latent space of rank dimensions; a cosine of least_cosine
-    makes a candidate. Candidates of which too many words are nowhere in the text can't
+    makes a candidate, and so do the item's rarest words and its answer, which are looked
+    up exactly (Lookup): an item that passes the checks is found whatever its words weigh
+    and however many texts hold it. Candidates of which too many words are nowhere in the text can't
     pass the checks and go at once, as do passages around which too many are missing. It is a leak if the longest common subsequence of the item and
     the text around the passage has the share verbatim of the item's words, or the share
     paraphrase and the item's answer, its last answer_words words, in one piece.
@@ -177,14 +281,14 @@ def find_leaks(
     if known.num_rows > most_items:
         raise ValueError(f"more than {most_items} benchmark items")
     df, total = document_frequencies(rows.select("text"))
-    idf = np.log((total + 1) / (df + 1))
-    idf[df > 0.2 * max(total, 20)] = 0
+    # above zero for every word
+    idf = np.log((total + 1) / (df + 0.5))
     # a text that a third of all rows share counts once
     chosen = rows.select("text").where(F.pmod(F.xxhash64("text"), F.lit(max(1, total // fit_texts))) == 0).distinct().repartition(2, F.xxhash64("text"))
     # staged, as the fit goes through them several times
     latent = fit_latent(staged(chosen.union(items.select("text").repartition(1)), "latent-texts"), idf, rank)
     words = [h for _, h in texts_of(known["text"].combine_chunks())] if known.num_rows else []
-    shared = spark.sparkContext.broadcast((latent, words))
+    shared = spark.sparkContext.broadcast((latent, words, idf))
     kind, item_kind = dict(rows.dtypes)["id"], dict(items.dtypes)["item"]
     found = rows.withColumn("hash", F.xxhash64("text")).mapInArrow(_matches(shared, least_cosine, verbatim, paraphrase, answer_words), f"id {kind}, text_hash long, item int, cosine double, common_share double, answer boolean, first_word long")
     named = spark.createDataFrame([(i, v) for i, v in enumerate(known["item"].to_pylist())], f"item int, {item_col} {item_kind}")
@@ -195,7 +299,7 @@ def find_leaks(
 
 def _matches(shared, least_cosine: float, verbatim: float, paraphrase: float, answer_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        latent, words = shared.value
+        latent, words, idf = shared.value
         vectors = [latent.passages(features_of(w)) for w in words]
         item_of = np.repeat(np.arange(len(words)), [len(v) for v in vectors])
         sides = np.concatenate(vectors).T.copy() if vectors else np.zeros((latent.embed.shape[1], 0), np.float32)
@@ -208,6 +312,8 @@ def _matches(shared, least_cosine: float, verbatim: float, paraphrase: float, an
         for a, b, tail in zip(bounds[:-1], bounds[1:], tails, strict=True):
             kinds, often = np.unique(places[a:b], return_counts=True)
             kinds_of.append((kinds, often, np.searchsorted(kinds, places[b - tail : b])))
+        lookup = Lookup(words, vocabulary, idf, verbatim, answer_words)
+        sides_of = np.concatenate([[0], np.cumsum([len(v) for v in vectors])]).astype(np.int64)
         for batch in batches:
             got: list[tuple] = []
             for row, hashes in texts_of(batch["text"]):
@@ -222,14 +328,21 @@ def _matches(shared, least_cosine: float, verbatim: float, paraphrase: float, an
                 answered = found[bounds[1:]] - found[bounds[1:] - tails] == tails
                 possible = (lengths > 0) & ((most >= sure) | ((most >= maybe) & answered))
                 passages = latent.passages(features_of(hashes))
+                exact = lookup.passages(hashes, at, possible, len(passages))
                 best: dict[int, tuple] = {}
                 for top in range(0, len(passages), 4096):
                     cosine = passages[top : top + 4096] @ sides
                     near = cosine >= least_cosine
-                    for k in np.flatnonzero(near.any(axis=0) & possible[item_of]).tolist():
-                        i = int(item_of[k])
+                    alike = np.unique(item_of[near.any(axis=0) & possible[item_of]]).tolist()
+                    for i in sorted({*alike, *exact}):
                         item, n, tail = words[i], len(words[i]), int(tails[i])
-                        passage = np.flatnonzero(near[:, k])
+                        its = slice(sides_of[i], sides_of[i + 1])
+                        wanted = near[:, its].any(axis=1)
+                        sought = exact.get(i, np.zeros(0, np.int64)) - top
+                        wanted[sought[(sought >= 0) & (sought < len(wanted))]] = True
+                        passage = np.flatnonzero(wanted)
+                        if not len(passage):
+                            continue
                         begin, end = np.maximum((top + passage) * STEP - n, 0), (top + passage) * STEP + WINDOW + n
                         # only words of the item count, each as often as the item has it
                         kinds, often, tail_kinds = kinds_of[i]
@@ -251,7 +364,7 @@ def _matches(shared, least_cosine: float, verbatim: float, paraphrase: float, an
                                 continue
                             answer = holds(region, item[-tail:])
                             if share >= verbatim or answer:
-                                best[i] = (row, i, float(cosine[p, k]), share, answer, first)
+                                best[i] = (row, i, float(cosine[p, its].max()), share, answer, first)
                 got += best.values()
             row, item, cosine, share, answer, first = (list(x) for x in zip(*got, strict=True)) if got else ([] for _ in range(6))
             rows = pa.array(row, pa.int64())

@@ -306,6 +306,57 @@ def test_leaks_of_planted_items(spark):
     assert decontam.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def brute_leaks(docs, items, verbatim=0.75, paraphrase=0.5):
+    """Every passage of every text against every item, without candidates."""
+    out = set()
+    split = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    number = {w: i for i, w in enumerate(sorted({w for t in [*docs.values(), *items.values()] for w in split(t)}))}
+    coded = lambda t: np.array([number[w] for w in split(t)], np.uint64)
+    for i, text in docs.items():
+        d = coded(text)
+        for k, it in items.items():
+            x = coded(it)
+            n = len(x)
+            for first in range(0, max(1, len(d) - decontam.STEP), decontam.STEP):
+                region = d[max(0, first - n) : first + decontam.WINDOW + n]
+                share = decontam.common_words(x, region) / n
+                if share >= verbatim or (share >= paraphrase and decontam.holds(region, x[-min(n, 4) :])):
+                    out.add((i, k))
+                    break
+    return out
+
+
+def test_leaks_equal_brute_force_for_frequent_short_and_paraphrased_items(spark):
+    """A passage in a third of all rows, items of one to five words, copies with words
+    changed, left out and put in, copies of which half is left with the answer."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("bcdfghklmnprst") + r.choice("aeiou") for _ in range(3))
+    vocabulary = [word() for _ in range(2000)]
+    items = [[r.choice(vocabulary) for _ in range(n)] for n in (40, 30, 24, 36, 5, 3, 2, 1, 33, 60)]
+    items.append([x for x in r.sample(vocabulary, 6) for _ in range(5)])
+    docs = {}
+    for i in range(240):
+        w = [r.choice(vocabulary) for _ in range(r.choice([0, 20, 150, 300]))]
+        if i % 3 == 0:
+            w[len(w) // 2 : len(w) // 2] = items[0]
+        k = i % len(items)
+        copy = list(items[k])
+        if i % 4 == 1:
+            copy = [word() if j % 4 == 3 else x for j, x in enumerate(copy)]
+        if i % 4 == 2:
+            copy = [x for j, x in enumerate(copy) if j % 5 or j >= len(copy) - 4]
+        if i % 4 == 3:
+            copy = [y for j, x in enumerate(copy) for y in ([x, word()] if j % 3 == 0 and j < len(copy) - 4 else [word() if j % 3 == 1 and j < len(copy) - 4 else x])]
+        if i % 2:
+            w[len(w) // 3 : len(w) // 3] = copy
+        docs[i] = " ".join(w)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    bench = {k: " ".join(x) for k, x in enumerate(items)}
+    want = brute_leaks({i: t for i, t in docs.items() if t}, bench)
+    assert sum(k == 0 for _, k in want) >= 80
+    assert {(x.doc_id, x.item_id) for x in decontam.find_leaks(df, spark.createDataFrame(list(bench.items()), "item_id long, text string")).collect()} == want
+
+
 def test_common_subsequence():
     r = np.random.default_rng(3)
     for _ in range(60):
