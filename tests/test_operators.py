@@ -90,3 +90,19 @@ def test_conflicting_units_veto_a_weak_key(spark, reverse):
 def test_long_chains_meet(spark):
     df = spark.range(60).select(F.col("id").alias("n"), F.array(F.col("id"), F.col("id") + 1).alias("keys"))
     assert {r.component for r in graph.components(df, F.col("keys"), "n").collect()} == {0}
+
+
+def test_registered_fold_reads_whole_texts(spark):
+    """An accent after 400 characters changes what the query compares with its SQL."""
+    import hashlib
+    import tempfile
+    import unicodedata
+
+    from quarry.plans import catalogue
+
+    folder = tempfile.mkdtemp(prefix="fold-")
+    rows = [(1, "a" * 400 + " Đà NẴNG É"), (2, "a" * 400 + " e"), (3, "x́ " * 30000 + "Ü"), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    brute = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)).lower()
+    want = {i: hashlib.md5(brute(t).encode()).hexdigest() for i, t in rows}
+    assert {r.doc_id: r.folded for r in catalogue.queries()["accent_fold_whole"](spark, folder).collect()} == want
