@@ -106,3 +106,48 @@ def test_registered_fold_reads_whole_texts(spark):
     brute = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)).lower()
     want = {i: hashlib.md5(brute(t).encode()).hexdigest() for i, t in rows}
     assert {r.doc_id: r.folded for r in catalogue.queries()["accent_fold_whole"](spark, folder).collect()} == want
+
+
+def one_after_the_other(rows):
+    """Brute force: strong keys, then weak keys in the order of their first row."""
+    group = {r[0]: r[0] for r in rows}
+    held = {r[0]: {n: {v} for n, v in (r[3] or {}).items()} for r in rows}
+
+    def join(members):
+        low = min(members)
+        for m in members - {low}:
+            for n, values in held.pop(m).items():
+                held[low][n] = held[low].get(n, set()) | values
+            for o in group:
+                if group[o] == m:
+                    group[o] = low
+
+    keys = lambda place: dict.fromkeys(k for r in sorted(rows) for k in r[place] or ())
+    members = lambda place, k: {group[r[0]] for r in rows if k in (r[place] or ())}
+    for k in keys(1):
+        join(members(1, k))
+    for k in keys(2):
+        touched = members(2, k)
+        sides = [held[m] for m in touched]
+        if all(set.intersection(*[s[n] for s in sides if n in s]) for n in {n for s in sides for n in s}):
+            join(touched)
+    return group
+
+
+def test_weak_keys_act_in_order(spark):
+    import random
+
+    r = random.Random(3)
+    some = lambda c, n, most: [f"{c}{r.randrange(n)}" for _ in range(r.randint(0, most))]
+    rows = [(i, some("s", 60, 1), some("w", 25, 2), r.choice([None, {}, {"unit": str(r.randrange(3))}, {"unit": "1", "area": str(r.randrange(2))}])) for i in range(60)]
+    df = spark.createDataFrame(rows, "ordinal long, strong array<string>, weak array<string>, identities map<string,string>")
+    assert {x.ordinal: x.entity for x in resolve.resolve(df).collect()} == one_after_the_other(rows)
+
+
+def test_a_key_may_be_hot(spark):
+    """One weak key in a third of 330000 rows, one strong key in another third."""
+    i = F.col("id")
+    key = lambda k, name: F.when(i % 3 == k, F.array(F.lit(name))).otherwise(F.array(F.concat(F.lit(name), i.cast("string"))))
+    df = spark.range(330_000).select(i.alias("ordinal"), key(1, "s").alias("strong"), key(0, "w").alias("weak"), F.when(i % 3 == 0, F.create_map(F.lit("unit"), F.lit("one"))).alias("identities"))
+    got = resolve.resolve(df).groupBy("entity").agg(F.count("*").alias("n")).where("n > 1")
+    assert sorted(map(tuple, got.collect())) == [(0, 110_000), (1, 110_000)]
