@@ -1,55 +1,100 @@
-"""Typed attributes out of listing texts in English, Russian and Vietnamese.
+"""Typed attributes out of listing texts in English, Russian, Vietnamese and Chinese.
 
-Everything is a native expression: regular expressions and higher-order functions.
+Native expressions over the word tables of vocabulary.py; only rents, whose labels carry
+from clause to clause, go through the Arrow function of pricing.py.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words of each language, stems for Russian (fixed values).
-LANGUAGE_WORDS = {
-    "en": r"(?iu)\b(?:apartment|available|bedroom|contact|deposit|for\s+rent|house|month|price|room)\b",
-    "ru": r"(?iu)(?<!\p{L})(?:аренд|квартир|комнат|спальн|цена|депозит|месяц|контакт|сда[её]т)",
-    "vi": r"(?iu)(?<!\p{L})(?:cho\s+thuê|căn\s+hộ|phòng|giá|nhà|tháng|địa\s+chỉ)(?!\p{L})",
-}
-LANGUAGE_SCRIPTS = {"ru": "[А-ЯЁа-яё]", "vi": r"(?iu)[ăâđêôơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉĩịọỏốồổỗộớờởỡợụủũứừửữựỳỵỷỹ]"}
-BEDROOM, BATHROOM, BED, GUEST = r"(?:bedrooms?|спальн\p{L}*|phòng[ \t]*ngủ)", r"(?:bathrooms?|сануз\p{L}*|phòng[ \t]*tắm)", r"(?:beds?|кроват\p{L}*|giường)(?!\p{L})", r"(?:guests?|гост\p{L}*|khách)"
-SCALES = ((r"^(?:tỷ|billion|млрд)", 1e9), (r"^(?:k|к|тыс|nghìn|ngàn|thousand)$", 1e3), (r"^(?:triệu|tr|million|mln|млн|m)$", 1e6))
-CURRENCIES = ((r"^(?:\$|us\$|usd|dollars?)$", "USD"), (r"^(?:€|eur|euros?|евро)$", "EUR"), (r"^(?:£|gbp)$", "GBP"), (r"^(?:₽|rub|руб.*)$", "RUB"), (r"^(?:vnd|vnđ|đ|đồng|₫|донг.*)$", "VND"))
-PERIODS = (("night", r"(?iu)(?<!\p{L})(?:nights?|days?|ноч\p{L}*|сутки|đêm|ngày)(?!\p{L})"), ("week", r"(?iu)(?<!\p{L})(?:weeks?|недел\p{L}*|tuần)(?!\p{L})"), ("month", r"(?iu)(?<!\p{L})(?:months?|месяц\p{L}*|tháng)(?!\p{L})"), ("year", r"(?iu)(?<!\p{L})(?:years?|год(?:а|ов)?|năm)(?!\p{L})"))
-FEE = r"(?iu)deposit|fee|electric|water|internet|parking|commission|for\s+sale|депозит|залог|электр|вод[аы]|комисси|продаж|cọc|điện|nước|phí|giá\s+bán"
-MONEY = r"(?iu)(?<![\p{L}\d.,])(?:(?:US\$|USD|VND|EUR|GBP|[$€£₫₽])\s?)?\d{1,12}(?:[., ]\d{3})*(?:[.,]\d{1,2})?(?!\d)(?:\s?(?:triệu|tr|million|mln|млн|tỷ|billion|млрд|k|к|тыс|thousand|m)(?![\p{L}\d²]))?(?:\s?(?:USD|US\$|VND|VNĐ|EUR|euros?|евро|GBP|RUB|руб\p{L}*|đồng|донг\p{L}*|[$€£₫₽đ])(?!\p{L}))?"
+from quarry.functions import vocabulary as V
+from quarry.functions.pricing import rent_quote
+
+#: Vietnamese letters beside the plain ones: each vowel with each tone, and đ.
+VIETNAMESE = "".join(sorted({unicodedata.normalize("NFC", v + tone) for v in "aăâeêioôơuưy" for tone in ("", "̀", "́", "̃", "̉", "̣")} - set("aeiouy"))) + "đ"
+LANGUAGE_SCRIPTS = {"ru": "[А-ЯЁа-яё]", "vi": f"(?iu)[{VIETNAMESE}]"}
+BEDROOM, BATHROOM, BED, GUEST, ROOM = (
+    V.any_of(words)
+    for words in (("bedroom", "bedrooms", "br", "bhk", "pn", "спальн*", "phòng ngủ"), ("bathroom", "bathrooms", "wc", "сануз*", "phòng tắm"), ("bed", "beds", "кроват*", "giường"), ("guest", "guests", "гост*", "khách"), ("room", "rooms", "комнат*", "phòng"))
+)
+MONTHS, YEARS = V.any_of(("month", "months", "месяц*", "tháng")), V.any_of(("year", "years", "год*", "năm"))
+_LABEL = r"[ \t]*[:#-]?[ \t]*"
+
+
+def let(value: Column, body) -> Column:
+    """body(value), where value is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def has(text: Column, words: tuple[str, ...]) -> Column:
+    return text.rlike("(?iu)" + V.any_of(words))
 
 
 def _first(text: Column, *patterns: str) -> Column:
     """The first group of the first pattern that matches, else null."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns])
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, "(?iu)" + p, 1), F.lit("")) for p in patterns])
+
+
+def decimal(text: Column) -> Column:
+    return F.replace(text, F.lit(","), F.lit(".")).try_cast("double")
 
 
-def count_of(text: Column, label: str) -> Column:
-    """A number right before the label, or right after it, on one line."""
-    return _first(text, rf"(?iu)(?<![\d.,])(\d{{1,2}})[ \t]*-?[ \t]*{label}", rf"(?iu){label}[ \t]{{0,8}}[:#-]?[ \t]{{0,8}}(\d{{1,2}})(?!\d|[ \t]*(?:m2|m²))").try_cast("int")
+def count_of(text: Column, label: str, digits: int = 2) -> Column:
+    """A number on the label's line right before it, with or without a hyphen, or right
+    after it; what is followed by a unit of area counts nothing."""
+    n = rf"\d{{1,{digits}}}"
+    before = rf"(?<![\d.,])({n})(?:[ \t]|-){{0,3}}{label.replace('(?<!' + chr(92) + 'p{L})', '')}"
+    return _first(text, before, rf"{label}{_LABEL}({n})(?!\d|[ \t]*[mм][²2])").try_cast("int")
 
 
 def bedrooms(text: Column) -> Column:
     """The stated count; a studio has none."""
-    studio = r"(?iu)\bstudio\b|студи[яюей](?!\p{L})"
-    return F.when(text.rlike(r"(?imu)^type:[^\n]*studio"), 0).otherwise(F.coalesce(count_of(text, BEDROOM), F.when(text.rlike(studio), 0)))
+    return F.when(text.rlike(r"(?imu)^type:.*studio"), 0).otherwise(F.coalesce(count_of(text, BEDROOM), F.when(has(text, V.KINDS["studio"]), 0)))
+
+
+def beds_range(text: Column) -> Column:
+    """Struct (min, max) of alternatives such as 1-2 beds, else null."""
+    pattern = rf"(?iu)(?<!\d)(\d{{1,2}})\s*(?:or|или|hoặc|[-–])\s*(\d{{1,2}})\s*{BED}"
+    a, b = (F.regexp_extract(text, pattern, i).try_cast("int") for i in (1, 2))
+    return F.when(a.isNotNull() & b.isNotNull(), F.struct(F.least(a, b).alias("min"), F.greatest(a, b).alias("max")))
 
 
 def area(text: Column) -> Column:
-    return F.replace(_first(text, r"(?iu)(\d{1,4}(?:[.,]\d{1,2})?)[ \t]*(?:m²|m2|м²|кв\.?\s*м)"), F.lit(","), F.lit(".")).try_cast("double")
+    """Square metres."""
+    return decimal(_first(text, r"(\d{1,4}(?:[.,]\d{1,2})?)\s?(?:[mм][²2]|кв\.?\s?м|sqm)"))
 
 
 def floor(text: Column) -> Column:
-    return _first(text, r"(?iu)(?<!\p{L})(?:floor|этаж|tầng|lầu)[ \t]{0,4}[:#-]?[ \t]{0,4}(\d{1,2})(?![\d-]|[ \t]*(?:m2|m²))", r"(?iu)(?<![\d-])(\d{1,2})(?:st|nd|rd|th)?[ \t-]+(?:floor(?!s)|этаж(?!\p{L}))").try_cast("int")
+    """The listing's floor; ranges and areas are none."""
+    words = V.any_of(("floor", "этаж", "tầng", "lầu"))
+    return _first(text, rf"{words}{_LABEL}(\d{{1,2}})(?![\d-]|[ \t]*[mм][²2])", r"(?<![\d-])(\d{1,2})(?:st|nd|rd|th)?[ \t-]+(?:floor|этаж)(?!\p{L})").try_cast("int")
+
+
+def stay_months(text: Column, words: tuple[str, ...] = ("minimum", "min", "minimum stay", "min stay", "от", "tối thiểu")) -> Column:
+    """Months of the stay that words speak of; a year has twelve."""
+    head = rf"{V.any_of(words)}\.?\s*(?:stay\s+)?[:]?\s*"
+    return F.coalesce(_first(text, rf"{head}(\d{{1,3}})\s*{MONTHS}").try_cast("int"), _first(text, rf"{head}(\d{{1,2}})\s*{YEARS}").try_cast("int") * 12)
 
 
-def stay_months(text: Column) -> Column:
-    n, unit = _first(text, r"(?iu)(?:minimum|min\.?|от|tối thiểu)\s+(?:stay\s+)?(\d{1,2})\s*(?:months?|years?|месяц\p{L}*|год\p{L}*|tháng|năm)").try_cast("int"), _first(text, r"(?iu)(?:minimum|min\.?|от|tối thiểu)\s+(?:stay\s+)?\d{1,2}\s*(months?|years?|месяц\p{L}*|год\p{L}*|tháng|năm)")
-    return n * F.when(F.lower(unit).rlike("^(?:year|год|năm)"), 12).otherwise(1)
+def months_after(text: Column, words: tuple[str, ...]) -> Column:
+    return _first(text, rf"{V.any_of(words)}\D{{0,24}}?(\d{{1,3}})\s*{MONTHS}").try_cast("int")
+
+
+def lease_terms(text: Column) -> Column:
+    """Struct of months (least, most, deposit, prepayment), agency fee, rating, reviews."""
+    return F.struct(
+        stay_months(text).alias("minimum_months"),
+        stay_months(text, ("maximum", "max", "maximum stay", "не более", "tối đa")).alias("maximum_months"),
+        months_after(text, ("deposit", "депозит*", "đặt cọc", "cọc")).alias("deposit_months"),
+        months_after(text, ("prepay", "prepayment", "предоплат*", "trả trước")).alias("prepayment_months"),
+        decimal(_first(text, rf"{V.any_of(('agency fee', 'commission', 'комисси*', 'phí môi giới'))}{_LABEL}(\d{{1,3}}(?:[.,]\d{{1,2}})?)\s*%")).alias("agency_fee_percent"),
+        decimal(_first(text, rf"{V.any_of(('rating', 'рейтинг', 'đánh giá'))}{_LABEL}(\d(?:[.,]\d{{1,2}})?)")).alias("rating"),
+        _first(text, rf"(?<![\d.,])(\d{{1,7}})\s*{V.any_of(('review', 'reviews', 'отзыв*', 'đánh giá'))}").try_cast("int").alias("reviews"),
+    )
 
 
 def yes_no(text: Column, yes: str, no: str) -> Column:
@@ -58,31 +103,54 @@ def yes_no(text: Column, yes: str, no: str) -> Column:
 
 
 def pets_allowed(text: Column) -> Column:
-    return yes_no(text, r"(?iu)pets?\s+(?:are\s+)?(?:allowed|welcome|ok)|можно\s+с\s+животн", r"(?iu)no\s+pets?(?!\p{L})|pets?\s+(?:are\s+)?not\s+allowed|без\s+животн")
+    yes, no = ("pets allowed", "pets are allowed", "pets welcome", "pets ok", "pet allowed", "можно с животн*"), ("no pets", "no pet", "pets not allowed", "pets are not allowed", "без животн*", "нельзя с животн*")
+    return yes_no(text, "(?iu)" + V.any_of(yes), "(?iu)" + V.any_of(no))
 
 
 def furnished(text: Column) -> Column:
-    return yes_no(text, r"(?iu)(?<!\p{L})(?:fully\s+)?furnished|с\s+мебел|đầy\s+đủ\s+nội\s+thất", r"(?iu)unfurnished|not\s+furnished|без\s+мебел|không\s+nội\s+thất")
+    yes, no = ("furnished", "с мебел*", "đầy đủ nội thất", "full nội thất"), ("unfurnished", "not furnished", "без мебел*", "không nội thất")
+    return yes_no(text, "(?iu)" + V.any_of(yes), "(?iu)" + V.any_of(no))
+
+
+def utilities_included(text: Column) -> Column:
+    yes, no = ("utilities included", "bills included", "including utilities", "коммунальные включены", "bao điện nước"), ("utilities not included", "excluding utilities", "utilities excluded", "коммунальные отдельно", "chưa bao gồm điện nước")
+    return yes_no(text, "(?iu)" + V.any_of(yes), "(?iu)" + V.any_of(no))
 
 
 def availability(text: Column) -> Column:
-    gone = r"(?iu)sold\s*out|(?:already|now)\s+(?:rented|taken|booked)|rented\s*out|no\s+longer\s+available|(?<!\p{L})(?:уже\s+)?сдан[аыо]?(?!\p{L})|hết\s*phòng|đã\s*(?:cho\s*)?thuê"
-    return F.when(text.rlike(gone), "unavailable").when(text.rlike(r"(?iu)available\s+now|свобод\p{L}*\s+сейчас|có\s+sẵn\s+ngay"), "available")
+    """A marker of what is gone outranks all others."""
+    return F.when(has(text, V.GONE), "unavailable").when(has(text, V.OPEN), "available")
+
+
+_ENGLISH_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
 def available_from(text: Column, published: Column) -> Column:
-    """An ISO or day.month[.year] date after an availability word. Without a year it is
-    the year of publication, or the next one if that lies before publication."""
-    after = r"(?iu)(?:available\s+from|свободн?а?\s+с|trống\s+từ)\s+"
-    iso = F.try_to_date(_first(text, after + r"(\d{4}-\d{2}-\d{2})"), "yyyy-MM-dd")
-    day, month, year = (_first(text, after + rf"(?:\d{{1,2}}[./]){{{i}}}(\d{{1,4}})(?![\d-])").try_cast("int") for i in range(3))
-    day = _first(text, after + r"(\d{1,2})[./]\d{1,2}").try_cast("int")
-    month = _first(text, after + r"\d{1,2}[./](\d{1,2})").try_cast("int")
-    stated = F.when(year < 100, year + 2000).otherwise(year)
+    """The one date after an availability word: ISO, day.month[.year] or with an English
+    month's name. Two-digit years are of this century. Without a year it is the year of
+    publication, or the next one if that lies before publication. Ranges, several dates
+    and days that no calendar has give null."""
+    word = rf"(?iu){V.any_of(('available from', 'from', 'свободн* с', 'освободится', 'trống từ'))}\s+"
+    month_name = r"(?:" + "|".join(_ENGLISH_MONTHS) + r")[a-z]{0,6}"
+    shapes = (r"\d{4}-\d{2}-\d{2}", r"\d{1,2}[./]\d{1,2}(?:[./](?:\d{4}|\d{2}))?", rf"\d{{1,2}}(?:st|nd|rd|th)?\s+{month_name}\.?(?:,?\s+\d{{4}})?", rf"{month_name}\.?\s+\d{{1,2}}(?:st|nd|rd|th)?(?:,?\s+\d{{4}})?")
+    any_date = rf"(?iu)(?<![\d./-])({'|'.join(shapes)})(?!\d|[./-]\d)"
+    after = F.regexp_extract(text, word + r"([^\n;]{1,60})", 1)
+    dates = F.regexp_extract_all(after, F.lit(any_date), 1)
+    span = after.rlike(r"(?iu)\d\s*(?:[-–—]|to|until|till|до|đến)\s*\d{1,2}[./\s]")
+    alone = F.when((F.size(dates) == 1) & ~span, F.lower(F.element_at(dates, 1)))
+    return let(alone, lambda one: _date_of(one, month_name, published))
+
+
+def _date_of(one: Column, month_name: str, published: Column) -> Column:
+    number = lambda pattern: F.nullif(F.regexp_extract(one, pattern, 1), F.lit("")).try_cast("int")
+    named = F.nullif(F.array_position(F.lit(list(_ENGLISH_MONTHS)), F.regexp_extract(one, f"({'|'.join(_ENGLISH_MONTHS)})", 1)).cast("int"), F.lit(0))
+    day = F.coalesce(number(r"^(\d{1,2})(?!\d)"), number(r"^[a-z]+\.?\s+(\d{1,2})"))
+    month = F.coalesce(named, number(r"^\d{1,2}[./](\d{1,2})"))
+    year = F.coalesce(number(r"(\d{4})$"), number(r"^\d{1,2}[./]\d{1,2}[./](\d{2})$") + 2000)
     date = lambda y: F.try_to_date(F.format_string("%04d-%02d-%02d", y, month, day), "yyyy-MM-dd")
-    this = date(F.year(published))
-    rolled = F.when(this.isNull() | (this < F.to_date(published)), date(F.year(published) + 1)).otherwise(this)
-    return F.coalesce(iso, F.when(day.isNotNull() & month.isNotNull(), F.when(stated.isNotNull(), date(stated)).otherwise(rolled)))
+    rolled = let(date(F.year(published)), lambda this: F.when(this.isNull() | (this < F.to_date(published)), date(F.year(published) + 1)).otherwise(this))
+    iso = F.try_to_date(F.nullif(F.regexp_extract(one, r"^(\d{4}-\d{2}-\d{2})$", 1), F.lit("")), "yyyy-MM-dd")
+    return F.when(one.rlike(r"^\d{4}-"), iso).otherwise(F.when(day.isNotNull() & month.isNotNull(), F.when(year.isNotNull(), date(year)).otherwise(rolled)))
 
 
 def labeled_fields(text: Column) -> Column:
@@ -96,22 +164,25 @@ def labeled_fields(text: Column) -> Column:
 
 
 def contacts(text: Column) -> Column:
-    """Struct of distinct e-mails, handles and phones (on lines that speak of contact)."""
-    emails = F.transform(F.regexp_extract_all(text, F.lit(r"([\p{L}\d._%+-]{1,64}@[\p{L}\d-]{1,63}(?:\.[\p{L}\d-]{1,63}){1,5})"), 1), F.lower)
-    handles = F.concat(F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}.])@([A-Za-z][A-Za-z\d_]{4,31})"), 1), F.regexp_extract_all(text, F.lit(r"https?://(?:t|telegram)\.me/([A-Za-z][A-Za-z\d_]{4,31})"), 1))
-    lines = F.filter(F.split(text, r"\r?\n"), lambda x: x.rlike(r"(?iu)contact|контакт|whatsapp|phone|телефон|liên\s*hệ"))
-    found = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(r"(\+?\d[\d\s().-]{6,20}\d)"), 1)))
-    phones = F.filter(F.transform(found, lambda p: F.regexp_replace(p, r"[^\d+]", "")), lambda p: F.length(F.replace(p, F.lit("+"))) >= 8)
+    """Struct of distinct e-mails in lower case, handles of 5 to 32 characters (with @ or
+    as a link to a profile) and phones of 8 digits or more on lines that speak of contact."""
+    found = lambda pattern, of=text: F.regexp_extract_all(of, F.lit(pattern), 1)
+    emails = F.transform(found(r"(?u)([\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[\p{L}\p{N}-]{1,63}\.){1,5}\p{L}{2,24})"), F.lower)
+    name = r"(\p{Alpha}\w{4,31})(?!\w)"
+    handles = F.concat(found(rf"(?<![\w.\p{{L}}])@{name}"), found(rf"(?i)://(?:www\.)?t(?:elegram)?\.me/(?!joinchat|share/){name}"))
+    lines = F.filter(F.split(text, r"\r?\n"), lambda x: has(x, V.CONTACT_WORDS))
+    numbers = F.flatten(F.transform(lines, lambda x: found(r"(?<![\d+])(\+?\d(?:[ ().-]{0,2}\d){7,15})(?!\d)", x)))
+    phones = F.transform(numbers, lambda p: F.concat(F.when(p.startswith("+"), "+").otherwise(""), F.regexp_replace(p, r"\D", "")))
     return F.struct(F.array_distinct(emails).alias("email"), F.array_distinct(handles).alias("telegram"), F.array_distinct(phones).alias("phone"))
 
 
 def language(text: Column) -> Column:
     """Struct of language and confidence: words and script of each, ties by name."""
     def score(name):
-        words = F.regexp_count(text, F.lit(LANGUAGE_WORDS[name]))
+        words = F.regexp_count(text, F.lit("(?iu)" + V.any_of(V.LANGUAGES[name])))
         return words + (F.when(text.rlike(LANGUAGE_SCRIPTS[name]), 2).otherwise(0) if name in LANGUAGE_SCRIPTS else F.lit(0))
 
-    scores = {n: score(n) for n in LANGUAGE_WORDS}
+    scores = {n: score(n) for n in V.LANGUAGES}
     best = F.greatest(*scores.values())
     name = F.when(best == 0, "unknown")
     for n in sorted(scores):
@@ -119,66 +190,188 @@ def language(text: Column) -> Column:
     return F.struct(name.alias("language"), F.coalesce(F.try_divide(best.cast("double"), sum(scores.values(), F.lit(0))), F.lit(0.0)).alias("confidence"))
 
 
-def parse_number(text: Column, scaled: Column) -> Column:
-    """Separators are for thousands if there are several, or three digits follow a single
-    one and no scale word does; else it is the decimal point."""
-    compact = F.regexp_replace(text, r"\s", "")
-    many = F.regexp_count(compact, F.lit("[.,]")) > 1
-    return F.when(many | (~scaled & compact.rlike(r"[.,]\d{3}$")), F.regexp_replace(compact, "[.,]", "")).otherwise(F.replace(compact, F.lit(","), F.lit("."))).try_cast("double")
+def parse_price(text: Column) -> Column:
+    """Struct (amount, currency, period) of the rent, or null (see pricing.rent)."""
+    quote = rent_quote(text)
+    return F.when(quote["amount"].isNotNull(), F.struct(quote["amount"].alias("amount"), quote["currency"].alias("currency"), quote["period"].alias("period")))
 
 
-def money(clause: Column) -> Column:
-    """Amounts in one clause: array of struct (amount, currency, bare)."""
-    def parsed(token):
-        scale = F.lower(F.regexp_extract(token, r"(?iu)\d\s?(triệu|tr|million|mln|млн|tỷ|billion|млрд|k|к|тыс|thousand|m)(?!\p{L})", 1))
-        sign = F.lower(F.trim(F.coalesce(F.nullif(F.regexp_extract(token, r"(?iu)^(US\$|USD|VND|EUR|GBP|[$€£₫₽])", 1), F.lit("")), F.regexp_extract(token, r"(?iu)\s?(USD|US\$|VND|VNĐ|EUR|euros?|евро|GBP|RUB|руб\p{L}*|đồng|донг\p{L}*|[$€£₫₽đ])$", 1))))
-        times, name = F.lit(1.0), F.lit(None).cast("string")
-        for pattern, factor in SCALES:
-            times = F.when(scale.rlike(pattern), factor).otherwise(times)
-        for pattern, code in CURRENCIES:
-            name = F.when(sign.rlike(pattern), code).otherwise(name)
-        amount = parse_number(F.regexp_extract(token, r"(\d[\d., ]*\d|\d)", 1), scale != "") * times
-        return F.struct(amount.alias("amount"), F.coalesce(name, F.lit("VND")).alias("currency"), ((scale == "") & name.isNull()).alias("bare"), token.rlike(r"\d[., ]\d{3}").alias("grouped"))
+def quote_basis(text: Column) -> Column:
+    """What the rent is for: property, bedroom, room, bed or person; unknown if quotes of
+    the same text differ. A quote that stands alone needs no rent label."""
+    quote = rent_quote(text)
+    bases = F.array_distinct(F.transform(quote["options"], lambda o: o["basis"]))
+    return F.when(quote.isNull() | (F.size(bases) == 0), "property").when(F.size(bases) == 1, F.element_at(bases, 1)).otherwise("unknown")
+
+
+def amenities(text: Column) -> Column:
+    """Struct of sorted lists: present, absent (a negation stands right before it, or
+    absent/unavailable after it) and shared. What is absent somewhere is not present."""
+    no, shared = V.any_of(V.ABSENT), V.any_of(V.SHARED)
+    tests = []
+    for name, words in V.AMENITIES.items():
+        word = V.any_of(words)
+        gone = text.rlike(rf"(?iu){no}\s+{word}|{word}\s+(?:is\s+)?(?:absent|unavailable|нет)(?!\p{{L}})")
+        together = rf"(?iu){shared}[^.;\n]{{0,40}}{word}|{word}[^.;\n]{{0,30}}{shared}"
+        # mentions that are neither negated nor shared
+        rest = F.regexp_replace(text, rf"{together}|{no}\s+{word}", " ")
+        # the long tests are for texts that name the amenity at all
+        tests.append(F.when(has(text, words), F.struct(F.lit(name).alias("name"), (rest.rlike("(?iu)" + word) & ~gone).alias("present"), gone.alias("absent"), text.rlike(together).alias("shared"))))
+    names = lambda rows, field: F.array_sort(F.transform(F.filter(rows, lambda r: F.coalesce(r[field], F.lit(False))), lambda r: r["name"]))
+    return let(F.array_compact(F.array(*tests)), lambda rows: F.struct(*[names(rows, f).alias(f) for f in ("present", "absent", "shared")]))
+
+
+def utility_charges(text: Column) -> Column:
+    """Names of the charges that a text speaks of."""
+    return F.array_compact(F.array(*[F.when(has(text, words), name) for name, words in V.UTILITIES.items()]))
+
+
+def coordinates(text: Column) -> Column:
+    """Struct (latitude, longitude) after a label, within the bounds of the globe."""
+    head = r"(?iu)(?:gps|coordinates?|координат\p{L}*|tọa\s*độ)[ \t]*[:#-]?[ \t]*"
+    pattern = head + r"(-?\d{1,2}(?:[.,]\d{1,8})?)\s*[,;]\s*(-?\d{1,3}(?:[.,]\d{1,8})?)"
+    lat, lon = (decimal(F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))) for i in (1, 2))
+    return F.when(lat.between(-90, 90) & lon.between(-180, 180), F.struct(lat.alias("latitude"), lon.alias("longitude")))
+
+
+def time_after(text: Column, words: tuple[str, ...]) -> Column:
+    """A time of day after one of words, such as that of check-in."""
+    return _first(text, rf"{V.any_of(words)}{_LABEL}(\d{{1,2}}:\d{{2}})")
+
+
+def property_id(text: Column) -> Column:
+    """What stands behind ID, Код or Mã: a code with a digit, or in capitals."""
+    code = r"([\p{L}\p{N}][\p{L}\p{N}_-]*\p{N}[\p{L}\p{N}_-]*|\p{N}[\p{L}\p{N}_-]*|\p{Lu}[\p{Lu}\p{N}_-]+)(?![\p{L}\p{N}_-])"
+    head = r"(?u)(?<![\p{L}\p{N}])(?:ID|Id|id|КОД|Код|код|MÃ|Mã|mã)(?:\s+\p{Ll}{2,12}(?=\s*[:#№]))?\s*[:#№-]?\s*"
+    return F.nullif(F.regexp_extract(text, head + code, 1), F.lit(""))
+
+
+def kind_of(text: Column) -> Column:
+    """The first of the kinds that a text names, by the order of the table."""
+    out = F.lit(None).cast("string")
+    for name, words in reversed(list(V.KINDS.items())):
+        out = F.when(has(text, words), name).otherwise(out)
+    return out
+
+
+def cities_in(text: Column) -> Column:
+    """Slugs of the cities that a text names."""
+    return F.array_compact(F.array(*[F.when(has(text, words) | F.contains(F.lower(text), F.lit(slug)), slug) for slug, words in V.CITIES.items()]))
+
+
+def _elsewhere(text: Column, city: str) -> Column:
+    """Cities are named, but not the given one."""
+    return let(cities_in(text), lambda found: (F.size(found) > 0) & ~F.array_contains(found, city))
+
+
+def location(text: Column) -> Column:
+    """Struct of place and method: a labelled line, the bullets (two at most) under a label
+    with nothing behind it, a pinned line, else the one city that is named."""
+    label = rf"(?iu)^[^\p{{L}}]*{V.any_of(V.PLACE_LABELS)}\s*:[ \t]*"
+    bullet = r"^\s*[•·▪◦‣–-]\s*(\S.*)$"
+
+    def listed(below):
+        # bullets end at the first line that is none
+        ended = F.array_position(F.transform(below, lambda x: x.rlike(bullet)), F.lit(False)).cast("int")
+        items = F.transform(F.slice(below, 1, F.when(ended > 0, ended - 1).otherwise(F.size(below))), lambda x: F.trim(F.regexp_extract(x, bullet, 1)))
+        return F.nullif(F.array_join(F.slice(F.filter(items, lambda x: ~x.rlike(r"(?iu)^≈|\d\s*(?:минут|мин|min|phút)")), 1, 2), ", "), F.lit(""))
+
+    def labelled(lines):
+        found = F.transform(lines, lambda x, i: F.struct(x.rlike(label).alias("is"), F.trim(F.regexp_replace(x, label, "")).alias("rest"), i.alias("at")))
+        # an amount or another field behind the label names no place
+        fits = lambda rows: F.filter(rows, lambda s: (s["rest"] != "") & ~s["rest"].rlike(r"^[^:\n]{1,24}:\s*[$€£₫\d]"))
+        empty = lambda rows: F.get(F.filter(rows, lambda s: s["rest"] == ""), F.lit(0))["at"]
+        return let(F.filter(found, lambda s: s["is"]), lambda rows: F.struct(F.get(fits(rows), F.lit(0))["rest"].alias("direct"), listed(F.slice(lines, empty(rows) + 2, 8)).alias("listed")))
+
+    pinned = F.nullif(F.trim(F.regexp_extract(text, r"(?m)^\s*📍\s*([^|\n]{1,120})", 1)), F.lit(""))
+    alone = let(cities_in(text), lambda city: F.when(F.size(city) == 1, F.element_at(city, 1)))
+    known = F.struct(let(F.split(text, r"\r?\n"), labelled).alias("by"), pinned.alias("pinned"), alone.alias("city"))
+
+    def chosen(k):
+        method = F.when(k["by"]["direct"].isNotNull(), "labelled").when(k["by"]["listed"].isNotNull(), "bullets").when(k["pinned"].isNotNull(), "pinned").when(k["city"].isNotNull(), "city")
+        return F.struct(F.coalesce(k["by"]["direct"], k["by"]["listed"], k["pinned"], k["city"]).alias("place"), method.alias("method"))
+
+    return let(known, chosen)
+
+
+def post_verdict(text: Column, city: str | None = None, duplicate: Column | None = None) -> Column:
+    """Struct of label, reason and eligible, the first that fits of: duplicate, request,
+    sale, service (the first three lines offer no rent), guides, another city than the
+    given one, commercial, vehicles, offer, uncertain, unrelated."""
+    lines = F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != "")
+    head = F.array_join(F.slice(lines, 1, 3), "\n")
+    renting, home, money = has(text, V.RENTING), has(text, V.PROPERTY), text.rlike("(?iu)(?:" + "|".join(V._plain(w.removesuffix("*")) for ws in V.CURRENCIES.values() for w in ws if len(w) > 1 or not w.isalpha()) + r"|triệu|million|tỷ|млн|млрд|price|цена|giá)")
+    named = F.filter(lines, lambda x: ~has(x, V.ELSEWHERE))
+    place = F.coalesce(F.get(F.filter(named, lambda x: x.rlike(rf"(?iu){V.any_of(V.PLACE_LABELS)}\s*:")), F.lit(0)), F.array_join(named, "\n"))
+    other = F.lit(False) if city is None else _elsewhere(place, city)
+    cases = [
+        (F.coalesce(duplicate, F.lit(False)) if duplicate is not None else F.lit(False), "duplicate", "stable-identity-already-seen"),
+        (has(text, V.REQUEST), "request", "seeking-accommodation"),
+        (has(text, V.SALE), "sale", "sale-intent"),
+        (has(text, (*V.SERVICE, "cleaning of")) & ~has(head, V.RENTING), "service", "service-advertisement"),
+        (has(text, V.GUIDE), "unrelated", "informational-market-content"),
+        (other, "wrong-location", "explicit-other-city"),
+        (has(text, V.COMMERCIAL), "commercial", "commercial-premises"),
+        (~home & has(text, V.VEHICLES), "unrelated", "non-housing-rental"),
+        (home & (renting | money | has(text, V.BOOKING)), "offer", "rental-evidence"),
+        (home | money, "uncertain", "insufficient-rental-evidence"),
+    ]
+    out = F.struct(F.lit("unrelated").alias("label"), F.lit("no-accommodation-evidence").alias("reason"), F.lit(False).alias("eligible"))
+    for test, label, reason in reversed(cases):
+        out = F.when(test, F.struct(F.lit(label).alias("label"), F.lit(reason).alias("reason"), F.lit(label == "offer").alias("eligible"))).otherwise(out)
+    return out
 
-    tokens = F.transform(F.regexp_extract_all(clause, F.lit(f"({MONEY})"), 1), parsed)
-    return F.filter(tokens, lambda t: (t["amount"] > 0) & (~t["bare"] | ((t["amount"] >= 100000) & t["grouped"])) & ((t["currency"] != "VND") | t["bare"] | (t["amount"] >= 50000)))
 
+def classify_post(text: Column) -> Column:
+    return post_verdict(text)["label"]
 
-def period_of(clause: Column) -> Column:
-    """The period that is named first."""
-    at = [F.struct(F.nullif(F.regexp_instr(clause, F.lit(p)), F.lit(0)).alias("at"), F.lit(n).alias("name")) for n, p in PERIODS]
-    return F.array_min(F.filter(F.array(*at), lambda s: s["at"].isNotNull()))["name"]
 
+def detail_status(text: Column, expires_at: Column, now: str) -> Column:
+    """expired, rented, active or unknown, in this order of weight."""
+    past = F.coalesce(expires_at <= F.lit(now).cast("timestamp_ntz"), F.lit(False))
+    over, rented, active = ("listing expired", "listing has expired", "tin đã hết hạn", "tin đăng hết hạn", "объявление истекло"), ("already rented", "сдан", "сдана", "сдано", "đã thuê", "đã cho thuê", "đã có khách thuê"), ("available now", "available for rent", "listing active", "còn phòng", "còn trống", "đang cho thuê")
+    return F.when(has(text, over) | past, "expired").when(has(text, rented), "rented").when(has(text, active), "active").otherwise("unknown")
 
-def parse_price(text: Column) -> Column:
-    """Struct (amount, currency, period) of the rent, or null. Clauses about fees, deposits
-    and sales don't count. Amounts with a currency or scale go before bare numbers, a
-    monthly rent before others, dong before other money; then the lowest counts."""
-    clauses = F.filter(F.split(text, r"(?u)\r?\n|[;|•]|(?<=[.!?])\s+(?=\p{Lu})"), lambda c: ~c.rlike(FEE))
-    offers = F.flatten(F.transform(clauses, lambda c: F.transform(money(c), lambda m: F.struct(m["bare"].alias("bare"), (F.coalesce(period_of(c), F.lit("month")) != "month").alias("other"), (m["currency"] != "VND").alias("foreign"), m["amount"].alias("amount"), m["currency"].alias("currency"), F.coalesce(period_of(c), F.lit("month")).alias("period")))))
-    best = F.array_min(offers)
-    return F.when(best.isNotNull(), F.struct(best["amount"].alias("amount"), best["currency"].alias("currency"), best["period"].alias("period")))
 
+def page_class(cards: Column, status: Column, title: Column, url: Column, city: str | None = None) -> Column:
+    """What became of a fetched page, the first that fits."""
+    context = F.concat_ws("\n", title, url)
+    says = lambda *words: has(context, words)
+    other = F.lit(False) if city is None else _elsewhere(context, city)
+    return (
+        F.when(status.isin(401, 403, 429) | says("captcha*", "cloudflare", "verify you*", "verify human", "access denied"), "challenge")
+        .when(status == 202, "http-pending")
+        .when(status >= 500, "http-server-error")
+        .when(status >= 400, "http-client-error")
+        .when((status < 200) | (status >= 300), "http-unresolved")
+        .when(says("login", "log-in", "sign-in", "đăng-nhập"), "login")
+        .when(says("consent", "cookie-settings", "privacy-choices", "quyền riêng tư"), "consent-wall")
+        .when(says("mua-ban", "for-sale", "sale", "căn hộ bán", "bán nhà", "bán căn"), "sale")
+        .when(other, "wrong-location")
+        .when(cards > 0, "rental")
+        .when(says("cho-thue", "for-rent", "rent", "rental", "аренд*"), "selector-drift")
+        .when(says("search*", "results", "listing*"), "empty")
+        .otherwise("landing")
+    )
 
-def quote_basis(text: Column) -> Column:
-    """What a quote is for: property, bedroom, room, bed or person; unknown if it varies."""
-    units = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"(?iu)(?:/|\bper\s+|за\s+|mỗi\s+)(bedroom|room|bed|person|pax|người|phòng|giường|человек|комнат|кроват)"), 1), lambda u: F.when(F.lower(u).isin("person", "pax", "người", "человек"), "person").when(F.lower(u).isin("room", "phòng", "комнат"), "room").when(F.lower(u).isin("bed", "giường", "кроват"), "bed").otherwise("bedroom")))
-    return F.when(F.size(units) == 0, "property").when(F.size(units) == 1, F.element_at(units, 1)).otherwise("unknown")
 
+def audience(text: Column) -> Column:
+    """Members from a short form such as 12.3K; commas and blanks are separators."""
+    clean = F.regexp_replace(text, r"[\s,]", "")
+    scale = F.upper(F.regexp_extract(clean, r"(?i)^\d+(?:\.\d+)?([KMB])", 1))
+    times = F.when(scale == "K", 1e3).when(scale == "M", 1e6).when(scale == "B", 1e9).otherwise(1.0)
+    return F.round(F.nullif(F.regexp_extract(clean, r"^(\d+(?:\.\d+)?)", 1), F.lit("")).try_cast("double") * times).cast("long")
 
-def classify_post(text: Column) -> Column:
-    """What a post is about, the first that fits of: request, sale, service, commercial,
-    offer, unrelated. The first three lines count as its headline."""
-    head = F.array_join(F.slice(F.split(F.trim(text), r"\r?\n"), 1, 3), "\n")
-    housing = r"(?iu)apartment|house|villa|studio|room|квартир|комнат|дом(?!\p{L})|căn\s*hộ|phòng|nhà"
-    return (
-        F.when(head.rlike(r"(?iu)looking\s+for|(?<!\p{L})(?:wanted|need)(?!\p{L})|ищ[уе]м?|сниму|cần\s+(?:thuê|tìm)"), "request")
-        .when(head.rlike(r"(?iu)for\s+sale|продам|продаж|bán\s+(?:nhà|căn)"), "sale")
-        .when(head.rlike(r"(?iu)cleaning|transfer|exchange|sim\s*card|visa|уборк|обмен|трансфер|dọn\s*dẹp"), "service")
-        .when(head.rlike(r"(?iu)office|shop|restaurant|warehouse|офис|магазин|mặt\s*bằng"), "commercial")
-        .when(text.rlike(housing) & text.rlike(r"(?iu)rent|аренд|сда[её]|thuê|price|цена|giá"), "offer")
-        .otherwise("unrelated")
-    )
+
+def parse_listing(text: Column, published: Column) -> Column:
+    """All attributes of a listing's text as one struct."""
+    return F.struct(
+        kind_of(text).alias("kind"), location(text).alias("location"), language(text).alias("language"), rent_quote(text).alias("rent"),
+        bedrooms(text).alias("bedrooms"), count_of(text, BATHROOM).alias("bathrooms"), count_of(text, BED).alias("beds"), beds_range(text).alias("beds_range"), count_of(text, GUEST, 3).alias("guests"),
+        area(text).alias("area"), floor(text).alias("floor"), lease_terms(text).alias("lease"), amenities(text).alias("amenities"), utility_charges(text).alias("utilities"),
+        furnished(text).alias("furnished"), pets_allowed(text).alias("pets_allowed"), utilities_included(text).alias("utilities_included"), availability(text).alias("availability"),
+        available_from(text, published).alias("available_from"), coordinates(text).alias("coordinates"), property_id(text).alias("property_id"), contacts(text).alias("contacts"), labeled_fields(text).alias("labeled_fields"),
+    )
 
 
 def redact(text: Column) -> Column:

@@ -112,7 +112,7 @@ def outcome_summary(spark, sf_dir):
 
 
 def field_coverage(spark, sf_dir):
-    return sources.field_coverage(listings(spark, sf_dir), "source_id", ["bedrooms", "rooms", "beds"])
+    return sources.field_coverage(listings(spark, sf_dir, places=False), "source_id", ["bedrooms", "rooms", "beds"])
 
 
 def inventory_first_match(spark, sf_dir):

@@ -64,7 +64,7 @@ def availability_filter(spark, sf_dir):
 
 
 def query_filter(spark, sf_dir):
-    return listings(spark, sf_dir).where(filters.for_query(F.array("search_query"), "DA NANG ")).select("id", "search_query")
+    return listings(spark, sf_dir, parts=False, places=False).where(filters.for_query(F.array("search_query"), "DA NANG ")).select("id", "search_query")
 
 
 def key_value_filters(spark, sf_dir):
@@ -74,7 +74,7 @@ def key_value_filters(spark, sf_dir):
 
 
 def label_filter(spark, sf_dir):
-    rows = listings(spark, sf_dir).drop("rooms")
+    rows = listings(spark, sf_dir, places=False).drop("rooms")
     return rows.where(filters.matches_filters(dict(rows.dtypes), {"rooms": "7", "beds": 3})).select("id")
 
 
@@ -83,7 +83,7 @@ def message_filter(spark, sf_dir):
 
 
 def freshness(spark, sf_dir):
-    rows = listings(spark, sf_dir)
+    rows = listings(spark, sf_dir, parts=False, places=False)
     return rows.groupBy(filters.is_fresh(F.col("collected_at"), NOW, "30 days").alias("fresh"), filters.in_window(F.col("posted_at"), NOW).alias("in_window")).agg(F.count("*").alias("n"))
 
 

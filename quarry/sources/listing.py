@@ -17,28 +17,32 @@ def fx(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(RATES.items()), "currency string, rate double")
 
 
-def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One listing per line item; categories follow from its keys."""
-    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
-    place = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
-    df = line.join(part, F.col("l_partkey") == F.col("p_partkey")).join(place, F.col("l_suppkey") == F.col("s_suppkey"))
+def listings(spark: SparkSession, sf_dir: str, parts: bool = True, places: bool = True) -> DataFrame:
+    """One listing per line item; categories follow from its keys. Without parts there are
+    no title, rooms and labelled fields, without places no city, and no join for them."""
+    df = table(spark, sf_dir, "lineitem")
+    if parts:
+        df = df.join(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    if places:
+        # 25 nations
+        nation = F.broadcast(table(spark, sf_dir, "nation"))
+        df = df.join(table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name"), F.col("l_suppkey") == F.col("s_suppkey"))
     pick = lambda key, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(key) % len(values) + 1).cast("int"))
     number = F.col("l_partkey") % 7
     return df.select(
         F.concat_ws(":", "l_orderkey", "l_linenumber").alias("id"),
         F.col("l_suppkey").alias("source_id"),
         pick("l_suppkey", "telegram", "web", "official-web").alias("source_type"),
-        F.col("n_name").alias("city"),
+        *([F.col("n_name").alias("city")] if places else []),
         pick("l_partkey", "apartment", "house", "villa", "room").alias("kind"),
-        F.col("p_name").alias("title"),
+        *([F.col("p_name").alias("title")] if parts else []),
         F.col("l_extendedprice").alias("amount"),
         pick("l_orderkey", "VND", "USD", "EUR", "GBP", "RUB").alias("currency"),
         pick("l_linenumber", "month", "month", "night", "week", "year").alias("period"),
         pick("l_quantity", "property", "property", "property", "bedroom", "room", "bed", "person").alias("basis"),
         F.when(number == 0, None).when(number == 1, -1.0).when(number == 2, 1.5).otherwise(number - 3).cast("double").alias("bedrooms"),
-        F.when(F.col("p_size") % 5 > 0, F.col("p_size") % 5).cast("double").alias("rooms"),
+        *([F.when(F.col("p_size") % 5 > 0, F.col("p_size") % 5).cast("double").alias("rooms"), F.create_map(F.lit("rooms"), F.array(F.col("p_size").cast("string"))).alias("labeled_fields")] if parts else []),
         (F.col("l_linenumber") % 4).cast("double").alias("beds"),
-        F.create_map(F.lit("rooms"), F.array(F.col("p_size").cast("string"))).alias("labeled_fields"),
         F.when(F.col("l_returnflag") == "R", "unavailable").when(F.col("l_returnflag") == "A", "available").alias("availability"),
         F.when(F.col("l_linestatus") == "F", F.col("l_quantity") > 5).alias("available_now"),
         (F.col("l_linenumber") == 7).alias("review_required"),
