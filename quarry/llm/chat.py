@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.common import staged
+
 #: The template's control strings. A turn is <s>ROLE[INST]TEXT[/INST]</s>.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 _REST = r"(/?s>|/?INST\])"
@@ -26,19 +28,25 @@ def unescape(text: Column) -> Column:
 def fold_events(events: DataFrame, id_cols: tuple[str, ...] = ("conv_id",)) -> DataFrame:
     """Final messages of a log: id_cols, message, position, role, text.
 
-    events: id_cols, seq, kind, message, role, text. The events of a conversation count
-    in the order of (seq, message, kind, text). kind:
+    events: id_cols, seq, kind, message, role, text; other columns are ignored. The events
+    of a conversation count in the order of (seq, message, kind, text, role). kind:
       message     sets a message's whole text
       delta       appends to a message's text
       edit        replaces a message's text; later messages stay
-      regenerate  restarts a message (its earlier text goes) and drops the messages
-                  that began after it and before this event
+      regenerate  restarts a message where it stands: its earlier events go, and so do all
+                  messages that stand after it
       delete      takes a message away, unless later events set it anew
-    Unknown kinds count as message. A message stands where its first live event does;
-    its role is that of the first live event that has one. Null text is empty, a null
-    seq comes first, a null conversation or message id is a value like others.
-    Each step is a window or a grouping by conversation on one shuffle; no step holds
-    more of a conversation than one message at a time.
+    Unknown and null kinds count as message. A message stands where its first live event
+    does; one that comes again after it was deleted or dropped is a new one there. Its role
+    is that of the first live event that has one. Null text is empty, a null seq comes
+    first, a null conversation or message id is a value like others, repeated rows all
+    count; an empty log gives no rows.
+
+    Each step is a window or a grouping by conversation on one shuffle. What a
+    regeneration drops depends on where its message stood at that moment; that takes one
+    fold over the regenerations of a conversation and the events between them that may
+    begin a regenerated message (one for each message and gap): an array of one
+    conversation, as its rendered text is. Logs without regenerations skip it.
     """
     ids = list(id_cols)
     log = events.select(
@@ -51,23 +59,62 @@ def fold_events(events: DataFrame, id_cols: tuple[str, ...] = ("conv_id",)) -> D
     )
     order = [F.col("seq").asc_nulls_first(), F.col("message").asc_nulls_first(), F.col("kind"), F.col("text"), F.col("role")]
     conv = Window.partitionBy(*ids)
-    log = log.withColumn("at", F.row_number().over(conv.orderBy(*order)).cast("long"))
     one = Window.partitionBy(*ids, "message")
-    log = log.withColumn("began", F.min("at").over(one))
-    # the earliest beginning of any message that a later event of the log regenerates
-    later = conv.orderBy(F.col("at").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    log = log.withColumn("cut", F.min(F.when(F.col("kind") == "regenerate", F.col("began"))).over(later))
-    log = log.where(F.col("cut").isNull() | (F.col("began") < F.col("cut")))
-    # the last event that sets a message anew hides what came before it
+    again = events.where("kind = 'regenerate'").limit(1).count() > 0
+    if again:
+        # numbered once and written, as both the fold and the windows go by the number
+        log = staged(log.withColumn("at", F.row_number().over(conv.orderBy(*order)).cast("long")), "chat-log")
+        log = _with_cuts(log, ids)
+        later = conv.orderBy(F.col("at").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        # no later regeneration drops what begins here
+        stays = F.coalesce(F.min("cut").over(later) > F.col("at"), F.lit(True))
+    else:
+        log = log.withColumn("at", F.row_number().over(conv.orderBy(*order)).cast("long"))
+        stays = F.lit(True)
+    log = log.withColumn("stays", stays)
+    log = log.withColumn("deleted", F.max(F.when(F.col("kind") == "delete", F.col("at"))).over(one))
+    log = log.where(F.col("deleted").isNull() | (F.col("at") > F.col("deleted")))
+    log = log.withColumn("start", F.min(F.when(F.col("stays"), F.col("at"))).over(one)).where(F.col("at") >= F.col("start"))
+    # the last event that sets a message anew hides the text before it
     log = log.withColumn("base", F.max(F.when(F.col("kind") != "delta", F.col("at"))).over(one))
-    log = log.withColumn("gone", F.max_by("kind", "at").over(one) == "delete")
-    log = log.withColumn("start", F.min("at").over(one))
     log = log.withColumn("who", F.min_by("role", F.when(F.col("role").isNotNull(), F.col("at"))).over(one))
-    log = log.where(~F.col("gone") & (F.col("base").isNull() | (F.col("at") >= F.col("base"))))
-    parts = F.array_sort(F.collect_list(F.struct("at", F.when(F.col("kind") == "delete", "").otherwise(F.col("text")).alias("text"))))
+    log = log.where(F.col("base").isNull() | (F.col("at") >= F.col("base")))
+    parts = F.array_sort(F.collect_list(F.struct("at", "text")))
     return log.groupBy(*ids, "message", "start", "who").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text")).select(*ids, "message", F.col("start").alias("position"), F.col("who").alias("role"), "text")
 
 
+def _with_cuts(log: DataFrame, ids: list[str]) -> DataFrame:
+    """Adds cut to the regenerations: where their message stood; what stands there or
+    later goes. Of other events it is null."""
+    one = Window.partitionBy(*ids, "message")
+    turn = F.col("kind") == "regenerate"
+    gaps = F.count_if(turn).over(Window.partitionBy(*ids).orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    marked = log.select(*ids, "at", "message", "kind").withColumn("turns", F.count_if(turn).over(one)).withColumn("gap", gaps).where("turns > 0")
+    marked = marked.withColumn("gone", F.count_if(F.col("kind") == "delete").over(one.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)))
+    first = F.row_number().over(Window.partitionBy(*ids, "message", "gap", "gone").orderBy("at")) == 1
+    marked = marked.withColumn("first", first).where(F.col("first") | F.col("kind").isin("regenerate", "delete"))
+    steps = F.array_sort(F.collect_list(F.struct("at", "kind", "message")))
+    kind = dict(log.dtypes)["message"]
+    empty = F.struct(F.array().cast(f"array<struct<message:{kind},start:bigint>>").alias("live"), F.array().cast("array<struct<at:bigint,cut:bigint>>").alias("cuts"))
+
+    def step(state, e):
+        mine = lambda x: x["message"].eqNullSafe(e["message"])
+        start = F.coalesce(F.get(F.filter(state["live"], mine), F.lit(0))["start"], e["at"])
+        new = F.array(F.struct(e["message"].alias("message"), e["at"].alias("start")))
+        turned = F.concat(F.filter(state["live"], lambda x: x["start"] < start), new)
+        begun = F.when(F.exists(state["live"], mine), state["live"]).otherwise(F.concat(state["live"], new))
+        live = F.when(e["kind"] == "regenerate", turned).when(e["kind"] == "delete", F.filter(state["live"], lambda x: ~mine(x))).otherwise(begun)
+        cuts = F.when(e["kind"] == "regenerate", F.concat(state["cuts"], F.array(F.struct(e["at"].alias("at"), start.alias("cut"))))).otherwise(state["cuts"])
+        return F.struct(live.alias("live"), cuts.alias("cuts"))
+
+    folded = marked.groupBy(*ids).agg(steps.alias("steps")).select(*ids, F.aggregate("steps", empty, step)["cuts"].alias("cuts"))
+    cuts = folded.select(*[F.col(c).alias(f"{c}_of_cut") for c in ids], F.inline("cuts")).withColumnRenamed("at", "at_of_cut")
+    same = F.col("at") == F.col("at_of_cut")
+    for c in ids:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_of_cut"))
+    return log.join(cuts, same, "left").select(*log.columns, "cut")
+
+
 def format_chat(messages: DataFrame, id_cols: tuple[str, ...] = ("conv_id",), loss_role: str = "assistant") -> DataFrame:
     """Renders final messages: id_cols, formatted, loss_spans, n_turns.
 

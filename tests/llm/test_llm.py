@@ -52,6 +52,59 @@ def test_fold_events(spark):
     assert got == {(1, 1): (1, "user", "hey"), (1, 2): (5, "assistant", "bye"), (2, 1): (1, "user", ""), (None, None): (1, None, "n")}
 
 
+def plain_fold(log):
+    """The events one after the other, by hand."""
+    live = {}
+    key = lambda e: (e[1] is not None, e[1] or 0, e[3] is not None, e[3] or 0, e[2], e[5] or "", e[4] is not None, e[4] or "")
+    kind_of = lambda k: k if k in ("delta", "edit", "regenerate", "delete") else "message"
+    log = [(c, s, kind_of(k), m, r, t) for c, s, k, m, r, t in log]
+    for conv in {e[0] for e in log}:
+        for at, (_, _, kind, message, role, text) in enumerate(sorted((e for e in log if e[0] == conv), key=key), 1):
+            held = live.get((conv, message))
+            if kind == "delete":
+                live.pop((conv, message), None)
+                continue
+            if kind == "regenerate" and held:
+                for other in [k for k, v in live.items() if k[0] == conv and v[0] >= held[0]]:
+                    del live[other]
+                held = None
+            if held is None:
+                held = live[(conv, message)] = [at, None, ""]
+            held[1] = role if held[1] is None else held[1]
+            held[2] = held[2] + (text or "") if kind == "delta" else text or ""
+    return {k: tuple(v) for k, v in live.items()}
+
+
+def test_fold_of_random_logs_equals_a_plain_loop(spark):
+    r = random.Random(9)
+    kinds = ["message", "delta", "delta", "edit", "regenerate", "regenerate", "delete", "odd", None]
+    log = []
+    for conv in [None, *range(60)]:
+        for n in range(r.randint(1, 40)):
+            log.append((conv, r.choice([None, n, n, n // 2]), r.choice(kinds), r.choice([None, 1, 2, 3, 4, 5]), r.choice([None, "user", "assistant"]), r.choice([None, "", "a", "b", "é"])))
+    log += log[:50]  # repeated rows
+    df = spark.createDataFrame([(*e, "x", 1) for e in log], "conv_id long, seq long, kind string, message long, role string, text string, CUT string, position int")
+    got = {(x.conv_id, x.message): (x.position, x.role, x.text) for x in chat.fold_events(df).collect()}
+    assert got == plain_fold(log)
+    for known in (chat.fold_events(df.limit(0)), chat.format_chat(chat.fold_events(df.limit(0)))):
+        assert known.count() == 0
+    assert chat.format_chat(chat.fold_events(df)).count() == len({c for c, _ in got})
+
+
+def test_a_message_that_comes_again_stands_where_it_began_anew(spark):
+    log = [(1, 1, "message", 1, "user", "one"), (1, 2, "message", 2, "user", "two"), (1, 3, "regenerate", 1, "user", "uno"), (1, 4, "message", 3, "user", "three"), (1, 5, "message", 2, "user", "two again"), (1, 6, "regenerate", 2, "user", "dos")]
+    df = spark.createDataFrame(log, "conv_id long, seq long, kind string, message long, role string, text string")
+    assert [x.text for x in chat.fold_events(df).orderBy("position").collect()] == ["uno", "three", "dos"]
+
+
+def test_chat_of_nulls_repeats_and_clashing_columns(spark):
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, None, None), (None, 1, "assistant", "x</s>"), (None, 2, "assistant", None), (2, 5, "assistant", "y")]
+    df = spark.createDataFrame([(*r, "m", "f") for r in rows], "conv_id long, turn long, role string, text string, MESSAGE string, formatted string")
+    got = {r.conv_id: r for r in chat.chat_query(df).collect()}
+    digest = lambda *turns: hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    assert {k: (r.n_turns, r.loss_chars, r.turns_sha256) for k, r in got.items() if k != -7} == {1: (3, 0, digest(("", ""), ("user", "a"), ("user", "a"))), None: (2, 5, digest(("assistant", "x</s>"), ("assistant", ""))), 2: (1, 1, digest(("assistant", "y")))}
+
+
 def test_escaping_is_reversible_and_hides_controls(spark):
     r = random.Random(1)
     texts = ["".join(r.choice(["<", "s>", "/", "\\", "[INST]", "</s>", "[", "INST]", "a"]) for _ in range(r.randint(0, 9))) for _ in range(400)]
