@@ -184,15 +184,29 @@ def test_jaccard_odd_rows(spark):
     assert jaccard.jaccard_components(odd_docs(spark).limit(0)).count() == 0
 
 
-def test_url_cascade_equals_join(spark, monkeypatch):
-    pages = spark.createDataFrame([(i, f"http://{'a.' * (i % 3)}h{i}.com/{'en/' * (i % 2)}x{i}") for i in range(300)] + [(900, None), (901, "no url"), (902, "http://H1.com")], "page_id long, url string")
-    rules = spark.createDataFrame([(f"h{i}.com", "/en/" if i % 4 else "/", "block" if i % 3 else "allow") for i in range(0, 300, 2)] + [(None, "/", "block")], "host string, path string, verdict string")
-    one = sorted(map(tuple, url_filter.judge_urls(pages, rules).collect()), key=repr)
-    monkeypatch.setattr(url_filter, "MAX_BITS", 1)
-    assert one == sorted(map(tuple, url_filter.judge_urls(pages, rules).collect()), key=repr)
-    assert any(r[-2] for r in one)
-    assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
-    assert {r.verdict for r in url_filter.judge_urls(pages, rules.limit(0)).collect()} == {"allow"}
+def judged_by_hand(url, rules):
+    """host, path, rule, verdict by trying every rule."""
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host = re.match("[^/?#]*", rest)[0].lower()
+    path = re.match("[^?#]*", rest[len(host) :])[0]
+    fits = [(len(h) + len(p), len(h), v == "block", h + p) for h, p, v in rules if h is not None and p is not None and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, default=None)
+    return host, path, best[3] if best else None, "allow" if best is None or not best[2] else "block"
+
+
+def test_url_rules_by_hand_in_one_pass_and_in_several(spark, monkeypatch):
+    r = random.Random(3)
+    urls = [f"http://{'a.' * (i % 3)}h{i}.com/{'en/' * (i % 2)}x{i}?q=//" for i in range(300)] + [None, "no url", "http://H1.com", "x://", "http://h2.comen/x", "http://h2.com", "HTTP://h2.com?x"]
+    pages = spark.createDataFrame([(i, u, "a", "b", "c") for i, u in enumerate([*urls, *urls[:20]])], "page_id long, url string, HOST string, first string, Verdict string")
+    rules = [(f"h{i}.com", r.choice(["/en/", "/", "", "/x"]), r.choice(["block", "allow"])) for i in range(0, 300, 2)] + [(None, "/", "block"), ("com", None, "block"), ("h2.com", "en", "block"), ("com", "/en/", "block"), ("h4.com", "/", "allow"), ("h4.com", "/", "block")]
+    want = collections.Counter((i, *judged_by_hand(u, rules)) for i, u in enumerate([*urls, *urls[:20]]))
+    known = spark.createDataFrame(rules, "host string, path string, verdict string")
+    got = lambda: collections.Counter((x.page_id, x.host, x.path, x.rule, x.verdict) for x in url_filter.judge_urls(pages, known).collect())
+    assert got() == want and url_filter.judge_urls(pages, known).columns == ["page_id", "url", "first", "host", "path", "rule", "verdict"]
+    monkeypatch.setattr(url_filter, "MAX_BITS", 800)
+    assert url_filter.passes_for(len(rules)) == 3 and got() == want
+    assert url_filter.judge_urls(pages.limit(0), known).count() == 0
+    assert {x.verdict for x in url_filter.judge_urls(pages, known.limit(0)).collect()} == {"allow"}
 
 
 def test_line_dedup_keeps_first_and_odd_rows(spark):
