@@ -219,6 +219,21 @@ def test_line_dedup_keeps_first_and_odd_rows(spark):
     assert line_dedup.drop_repeated_lines(df.limit(0)).count() == 0
 
 
+def test_line_filters_travel_whole_and_stay_exact_when_they_are_full(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    for n in (0, 5, 32767, 32768, 32769, 900000):
+        at = np.sort(r.choice(1 << line_dedup.CHUNK_BITS, n, replace=False))
+        assert (line_dedup._positions(line_dedup._sent(at)) == at).all()
+    # 200800 lines: a filter of four ranges, then one range of five bits a line
+    rows = [(i, "\n".join([*(f"line {i} {j}" for j in range(500)), "common", f"pair {i // 2}"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = {i: (502, 1) for i in range(400)}
+    got = lambda **how: {x.doc_id: (x.n_lines, x.n_dropped) for x in line_dedup.drop_repeated_lines(df, **how).collect()}
+    assert got() == want
+    monkeypatch.setattr(line_dedup, "MAX_BITS", 1 << 20)
+    assert got() == want and set(got(min_documents=2).values()) == {(502, 2)}
+
+
 def tokenizer():
     from tokenizers import Tokenizer
 
