@@ -171,6 +171,13 @@ def test_jaccard_equals_brute_force_on_hot_groups(spark):
     assert got == sorted(brute_groups(rows))
 
 
+def test_jaccard_when_names_of_sets_clash(spark):
+    rows = near_copies(seed=5, n=200)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in jaccard.jaccard_components(df, sample_mod=2, node_bits=11).collect())
+    assert got == sorted(brute_groups(rows))
+
+
 def test_jaccard_equals_brute_force_on_documents(spark):
     df = spark.read.parquet(f"{DATA}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
