@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,72 +68,111 @@ def repeats(features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return again, (np.sqrt(nth + 1) - np.sqrt(nth)).astype(np.float32)
 
 
-def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many texts each feature is, and the number of texts, over all of them."""
-    counted = texts.mapInArrow(_counted, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    found = counted.toArrow()  # one row per feature, and one for all texts
-    df = np.zeros(FEATURES + 1)
-    df[found["feature"].to_numpy()] = found["n"].to_numpy()
-    return df[:-1], int(df[-1])
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = np.zeros(FEATURES + 1, np.int64)
-    here = np.zeros(FEATURES, bool)
-    for batch in batches:
-        for _, hashes in texts_of(batch["text"]):
-            here[:] = False
-            here[features_of(hashes)] = True
-            n[:-1] += here
-            n[-1] += 1
-    feature = np.flatnonzero(n)
-    yield pa.RecordBatch.from_arrays([pa.array(feature.astype(np.int32)), pa.array(n[feature])], ["feature", "n"])
-
-
-def fit_latent(texts: DataFrame, idf: np.ndarray, rank: int, spare: int = 4, rounds: int = 2, seed: int = 5) -> Latent:
-    """Randomised SVD of the TF-IDF passages of texts: A'A is applied to a random block
-    by all partitions together, rounds times, with a QR step after each; then the small
-    projected matrix gives the right singular vectors."""
-    spark = texts.sparkSession
-    block = np.linalg.qr(np.random.default_rng(seed).standard_normal((FEATURES, rank + spare)))[0].astype(np.float32)
-    for last in [False] * rounds + [True]:
-        shared = spark.sparkContext.broadcast((block, idf))
-        total = np.zeros_like(block)
-        for part in texts.mapInArrow(_applied(shared), "features binary, sums binary").toLocalIterator():
-            features = np.frombuffer(part["features"], np.int64)
-            total[features] += np.frombuffer(part["sums"], np.float32).reshape(len(features), -1)
-        shared.destroy()
-        if not last:
-            block = np.linalg.qr(total)[0]
-    values, turn = np.linalg.eigh((block.T @ total).astype(np.float64))
-    return Latent(idf.astype(np.float32)[:, None] * (block @ turn[:, np.argsort(-values)[:rank]].astype(np.float32)))
-
-
-def _applied(shared):
+def sketch(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """One pass over all passages of all texts (text, seed): a sketch of their count
+    matrix, size x FEATURES, each feature's number of texts, and the number of texts.
+
+    Each passage is added, with a random sign, to one random row of the sketch: a sparse
+    random projection from the left, whose leading right singular vectors are about those
+    of the whole matrix. Weights by feature can be put on afterwards. Each partition sends
+    its own sketch (row by row, half precision, nonzero cells only where those are fewer);
+    sums merge in two levels, so no task gets more than the root of the partitions."""
+    columns = "row int, part int, at binary, held binary"
+    local = texts.mapInArrow(_sketched(size), columns)
+    fan = max(1, math.isqrt(texts.rdd.getNumPartitions()))
+    met = local.groupBy("row", F.pmod("part", F.lit(fan)).alias("meet")).applyInArrow(_summed, columns)
+    out = np.zeros((size + 2, FEATURES), np.float32)
+    df, total = np.zeros(FEATURES), 0
+    for row in met.groupBy("row").applyInArrow(_summed, columns).toLocalIterator():
+        values = _cells(row["row"], size, row["at"], row["held"])
+        if row["row"] == size:
+            df = values
+        elif row["row"] > size:
+            total = int(values[0])
+        else:
+            out[row["row"]] = values
+    return out[:size], df, total
+
+
+def _sketched(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, idf = shared.value
-        total = np.zeros(block.shape, np.float32)
+        cells = np.zeros(size * FEATURES, np.float32)
+        df = np.zeros(FEATURES)
+        here = np.zeros(FEATURES, bool)
+        n = 0
         for batch in batches:
-            for _, hashes in texts_of(batch["text"]):
+            seeds = batch["seed"].to_numpy()
+            for row, hashes in texts_of(batch["text"]):
+                n += 1
                 features = features_of(hashes)
-                counts = np.ones(len(features))
+                here[:] = False
+                here[features] = True
+                df += here
+                if not len(features):
+                    continue
+                counts = np.ones(len(features), np.float32)
                 again, share = repeats(features)
                 counts[again] = share
-                for begin in range(0, max(1, len(features) - STEP), STEP):
-                    here, which = np.unique(features[begin : begin + WINDOW], return_inverse=True)
-                    row = idf[here] * np.bincount(which, counts[begin : begin + WINDOW], len(here))
-                    size = np.sqrt((row**2).sum())
-                    if size:
-                        row = (row / size).astype(np.float32)
-                        total[here] += row[:, None] * (row @ block[here])
-        # features that no passage has stay away; pieces of 200 kB
-        touched = np.flatnonzero(total.any(axis=1))
-        for part in (touched[i : i + 512] for i in range(0, len(touched), 512)):
-            yield pa.RecordBatch.from_arrays([pa.array([part.tobytes()], pa.binary()), pa.array([total[part].tobytes()], pa.binary())], ["features", "sums"])
+                # a block is part of the passage that it begins and of the one before
+                blocks = -(-len(features) // STEP)
+                passages = max(1, blocks - 1)
+                dice = mix(np.arange(passages, dtype=np.uint64) + mix(np.array([seeds[row]], np.int64).view(np.uint64)))
+                where = (dice >> np.uint64(1)) % np.uint64(size)
+                sign = (dice & np.uint64(1)).astype(np.float32) * 2 - 1
+                block = np.arange(len(features)) // STEP
+                for shift in (0, 1) if blocks > 1 else (0,):
+                    of = block - shift
+                    keep = (of >= 0) & (of < passages)
+                    np.add.at(cells, where[of[keep]].astype(np.int64) * FEATURES + features[keep], sign[of[keep]] * counts[keep])
+        part = TaskContext.get().partitionId()
+        for i, held in enumerate(cells.reshape(size, FEATURES)):
+            if held.any():
+                yield _sent(i, part, held, np.float16)
+        yield _sent(size, part, df, np.float64)
+        yield _sent(size + 1, part, np.array([n], np.float64), np.float64)
 
     return run
 
 
+def _sent(row: int, part: int, values: np.ndarray, kind) -> pa.RecordBatch:
+    """A row of numbers: the nonzero ones with their places, or all of them."""
+    at = np.flatnonzero(values)
+    if 2 * len(at) >= len(values):
+        at, values = np.zeros(0, np.uint16), np.clip(values, *((-6e4, 6e4) if kind is np.float16 else (None, None)))
+    else:
+        values = values[at]
+    return pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([part], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([np.dtype(kind).char.encode() + values.astype(kind).tobytes()], pa.binary())], ["row", "part", "at", "held"])
+
+
+def _cells(row: int, size: int, at, held) -> np.ndarray:
+    out = np.zeros(FEATURES)
+    values = np.frombuffer(held, held[:1].decode(), offset=1)
+    if len(at):
+        out[np.frombuffer(at, np.uint16)] = values
+    else:
+        out[: len(values)] = values
+    return out
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    row = table["row"][0].as_py()
+    total = np.zeros(FEATURES)
+    for at, held in zip(table["at"], table["held"], strict=True):
+        total += _cells(row, 0, at.as_py(), held.as_py())
+    # sums keep full precision; counts are whole numbers
+    return pa.Table.from_batches([_sent(row, table["part"][0].as_py(), total, np.float64 if np.array_equal(total, np.floor(total)) else np.float32)])
+
+
+def latent_of(cells: np.ndarray, idf: np.ndarray, rank: int) -> Latent:
+    """The leading right singular vectors of the weighted sketch."""
+    weighted = cells * idf.astype(np.float32)
+    values, left = np.linalg.eigh((weighted @ weighted.T).astype(np.float64))
+    order = np.argsort(-values)[:rank]
+    order = order[values[order] > 1e-9 * max(values.max(initial=0), 1e-30)]
+    right = weighted.T @ (left[:, order] / np.sqrt(values[order])).astype(np.float32)
+    return Latent(idf.astype(np.float32)[:, None] * right)
+
+
 def common_words(item: np.ndarray, region: np.ndarray) -> int:
     """Length of the longest common subsequence, by bits of the item's positions."""
     places: dict[int, int] = {}
@@ -252,49 +293,57 @@ def find_leaks(
     verbatim: float = 0.75,
     paraphrase: float = 0.5,
     answer_words: int = 4,
-    fit_texts: int = 1024,
-    most_items: int = 20000,
+    sketch_rows: int = 192,
+    block_items: int = 20000,
 ) -> DataFrame:
     """Benchmark items in documents: id, text_hash (xxhash64 of the text), item_id,
     cosine, common_share, answer, first_word. One row per document and item.
 
-    Every passage of every text (WINDOW words every STEP words) is compared with every
-    passage of every item in a latent space of rank dimensions; a cosine of least_cosine
-    makes a candidate, and so do the item's rarest words and its answer, which are looked
-    up exactly (Lookup): an item that passes the checks is found whatever its words weigh
-    and however many texts hold it. Candidates of which too many words are nowhere in the text can't
-    pass the checks and go at once, as do passages around which too many are missing. It is a leak if the longest common subsequence of the item and
-    the text around the passage has the share verbatim of the item's words, or the share
-    paraphrase and the item's answer, its last answer_words words, in one piece.
-
-    Document frequencies count all texts; the space is fitted on the items and about
-    fit_texts different texts chosen by hash. The benchmark is a stated query set: its items are
-    broadcast, most_items at most (an error beyond; call it in parts). Null and empty
-    texts and items hold no words and match nothing; rows with the same id and text give
-    one row for each item; null ids stay null; other columns are ignored.
+    Every passage of every text (WINDOW words every STEP words) is compared with the
+    passages of the items that the text has enough words of, in a latent space of rank
+    dimensions; a cosine of least_cosine makes a candidate, and so do the item's rarest
+    words and its answer, which are looked up exactly (Lookup): an item that passes the
+    checks is found whatever its words weigh and however many texts hold it. Items of
+    which too many words are nowhere in the text can't pass the checks, nor can passages
+    around which too many are missing. It is a leak if the longest common subsequence of
+    the item and the text around the passage has the share verbatim of the item's words,
+    or the share paraphrase and the item's answer, its last answer_words words, in one
+    piece.
+
+    The latent space is a randomised SVD of the TF-IDF passages of all texts: one pass
+    counts each word's texts and adds every passage to a sketch of sketch_rows rows (see
+    sketch), whose leading right singular vectors span the space. The benchmark is a
+    stated query set: it is taken in blocks of block_items items, of which each is
+    broadcast and takes a pass over the texts. Null and empty texts and items hold no
+    words and match nothing; rows with the same id and text give one row for each item;
+    rows of the benchmark that share an item_id give one row; null ids stay null; other
+    columns are ignored; empty tables give no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     items = benchmark.select(F.col(f"`{item_col}`").alias("item"), F.coalesce(F.col(f"`{item_text_col}`").cast("string"), F.lit("")).alias("text"))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    known = items.limit(most_items + 1).toArrow()
-    if known.num_rows > most_items:
-        raise ValueError(f"more than {most_items} benchmark items")
-    df, total = document_frequencies(rows.select("text"))
+    cells, df, total = sketch(rows.select("text", F.xxhash64("id", "text").alias("seed")), sketch_rows)
     # above zero for every word
     idf = np.log((total + 1) / (df + 0.5))
-    # a text that a third of all rows share counts once
-    chosen = rows.select("text").where(F.pmod(F.xxhash64("text"), F.lit(max(1, total // fit_texts))) == 0).distinct().repartition(2, F.xxhash64("text"))
-    # staged, as the fit goes through them several times
-    latent = fit_latent(staged(chosen.union(items.select("text").repartition(1)), "latent-texts"), idf, rank)
-    words = [h for _, h in texts_of(known["text"].combine_chunks())] if known.num_rows else []
-    shared = spark.sparkContext.broadcast((latent, words, idf))
+    latent = latent_of(cells, idf, rank)
+    blocks = max(1, -(-items.count() // block_items))
+    dealt = items if blocks == 1 else staged(items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))), "items")
     kind, item_kind = dict(rows.dtypes)["id"], dict(items.dtypes)["item"]
-    found = rows.withColumn("hash", F.xxhash64("text")).mapInArrow(_matches(shared, least_cosine, verbatim, paraphrase, answer_words), f"id {kind}, text_hash long, item int, cosine double, common_share double, answer boolean, first_word long")
-    named = spark.createDataFrame([(i, v) for i, v in enumerate(known["item"].to_pylist())], f"item int, {item_col} {item_kind}")
-    best = found.groupBy("id", "text_hash", "item").agg(F.max(F.struct("common_share", "cosine", "answer", "first_word")).alias("best"))
-    out = best.join(F.broadcast(named), "item")
-    return out.select(F.col("id").alias(id_col), "text_hash", item_col, "best.cosine", "best.common_share", "best.answer", "best.first_word")
+    hashed = rows.withColumn("hash", F.xxhash64("text"))
+    parts = []
+    for block in range(blocks):
+        known = (dealt if blocks == 1 else dealt.where(F.col("block") == block).select("item", "text")).toArrow()
+        words = [h for _, h in texts_of(known["text"].combine_chunks())] if known.num_rows else []
+        shared = spark.sparkContext.broadcast((latent, words, idf))
+        found = hashed.mapInArrow(_matches(shared, least_cosine, verbatim, paraphrase, answer_words), f"id {kind}, text_hash long, item int, cosine double, common_share double, answer boolean, first_word long")
+        named = spark.createDataFrame([(i, v) for i, v in enumerate(known["item"].to_pylist())], f"item int, {item_col} {item_kind}")
+        parts.append(found.join(F.broadcast(named), "item").drop("item"))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    best = every.groupBy("id", "text_hash", item_col).agg(F.max(F.struct("common_share", "cosine", "answer", "first_word")).alias("best"))
+    return best.select(F.col("id").alias(id_col), "text_hash", item_col, "best.cosine", "best.common_share", "best.answer", "best.first_word")
 
 
 def _matches(shared, least_cosine: float, verbatim: float, paraphrase: float, answer_words: int):
@@ -327,16 +376,19 @@ def _matches(shared, least_cosine: float, verbatim: float, paraphrase: float, an
                 most = found[bounds[1:]] - found[bounds[:-1]]
                 answered = found[bounds[1:]] - found[bounds[1:] - tails] == tails
                 possible = (lengths > 0) & ((most >= sure) | ((most >= maybe) & answered))
+                if not possible.any():
+                    continue
                 passages = latent.passages(features_of(hashes))
+                own_sides = np.flatnonzero(possible[item_of])
                 exact = lookup.passages(hashes, at, possible, len(passages))
                 best: dict[int, tuple] = {}
                 for top in range(0, len(passages), 4096):
-                    cosine = passages[top : top + 4096] @ sides
+                    cosine = passages[top : top + 4096] @ sides[:, own_sides]
                     near = cosine >= least_cosine
-                    alike = np.unique(item_of[near.any(axis=0) & possible[item_of]]).tolist()
+                    alike = np.unique(item_of[own_sides[near.any(axis=0)]]).tolist()
                     for i in sorted({*alike, *exact}):
                         item, n, tail = words[i], len(words[i]), int(tails[i])
-                        its = slice(sides_of[i], sides_of[i + 1])
+                        its = slice(*np.searchsorted(own_sides, sides_of[i : i + 2]))
                         wanted = near[:, its].any(axis=1)
                         sought = exact.get(i, np.zeros(0, np.int64)) - top
                         wanted[sought[(sought >= 0) & (sought < len(wanted))]] = True

@@ -446,6 +446,59 @@ def test_leaks_equal_brute_force_for_frequent_short_and_paraphrased_items(spark)
     assert {(x.doc_id, x.item_id) for x in decontam.find_leaks(df, spark.createDataFrame(list(bench.items()), "item_id long, text string")).collect()} == want
 
 
+def test_sketch_spans_the_passages_of_all_texts(spark):
+    """Against the exact space of the same passages; counts of texts are exact."""
+    r = np.random.default_rng(2)
+    topics = [[f"t{t}w{i}" for i in range(40)] for t in range(8)]
+    texts = [" ".join(r.choice(topics[i % 8], 200)) for i in range(160)] + [None, "", "one"]
+    df = spark.createDataFrame([(t or "", i) for i, t in enumerate(texts)], "text string, seed long").repartition(5)
+    cells, counts, total = decontam.sketch(df, 64)
+    assert total == 163
+    words = {w for t in topics for w in t}
+    import pyarrow as pa
+
+    place = {w: int(decontam.features_of(h)[0]) for w, (_, h) in zip(sorted(words), decontam.texts_of(pa.array(sorted(words))), strict=True)}
+    assert len(set(place.values())) < len(words) or all(counts[place[w]] == sum(w in (t or "").split() for t in texts) for w in words)
+    space = decontam.latent_of(cells, np.ones(decontam.FEATURES), 8).embed
+    held = [np.linalg.norm(space[[place[w] for w in topic]].sum(axis=0)) / np.sqrt(40) for topic in topics]
+    assert min(held) > 0.9  # the direction of each topic lies in the space
+
+
+def test_leaks_of_items_in_blocks(spark):
+    r = random.Random(6)
+    vocabulary = [f"word{i}" for i in range(3000)]
+    items = [" ".join(r.choice(vocabulary) for _ in range(20)) for _ in range(30)]
+    docs = [(i, " ".join(r.choice(vocabulary) for _ in range(60)) + " " + items[i % 30]) for i in range(90)] + [(5, None), (0, "repeated"), (0, "repeated")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([*enumerate(items), (3, items[3])], "item_id long, text string")
+    got = [(x.doc_id, x.item_id) for x in decontam.find_leaks(df, bench, block_items=8).collect()]
+    assert sorted(got) == sorted((i, i % 30) for i in range(90))
+    long = " ".join(r.choice(vocabulary) for _ in range(60000))
+    odd = spark.createDataFrame([(1, long + " " + items[4], 7), (1, long + " " + items[4], 7), (None, items[5], 7)], "doc_id long, text string, ITEM int")
+    assert sorted(((x.doc_id, x.item_id) for x in decontam.find_leaks(odd, bench).collect()), key=str) == [(1, 4), (None, 5)]
+
+
+def test_recall_of_paraphrases(spark):
+    """A third of the words replaced, the answer kept, cosine as shipped; and nothing that
+    a search of all passages with the subsequence doesn't find."""
+    r = random.Random(8)
+    vocabulary = [f"w{i}x" for i in range(2500)]
+    items = {k: " ".join(r.choice(vocabulary) for _ in range(r.randint(24, 50))) for k in range(60)}
+    docs = {}
+    for i in range(180):
+        w = [r.choice(vocabulary) for _ in range(r.randint(30, 200))]
+        if i % 3 == 0:
+            copy = items[i % 60].split()
+            for j in r.sample(range(len(copy) - 4), len(copy) // 3):
+                copy[j] = r.choice(vocabulary)
+            w[10:10] = copy
+        docs[i] = " ".join(w)
+    want = brute_leaks(docs, items)
+    assert {(i, i % 60) for i in range(0, 180, 3)} <= want
+    got = {(x.doc_id, x.item_id) for x in decontam.find_leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert got == want
+
+
 def test_common_subsequence():
     r = np.random.default_rng(3)
     for _ in range(60):
