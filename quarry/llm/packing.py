@@ -26,7 +26,7 @@ def pack_documents(
     end_id: int = 2,
     shard_docs: int = 512,
     shard_tokens: int = 1 << 21,
-    common_share: float = 0.25,
+    common_share: float = 0.5,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (unsigned 32-bit, little-endian),
     doc_tokens, sequence_id, offset.
@@ -37,15 +37,18 @@ def pack_documents(
     sequences of lengths that are powers of two. Repeated rows are documents of their
     own, null ids stay null, other columns are ignored; an empty table gives no pieces.
 
-    Documents are dealt by their most telling token, of the highest BM25 weight, so that
-    related ones are neighbours in a partition, and taken in shards of shard_docs
-    documents or shard_tokens ids. Each shard has an inverted index with BM25 weights;
+    Documents are dealt by their two most telling tokens, of the highest BM25 weights, and
+    then by their ids, so that related ones are neighbours in a partition and equal ones
+    stand together; where all that is equal, rows are spread. They are taken in shards of
+    shard_docs documents or shard_tokens ids; a seed finds neighbours in its own shard. Each shard has an inverted index with BM25 weights;
     document frequencies come from all documents, one number for each of the tokenizer's
     ids. A seed document opens a window and its unused neighbours fill it in the order
     of their scores against the seed's whole text; the last one is cut to fit, and its
     rest seeds the next window. Parts of window ids that a document fills alone are
     sequences at once. What a shard can't fill goes on to the next. Tokens of more than
-    common_share of all documents tell nothing and are not indexed.
+    common_share of all documents (half of them, where the classic weight is negative)
+    tell nothing and are not indexed. Ids are held in 16 bits: a tokenizer with more ids
+    is refused.
     """
     kind = dict(docs.select(F.col(f"`{id_col}`").alias("id")).dtypes)["id"]
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -59,12 +62,14 @@ def pack_documents(
     total = tokens.count()
     length = (tokens.select(F.avg(F.length("ids") / 2)).first()[0]) or 1.0
     weight = np.log1p((total - df + 0.5) / (df + 0.5))
+    dealing = spark.sparkContext.broadcast(weight.copy())
     weight[df > common_share * max(total, 8)] = 0
     shared = spark.sparkContext.broadcast(weight)
-    told = tokens.mapInArrow(_told(shared), f"id {kind}, ids binary, term int")
+    told = tokens.mapInArrow(_told(dealing), f"id {kind}, ids binary, term int, second int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    told = told.withColumn("spread", F.xxhash64(F.monotonically_increasing_id()))
-    dealt = told.repartitionByRange(parts, "term", "spread").sortWithinPartitions("term", "spread").drop("term", "spread")
+    order = ["term", "second", "equal", "spread"]
+    told = told.withColumn("equal", F.xxhash64("ids")).withColumn("spread", F.xxhash64(F.monotonically_increasing_id()))
+    dealt = told.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop(*order)
     return dealt.mapInArrow(_packed(shared, length, window, shard_docs, shard_tokens), PIECE.format(kind=kind)).withColumnRenamed("doc_id", id_col)
 
 
@@ -98,11 +103,15 @@ def _told(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = shared.value
         for batch in batches:
-            term = []
+            terms = []
             for ids in _ids(batch["ids"]):
                 here, n = np.unique(ids, return_counts=True)
-                term.append(int(here[np.argmax(weight[here] * n / (n + K1))]))
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["ids"], pa.array(term, pa.int32())], ["id", "ids", "term"])
+                score = weight[here] * n / (n + K1)
+                first = int(np.argmax(score))
+                score[first] = -1
+                terms.append((int(here[first]), int(here[np.argmax(score)])))
+            first, second = zip(*terms, strict=True) if terms else ((), ())
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["ids"], pa.array(first, pa.int32()), pa.array(second, pa.int32())], ["id", "ids", "term", "second"])
 
     return run
 

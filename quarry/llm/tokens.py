@@ -41,6 +41,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
+        if self.inner.get_vocab_size() > 1 << 16:
+            raise ValueError(f"{path} has {self.inner.get_vocab_size()} ids; 65536 can be held")
         (self.mark,) = self.encode(MARK)
         self.pieces: dict[str, list[int]] = {}
         self.forget()

@@ -285,17 +285,41 @@ def test_packing_odd_rows(spark):
     assert packing.packing_query(df.limit(0), queries.tokenizer_path()).count() == 0
 
 
+def test_related_documents_share_sequences(spark):
+    """Topics whose words a third of all rows hold; copies stand together."""
+    r = random.Random(12)
+    topics = [[f"{chr(97 + t)}{''.join(r.choice('aeioubcd') for _ in range(6))}" for _ in range(30)] for t in range(12)]
+    common = ["always", "never", "between"]
+    docs = [(i, " ".join([*common, *(r.choice(topics[i % 12]) for _ in range(300))])) for i in range(360)]
+    pieces = packing.packing_query(spark.createDataFrame(docs, "doc_id long, text string").repartition(6), queries.tokenizer_path()).collect()
+    check_pieces(pieces, {i: [t] for i, t in docs})
+    by = collections.defaultdict(collections.Counter)
+    for p in pieces:
+        by[p.sequence_id][p.doc_id % 12] += p.length
+    same = sum(max(c.values()) for c in by.values()) / sum(sum(c.values()) for c in by.values())
+    assert same > 0.6  # one in twelve by chance
+
+
 def test_neighbours_are_ranked_by_bm25():
     docs = [np.array(x, np.uint16) for x in ([5, 6, 7], [9, 9, 10], [5, 6, 11], [12])]
     weight = np.ones(1 << 16)
     assert packing.Shard(docs, weight, 3.0).neighbours(0)[:2].tolist() == [0, 2]
 
 
+def area_under_curve(scores, labels):
+    """The chance that a positive row scores above a negative one."""
+    yes, no = ([s for s, y in zip(scores, labels, strict=True) if bool(y) == want] for want in (True, False))
+    return np.mean([(a > b) + (a == b) / 2 for a in yes for b in no])
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.quality_query(docs, labels).join(labels, "doc_id").where("held_out").collect()
     assert np.mean([r.predicted == r.quality for r in rows]) > 0.9
     assert all(0 <= r.score <= 1 for r in rows)
+    # against the base rate: ranks, and both labels found
+    assert area_under_curve([r.score for r in rows], [r.quality for r in rows]) > 0.95
+    assert np.mean([r.predicted == 0 for r in rows if r.quality == 0]) > 0.7 and np.mean([r.predicted for r in rows if r.quality == 1]) > 0.9
     train = quality.quality_query(docs, labels)
     assert train.count() == docs.count()
 
@@ -318,6 +342,17 @@ def test_toxicity_on_held_out_rows(spark):
     rows = toxicity.toxicity_query(docs, labels).join(labels.select("doc_id", F.col("toxic").alias("label")), "doc_id").where("held_out").collect()
     assert np.mean([r.toxic == r.label for r in rows]) > 0.9
     assert all(0 <= r.expected_severity <= 3 for r in rows)
+    assert area_under_curve([r.expected_severity for r in rows], [r.label for r in rows]) > 0.85
+    assert np.mean([r.toxic for r in rows if r.label]) > 0.7 and np.mean([r.toxic for r in rows if not r.label]) < 0.05
+
+
+def test_classifiers_without_labels_or_documents_or_with_one_label(spark):
+    docs = spark.createDataFrame([(i, f"plain words number {i}", "x", 1) for i in range(40)] + [(None, None, "x", 1), (7, "", "x", 1)], "doc_id long, text string, SCORE string, Toxic int")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 40, 2)] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
+    for query in (quality.quality_query, toxicity.toxicity_query):
+        assert query(docs, labels).count() == 42
+        assert query(docs, labels.limit(0)).count() == 42
+        assert query(docs.limit(0), labels).count() == 0
 
 
 def test_severity_shares_weights_over_rising_cuts(spark):
