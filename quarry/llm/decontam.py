@@ -62,7 +62,9 @@ def repeats(features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     counts there: n equal words count as the root of n."""
     key = np.arange(len(features)) // STEP * FEATURES + features
     order = np.argsort(key, kind="stable")
-    new = np.diff(key[order], prepend=-1) != 0
+    sorted_ = key[order]
+    new = np.ones(len(key), bool)
+    np.not_equal(sorted_[1:], sorted_[:-1], out=new[1:])
     nth = np.arange(len(key)) - np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
     again, nth = order[~new], nth[~new]
     return again, (np.sqrt(nth + 1) - np.sqrt(nth)).astype(np.float32)
@@ -98,16 +100,13 @@ def _sketched(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(size * FEATURES, np.float32)
         df = np.zeros(FEATURES)
-        here = np.zeros(FEATURES, bool)
         n = 0
         for batch in batches:
-            seeds = batch["seed"].to_numpy()
+            seeds = mix(batch["seed"].to_numpy().view(np.uint64))
             for row, hashes in texts_of(batch["text"]):
                 n += 1
                 features = features_of(hashes)
-                here[:] = False
-                here[features] = True
-                df += here
+                df[features] += 1  # once for each feature, however often it is there
                 if not len(features):
                     continue
                 counts = np.ones(len(features), np.float32)
@@ -116,7 +115,7 @@ def _sketched(size: int):
                 # a block is part of the passage that it begins and of the one before
                 blocks = -(-len(features) // STEP)
                 passages = max(1, blocks - 1)
-                dice = mix(np.arange(passages, dtype=np.uint64) + mix(np.array([seeds[row]], np.int64).view(np.uint64)))
+                dice = mix(np.arange(passages, dtype=np.uint64) + seeds[row])
                 where = (dice >> np.uint64(1)) % np.uint64(size)
                 sign = (dice & np.uint64(1)).astype(np.float32) * 2 - 1
                 block = np.arange(len(features)) // STEP
@@ -128,7 +127,8 @@ def _sketched(size: int):
         for i, held in enumerate(cells.reshape(size, FEATURES)):
             if held.any():
                 yield _sent(i, part, held, np.float16)
-        yield _sent(size, part, df, np.float64)
+        # counts of this precision are exact
+        yield _sent(size, part, df, np.float16 if df.max() <= 2048 else np.float32 if df.max() <= 1 << 24 else np.float64)
         yield _sent(size + 1, part, np.array([n], np.float64), np.float64)
 
     return run
@@ -361,6 +361,17 @@ def _matches(shared, least_cosine: float, verbatim: float, paraphrase: float, an
         for a, b, tail in zip(bounds[:-1], bounds[1:], tails, strict=True):
             kinds, often = np.unique(places[a:b], return_counts=True)
             kinds_of.append((kinds, often, np.searchsorted(kinds, places[b - tail : b])))
+        # a word's number by its low bits; where several share them it is searched for
+        slot, crowded = np.full(1 << 18, len(vocabulary)), np.zeros(1 << 18, bool)
+        low = (vocabulary & np.uint64(len(slot) - 1)).astype(np.int64)
+        slot[low] = np.arange(len(vocabulary))
+        crowded[low[slot[low] != np.arange(len(vocabulary))]] = True
+        # the words of the items that have any, and of their answers (the place behind the vocabulary is always there)
+        some = np.flatnonzero(lengths)
+        starts = bounds[some]
+        ends = np.full((len(words), max(answer_words, 1)), len(vocabulary))
+        for i in some.tolist():
+            ends[i, : tails[i]] = places[bounds[i + 1] - tails[i] : bounds[i + 1]]
         lookup = Lookup(words, vocabulary, idf, verbatim, answer_words)
         sides_of = np.concatenate([[0], np.cumsum([len(v) for v in vectors])]).astype(np.int64)
         for batch in batches:
@@ -368,14 +379,22 @@ def _matches(shared, least_cosine: float, verbatim: float, paraphrase: float, an
             for row, hashes in texts_of(batch["text"]):
                 if not len(hashes) or not len(vocabulary):
                     continue
-                at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-                at[vocabulary[at] != hashes] = len(vocabulary)
+                low = (hashes & np.uint64(len(slot) - 1)).astype(np.int64)
+                at = slot[low]
+                other = vocabulary[np.minimum(at, len(vocabulary) - 1)] != hashes
+                at[other] = len(vocabulary)
+                if len(again := np.flatnonzero(other & crowded[low])):
+                    near = np.minimum(np.searchsorted(vocabulary, hashes[again]), len(vocabulary) - 1)
+                    at[again] = np.where(vocabulary[near] == hashes[again], near, len(vocabulary))
                 there = np.zeros(len(vocabulary) + 1, bool)
                 there[at] = True
-                found = np.concatenate([[0], np.cumsum(there[places])])
-                most = found[bounds[1:]] - found[bounds[:-1]]
-                answered = found[bounds[1:]] - found[bounds[1:] - tails] == tails
-                possible = (lengths > 0) & ((most >= sure) | ((most >= maybe) & answered))
+                most = np.zeros(len(words), np.int64)
+                most[some] = np.add.reduceat(there[places].view(np.uint8), starts, dtype=np.int64)
+                possible = (lengths > 0) & (most >= maybe)
+                if not possible.any():
+                    continue
+                there[-1] = True
+                possible &= (most >= sure) | there[ends].all(axis=1)
                 if not possible.any():
                     continue
                 passages = latent.passages(features_of(hashes))
