@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from quarry.functions import listing_text as T
 from quarry.functions import text as X
 from quarry.functions import url as U
-from quarry.sources.listing import table
+from quarry.sources.listing import spread, table
 
 
 def lines(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"), F.floor("l_extendedprice").alias("p"), F.to_date("l_shipdate").alias("d"))
+    """Keys and numbers of the line items, dealt to all cores: each row's text is parsed."""
+    return spread(table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"), F.floor("l_extendedprice").alias("p"), F.to_date("l_shipdate").alias("d"))
 
 
 def price_roundtrip(spark, sf_dir):

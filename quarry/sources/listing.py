@@ -13,6 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """For costly work on each row: rows of fewer files than cores are dealt to all cores
+    (a file of one row group is one task); larger tables stay as they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def fx(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(RATES.items()), "currency string, rate double")
 
