@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import staged
 from quarry.llm.decontam import find_leaks, without_leaks
-from quarry.llm.jaccard import jaccard_components
+from quarry.llm.jaccard import without_near_copies
 from quarry.llm.line_dedup import drop_repeated_lines
 from quarry.llm.packing import packing_query
 from quarry.llm.quality import score_quality, train_quality
@@ -40,9 +40,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group; documents without words all stay."""
-    groups = jaccard_components(docs)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without_near_copies(docs).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

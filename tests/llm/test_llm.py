@@ -201,6 +201,17 @@ def judged_by_hand(url, rules):
     return host, path, best[3] if best else None, "allow" if best is None or not best[2] else "block"
 
 
+def test_one_row_of_each_group_of_near_copies_stays(spark):
+    text = "one two three four five six seven eight"
+    rows = [(1, "clean text of its own here today"), (1, text), (2, text), (3, text + " nine"), (4, None), (4, None), (5, "alone in the wide world now"), (5, "alone in the wide world now"), (None, text), (6, "")]
+    df = spark.createDataFrame([(i, t, 1, "z") for i, t in rows], "doc_id long, text string, T64 int, gone_id string")
+    left = jaccard.without_near_copies(df)
+    got = collections.Counter((x.doc_id, x.text) for x in left.collect())
+    assert left.columns == df.columns
+    assert got == collections.Counter([(1, rows[0][1]), (1, text), (4, None), (4, None), (5, rows[6][1]), (6, "")])
+    assert jaccard.without_near_copies(df.limit(0)).count() == 0
+
+
 def test_url_rules_by_hand_in_one_pass_and_in_several(spark, monkeypatch):
     r = random.Random(3)
     urls = [f"http://{'a.' * (i % 3)}h{i}.com/{'en/' * (i % 2)}x{i}?q=//" for i in range(300)] + [None, "no url", "http://H1.com", "x://", "http://h2.comen/x", "http://h2.com", "HTTP://h2.com?x"]
