@@ -99,6 +99,11 @@ def accent_fold(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.fold(F.col("text"))).alias("folded"))
 
 
+def accent_fold_whole(spark, sf_dir):
+    """The name that whole texts had while accent_fold read a prefix; both stay."""
+    return accent_fold(spark, sf_dir)
+
+
 def stable_hash(spark, sf_dir):
     return table(spark, sf_dir, "region").select("r_name", X.fnv1a(F.col("r_name")).alias("hash"), X.stable_hash(F.lit("")).alias("empty"))
 
@@ -240,6 +245,7 @@ SQL = {
       SELECT page_id, scheme || '://' || host || path || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END AS url FROM q""",
     "message_urls": "SELECT event_id, CASE WHEN event_id % 3 <> 1 THEN 'channel_' || user_id || '/' || event_id END AS message FROM events",
     "accent_fold": "SELECT doc_id, md5(lower(strip_accents(text))) AS folded FROM documents",
+    "accent_fold_whole": "SELECT doc_id, md5(lower(strip_accents(text))) AS folded FROM documents",
     "stable_hash": "SELECT r_name, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(r_name, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: ((xor(h, c)::HUGEINT * 16777619) % 4294967296)::BIGINT) AS hash, 'ztntfp' AS empty FROM region",
     "trace_redact": "SELECT event_id, 'user [email] token=[redacted] on 2024-01-05' AS text FROM events",
     "segment_ledger": r"SELECT doc_id, count(*) AS lines, sum(length(x))::BIGINT AS chars, max(sha256(x)) AS last_sha FROM (SELECT doc_id, unnest(string_split_regex(text, '\r?\n')) AS x FROM documents) WHERE trim(x, ' ') <> '' GROUP BY 1",
@@ -261,4 +267,4 @@ SQL = {
     "listing_parse": L + f"""'villa' AS kind, 'Hue, block ' || l_linenumber AS place, q * 1000000::DOUBLE AS amount, l_linenumber::INT AS bedrooms, 1 AS bathrooms, 2 AS beds_min, 3 AS beds_max, q::DOUBLE AS area, 2 AS deposit_months, DATE '2031-03-05' AS available_from, true AS utilities_included,
       false AS pets_allowed, 'internet,water' AS utilities, 'owner_' || l_suppkey AS telegram, 'en' AS language {LINES}""",
 }
-QUERIES = {f.__name__: f for f in (rent_ranges, quote_issues, lease_roundtrip, amenity_lists, place_chain, post_verdicts, page_classes, audience_counts, coordinate_pairs, listing_parse, price_roundtrip, attributes_roundtrip, availability_date, labeled_fields, contacts_extract, language_detect, document_language, classify_posts, quote_bases, url_canonical, message_urls, accent_fold, stable_hash, trace_redact, segment_ledger)}
+QUERIES = {f.__name__: f for f in (rent_ranges, quote_issues, lease_roundtrip, amenity_lists, place_chain, post_verdicts, page_classes, audience_counts, coordinate_pairs, listing_parse, price_roundtrip, attributes_roundtrip, availability_date, labeled_fields, contacts_extract, language_detect, document_language, classify_posts, quote_bases, url_canonical, message_urls, accent_fold, accent_fold_whole, stable_hash, trace_redact, segment_ledger)}
