@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.plans import graphs, histories, searches, texts
+from quarry.plans import graphs, histories, reports, searches, texts
 
-MODULES = (searches, histories, texts, graphs)
+MODULES = (searches, histories, texts, graphs, reports)
 
 
 def queries() -> dict:
