@@ -597,3 +597,14 @@ def test_word_hashes_tell_words_apart():
             assert seen.setdefault(w, h) == h
     assert len(set(seen.values())) == len(seen)
     assert hashlib.sha256(hashes.tobytes()).hexdigest()
+
+
+def test_parity_sketches_differ_in_no_more_bits_than_sets_in_tokens():
+    rng = np.random.default_rng(4)
+    for n, m, shared in ((0, 5, 0), (200, 190, 0), (200, 190, 150), (200, 200, 200), (5000, 4000, 3000)):
+        same = rng.integers(0, 1 << 63, shared, dtype=np.uint64)
+        left, right = (np.unique(np.concatenate([same, rng.integers(0, 1 << 63, k - shared, dtype=np.uint64)])) for k in (n, m))
+        differ = int(np.bitwise_count((jaccard._parity(left) ^ jaccard._parity(right)).view(np.uint64)).sum())
+        apart = len(np.setxor1d(left, right))
+        assert differ <= apart
+        assert shared != n or differ == 0
