@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontam, exact_dedup, jaccard, line_dedup, packing, quality, toxicity, url_filter, warc
+from quarry.llm import alignment, chat, decontam, divergence, exact_dedup, jaccard, line_dedup, packing, personal, quality, toxicity, url_filter, warc
 
 
 def _table(spark, sf_dir, name):
@@ -19,10 +19,10 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.toxicity_query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-def tokenizer_path():
+def tokenizer_path(name="word_bpe_49k.json"):
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op3_packing(spark, sf_dir):
@@ -58,8 +58,21 @@ def op10_decontaminate(spark, sf_dir):
     return decontam.decontamination_query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_alignment(spark, sf_dir):
+    return alignment.alignment(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_personal(spark, sf_dir):
+    return personal.personal_query(_table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark, sf_dir):
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_chat_format, op2_toxicity, op3_packing, op4_quality, op5_jaccard, op6_url_filter, op7_exact_dedup, op8_warc, op9_line_dedup, op10_decontaminate)}
+    first = (op1_chat_format, op2_toxicity, op3_packing, op4_quality, op5_jaccard, op6_url_filter, op7_exact_dedup, op8_warc, op9_line_dedup, op10_decontaminate)
+    return {f.__name__: f for f in (*first, op11_alignment, op12_personal, op13_divergence)}
 
 
 def oracle_sql():
@@ -69,4 +82,5 @@ def oracle_sql():
         "op7_exact_dedup": exact_dedup.ORACLE,
         "op8_warc": warc.ORACLE,
         "op9_line_dedup": line_dedup.ORACLE,
+        "op13_divergence": divergence.ORACLE,
     }
