@@ -63,21 +63,38 @@ def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, keys: Column, id_col: str) -> DataFrame:
-    """id and component (smallest id) where rows that share a key belong together.
+    """id and component (smallest id) where rows that share a key belong together."""
+    held = nodes.select(F.col(id_col).alias("id"), F.explode(keys).alias("key"))
+    return nodes.select(F.col(id_col).alias("id")).join(linked(held), "id", "left").select("id", F.coalesce("label", "id").alias("component"))
+
+
+def linked(held: DataFrame, salts: int = 32) -> DataFrame:
+    """id and label (smallest id of the component) of all ids in held (id, key) that share
+    a key with another.
 
     Each key links its rows to its smallest id (a star, not all pairs); then smallest
-    labels spread and jump until they rest."""
-    held = nodes.select(F.col(id_col).alias("id"), F.explode(keys).alias("key"))
-    hubs = held.groupBy("key").agg(F.min("id").alias("hub"))
+    labels spread and jump until they rest. What is joined with labels is salted, as a hub
+    or a label may belong to a third of all rows: the few rows that lead on, one for each
+    distinct label or hub, are dealt to every salt instead."""
+    hubs = held.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     star = held.join(hubs, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    both = stored(star.union(star.select("b", "a")), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
+    star = stored(star, "edges")
+    some = F.sequence(F.lit(0), F.lit(salts - 1))
+    salted = lambda rows, by: rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    labels = star.select(F.col("a").alias("id"), F.col("b").alias("label")).union(star.select("b", "b")).groupBy("id").agg(F.min("label").alias("label"))
+    labels = stored(labels.select("id", F.least("id", "label").alias("label")), "labels")
+    ends = star.select(F.col("b").alias("id")).distinct()
     while True:
-        near = both.join(labels, both.b == labels.id).groupBy(both.a.alias("id")).agg(F.min("label").alias("near"))
-        low = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("low"))
-        jump = labels.select(F.col("id").alias("low"), F.col("label").alias("jump"))
-        new = stored(low.join(jump, "low", "left").select("id", "label", F.least("low", F.coalesce("jump", "low")).alias("new")), "labels")
-        labels = new.select("id", F.col("new").alias("label"))
-        if not new.where("new <> label").limit(1).count():
-            break
-    return nodes.select(F.col(id_col).alias("id")).join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("component"))
+        # what hubs know goes to their rows, what rows know to their hubs
+        hub = labels.join(ends, "id").select(F.col("id").alias("b"), "label", F.explode(some).alias("salt"))
+        down = salted(star, "a").join(hub, ["b", "salt"]).select(F.col("a").alias("id"), "label")
+        up = star.join(labels, F.col("a") == F.col("id")).select(F.col("b").alias("id"), "label")
+        low = labels.withColumn("old", F.col("label")).unionByName(down.union(up).withColumn("old", F.lit(None).cast(labels.schema["id"].dataType)))
+        low = low.groupBy("id").agg(F.max("old").alias("old"), F.min("label").alias("low"))
+        named = low.select("low").distinct()
+        jump = labels.join(named, F.col("id") == F.col("low"), "left_semi").select(F.col("id").alias("low"), F.col("label").alias("jump"), F.explode(some).alias("salt"))
+        new = salted(low, "id").join(jump, ["low", "salt"], "left").select("id", "old", F.least("low", F.coalesce("jump", "low")).alias("label"))
+        new = stored(new, "labels")
+        labels = new.select("id", "label")
+        if not new.where("old <> label").limit(1).count():
+            return labels

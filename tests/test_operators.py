@@ -151,3 +151,24 @@ def test_a_key_may_be_hot(spark):
     df = spark.range(330_000).select(i.alias("ordinal"), key(1, "s").alias("strong"), key(0, "w").alias("weak"), F.when(i % 3 == 0, F.create_map(F.lit("unit"), F.lit("one"))).alias("identities"))
     got = resolve.resolve(df).groupBy("entity").agg(F.count("*").alias("n")).where("n > 1")
     assert sorted(map(tuple, got.collect())) == [(0, 110_000), (1, 110_000)]
+
+
+@pytest.mark.parametrize("fold_rows", [200_000, 0])
+def test_weak_keys_in_one_task_or_in_rounds(spark, fold_rows):
+    import random
+
+    r = random.Random(9)
+    some = lambda c, n, most: [f"{c}{r.randrange(n)}" for _ in range(r.randint(0, most))]
+    rows = [(i, some("s", 40, 1), some("w", 60, 2), r.choice([None, {}, {"unit": str(r.randrange(4))}])) for i in range(80)]
+    df = spark.createDataFrame(rows, "ordinal long, strong array<string>, weak array<string>, identities map<string,string>")
+    assert {x.ordinal: x.entity for x in resolve.resolve(df, fold_rows).collect()} == one_after_the_other(rows)
+
+
+@pytest.mark.parametrize("torn", [False, True])
+def test_a_chain_of_a_thousand_weak_keys(spark, torn):
+    """Row i holds keys i and i + 1; torn chains name another unit in the middle."""
+    i = F.col("id")
+    unit = F.when(F.lit(torn) & (i == 500), F.lit("b")).when(i % 250 == 0, F.lit("a"))
+    df = spark.range(1000).select(i.alias("ordinal"), F.array().cast("array<string>").alias("strong"), F.array(i.cast("string"), (i + 1).cast("string")).alias("weak"), F.when(unit.isNotNull(), F.create_map(F.lit("unit"), F.array(unit))).alias("identities"))
+    got = resolve.resolve(df).groupBy("entity").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, got.collect())) == ([(0, 500), (500, 250), (750, 250)] if torn else [(0, 1000)])
