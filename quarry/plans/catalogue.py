@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.plans import entities, graphs, histories, reports, searches, texts
+from quarry.plans import entities, graphs, histories, records, reports, searches, texts
 
-MODULES = (searches, histories, texts, graphs, reports, entities)
+MODULES = (searches, histories, texts, graphs, reports, entities, records)
 
 
 def queries() -> dict:

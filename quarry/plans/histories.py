@@ -101,7 +101,7 @@ def source_rank_caps(spark, sf_dir):
 
 def refresh_schedule(spark, sf_dir):
     users = events(spark, sf_dir).select("user_id").distinct()
-    states = events(spark, sf_dir).where("event_type = 'purchase' AND user_id % 2 = 0").groupBy("user_id").agg(F.max("ts").alias("state_at"), F.min("ts").alias("attempted_at"))
+    states = events(spark, sf_dir).where("event_type = 'purchase' AND value > 50").groupBy("user_id").agg(F.max("ts").alias("state_at"), F.min("ts").alias("attempted_at"))
     offers = events(spark, sf_dir).where("event_type = 'view'").select("user_id", F.col("ts").alias("collected_at"))
     return sources.refresh_order(users, states, offers, "user_id", NOW, "6 hours").select("user_id", "fresh", "attempted_at")
 
@@ -117,7 +117,7 @@ def field_coverage(spark, sf_dir):
 
 def inventory_first_match(spark, sf_dir):
     left = table(spark, sf_dir, "supplier").select("s_suppkey")
-    right = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("alias"), "c_mktsegment")
+    right = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("alias"), "c_mktsegment")
     return sources.by_first_alias(left, "s_suppkey", F.array(F.col("s_suppkey") * 2, F.col("s_suppkey") * 3, F.col("s_suppkey") + 1), right, "alias")
 
 
@@ -161,7 +161,7 @@ SQL = {
     "bag_difference": """WITH n AS (SELECT user_id, count(*) FILTER (event_type = 'view') AS a, count(*) FILTER (event_type = 'click') AS b FROM events GROUP BY 1)
       SELECT CASE WHEN a > b THEN 'left' ELSE 'right' END AS side, user_id, abs(a - b) AS n FROM n WHERE a <> b""",
     "source_rank_caps": "SELECT s_suppkey, s_nationkey AS cohort, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS place FROM supplier QUALIFY place <= 2",
-    "refresh_schedule": """WITH s AS (SELECT user_id, max(ts) AS state_at, min(ts) AS attempted_at FROM events WHERE event_type = 'purchase' AND user_id % 2 = 0 GROUP BY 1),
+    "refresh_schedule": """WITH s AS (SELECT user_id, max(ts) AS state_at, min(ts) AS attempted_at FROM events WHERE event_type = 'purchase' AND value > 50 GROUP BY 1),
       o AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'view' AND ts BETWEEN TIMESTAMP '2024-01-19 18:00:00' AND TIMESTAMP '2024-01-20')
       SELECT u.user_id, CASE WHEN state_at IS NOT NULL THEN state_at BETWEEN TIMESTAMP '2024-01-19 18:00:00' AND TIMESTAMP '2024-01-20' ELSE o.user_id IS NOT NULL END AS fresh, attempted_at
       FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN s USING (user_id) LEFT JOIN o ON o.user_id = u.user_id""",
@@ -169,7 +169,7 @@ SQL = {
       bool_and(event_type NOT IN ('click', 'view')) AS all_failed, bool_or(event_type = 'purchase') AS incomplete FROM events GROUP BY 1""",
     "field_coverage": LISTING_SQL + """SELECT source_id, count(*) AS total, 'bedrooms' AS field, count(bedrooms) AS known, count(*) FILTER (bedrooms > 0) AS positive FROM listing GROUP BY 1
       UNION ALL SELECT source_id, count(*), 'rooms', count(rooms), count(*) FILTER (rooms > 0) FROM listing GROUP BY 1 UNION ALL SELECT source_id, count(*), 'beds', count(beds), count(*) FILTER (beds > 0) FROM listing GROUP BY 1""",
-    "inventory_first_match": """SELECT s_suppkey, c_custkey AS alias, c_mktsegment FROM (SELECT s_suppkey, c_custkey, c_mktsegment FROM supplier LEFT JOIN customer ON c_custkey % 3 = 0 AND c_custkey IN (s_suppkey * 2, s_suppkey * 3, s_suppkey + 1)
+    "inventory_first_match": """SELECT s_suppkey, c_custkey AS alias, c_mktsegment FROM (SELECT s_suppkey, c_custkey, c_mktsegment FROM supplier LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') ON c_custkey IN (s_suppkey * 2, s_suppkey * 3, s_suppkey + 1)
       QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY CASE c_custkey WHEN s_suppkey * 2 THEN 0 WHEN s_suppkey * 3 THEN 1 ELSE 2 END) = 1)""",
     "completeness": """SELECT s_nationkey AS cohort, count(*) AS sources, coalesce(string_agg(s_suppkey::VARCHAR, ',' ORDER BY s_suppkey) FILTER (s_suppkey % 4 > 0 AND s_acctbal <= 0), '') AS outstanding, count(*) FILTER (s_suppkey % 4 = 0) AS left_out,
       count(*) FILTER (s_suppkey % 4 > 0) > 0 AND count(*) FILTER (s_suppkey % 4 > 0 AND s_acctbal <= 0) = 0 AS complete FROM supplier GROUP BY 1""",
