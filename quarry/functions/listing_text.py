@@ -51,9 +51,23 @@ def count_of(text: Column, label: str, digits: int = 2) -> Column:
     return _first(text, before, rf"{label}{_LABEL}({n})(?!\d|[ \t]*[mм][²2])").try_cast("int")
 
 
+#: Small numbers in words, in front of what they count.
+NUMBER_WORDS = {1: ("one", "одна", "одной", "одну", "một"), 2: ("two", "две", "двух", "двумя", "hai"), 3: ("three", "три", "тремя", "ba"), 4: ("four", "четыре", "четырьмя", "bốn"), 5: ("five", "пять", "пятью", "năm")}
+
+
+def digits_for_words(text: Column, counted: str) -> Column:
+    """A text with small numbers in words as digits where they stand before what counted
+    (a pattern) names."""
+    every = tuple(w for words in NUMBER_WORDS.values() for w in words)
+    out = text
+    for n, words in NUMBER_WORDS.items():
+        out = F.regexp_replace(out, rf"(?iu){V.any_of(words)}(?=[\s-]+{counted})", str(n))
+    return F.when(text.rlike(rf"(?iu){V.any_of(every)}[\s-]+{counted}"), out).otherwise(text)
+
+
 def bedrooms(text: Column) -> Column:
-    """The stated count; a studio has none."""
-    return F.when(text.rlike(r"(?imu)^type:.*studio"), 0).otherwise(F.coalesce(count_of(text, BEDROOM), F.when(has(text, V.KINDS["studio"]), 0)))
+    """The stated count, in digits or words; a studio has none."""
+    return F.coalesce(count_of(digits_for_words(text, BEDROOM), BEDROOM), F.when(has(text, V.STUDIO), 0))
 
 
 def beds_range(text: Column) -> Column:
@@ -84,16 +98,40 @@ def months_after(text: Column, words: tuple[str, ...]) -> Column:
     return _first(text, rf"{V.any_of(words)}\D{{0,24}}?(\d{{1,3}})\s*{MONTHS}").try_cast("int")
 
 
+DEPOSIT = ("deposit", "депозит*", "залог*", "đặt cọc", "cọc")
+PREPAID = ("prepay", "prepayment", "paid in advance", "предоплат*", "trả trước")
+CONTRACT = ("contract", "lease term", "контракт*", "договор*", "hợp đồng")
+#: Ways to say: as much as one month's rent.
+A_MONTHS_RENT = ("one month rent", "one month's rent", "a month's rent", "month's payment", "месячн* платеж*", "месячн* оплат*", "месячн* аренд*", "một tháng tiền nhà", "месяц")
+FEES, RATED, REVIEWS = ("agency fee", "commission", "комисси*", "phí môi giới"), ("rating", "rated", "рейтинг", "đánh giá"), ("review", "reviews", "отзыв*", "đánh giá")
+
+
+def deposit_money(text: Column) -> Column:
+    """Struct (amount, currency) of a deposit that is stated as money, else null."""
+    def said(clause: Column) -> Column:
+        # the price parser knows amounts; a rent label stands in for that of the deposit
+        quote = rent_quote(F.concat(F.lit("rent "), clause))
+        return F.when(quote["amount"].isNotNull(), F.struct(quote["amount"].alias("amount"), quote["currency"].alias("currency")))
+
+    behind = F.regexp_extract(text, rf"(?iu){V.any_of(DEPOSIT)}[ \t]*[:–—-]?[ \t]*([$€£₫]?\d[^\n;!?]*?)(?=[.;!?](?:\s|$)|\n|$)", 1)
+    return said(F.when((behind != "") & ~behind.rlike(rf"(?iu)^\d{{1,2}}\s*{MONTHS}"), behind))
+
+
 def lease_terms(text: Column) -> Column:
-    """Struct of months (least, most, deposit, prepayment), agency fee, rating, reviews."""
+    """Struct of months (least, most, deposit, prepayment), agency fee, rating, reviews. The
+    term of a contract is its least stay; a deposit of a month's rent is one month."""
+    behind = lambda words, number, tail="": _first(text, rf"{V.any_of(words)}{_LABEL}({number}){tail}")
+    share = r"\d{1,3}(?:[.,]\d{1,2})?"
+    a_month = text.rlike(rf"(?iu){V.any_of(DEPOSIT)}[^.;\n\d]{{0,24}}{V.any_of(A_MONTHS_RENT)}")
+    contract = F.coalesce(behind(CONTRACT, r"\d{1,3}", rf"\s*{MONTHS}").try_cast("int"), behind(CONTRACT, r"\d{1,2}", rf"\s*{YEARS}").try_cast("int") * 12)
     return F.struct(
-        stay_months(text).alias("minimum_months"),
+        F.coalesce(stay_months(text), contract).alias("minimum_months"),
         stay_months(text, ("maximum", "max", "maximum stay", "не более", "tối đa")).alias("maximum_months"),
-        months_after(text, ("deposit", "депозит*", "đặt cọc", "cọc")).alias("deposit_months"),
-        months_after(text, ("prepay", "prepayment", "предоплат*", "trả trước")).alias("prepayment_months"),
-        decimal(_first(text, rf"{V.any_of(('agency fee', 'commission', 'комисси*', 'phí môi giới'))}{_LABEL}(\d{{1,3}}(?:[.,]\d{{1,2}})?)\s*%")).alias("agency_fee_percent"),
-        decimal(_first(text, rf"{V.any_of(('rating', 'рейтинг', 'đánh giá'))}{_LABEL}(\d(?:[.,]\d{{1,2}})?)")).alias("rating"),
-        _first(text, rf"(?<![\d.,])(\d{{1,7}})\s*{V.any_of(('review', 'reviews', 'отзыв*', 'đánh giá'))}").try_cast("int").alias("reviews"),
+        F.coalesce(months_after(text, DEPOSIT), F.when(a_month, 1)).alias("deposit_months"),
+        months_after(text, PREPAID).alias("prepayment_months"),
+        decimal(behind(FEES, share, r"\s*%")).alias("agency_fee_percent"),
+        decimal(behind(RATED, r"\d(?:[.,]\d{1,2})?")).alias("rating"),
+        _first(text, rf"(?<![\d.,])(\d{{1,7}})\s*{V.any_of(REVIEWS)}").try_cast("int").alias("reviews"),
     )
 
 
@@ -102,9 +140,22 @@ def yes_no(text: Column, yes: str, no: str) -> Column:
     return F.when(text.rlike(no), False).when(text.rlike(yes), True)
 
 
+#: One or two words that may stand between the words of a phrase.
+_GAP = r"\s+(?:[\p{L}-]+\s+){0,2}"
+
+
+def phrases(*parts: tuple[tuple[str, ...], ...]) -> str:
+    """A pattern of any of several phrases, whose parts may have other words between them."""
+    return "(?iu)(?:" + "|".join(_GAP.join(V.any_of(words) for words in phrase) for phrase in parts) + ")"
+
+
+PETS = ("pet", "pets", "cat*", "dog*", "animal*", "животн*", "питом*", "собак*", "кошк*", "thú cưng")
+
+
 def pets_allowed(text: Column) -> Column:
-    yes, no = ("pets allowed", "pets are allowed", "pets welcome", "pets ok", "pet allowed", "можно с животн*"), ("no pets", "no pet", "pets not allowed", "pets are not allowed", "без животн*", "нельзя с животн*")
-    return yes_no(text, "(?iu)" + V.any_of(yes), "(?iu)" + V.any_of(no))
+    yes = phrases((PETS, ("allowed", "welcome", "ok", "accepted", "разреш*")), (("можно с", "можно со", "разреш*", "allow*", "welcome", "cho phép", "được nuôi"), PETS))
+    no = phrases((("no", "without", "без", "нельзя с", "не", "không"), PETS), (PETS, ("not allowed", "not accepted", "forbidden", "запрещ*", "нельзя")), (PETS, ("not",), ("allowed", "welcome")))
+    return yes_no(text, yes, no)
 
 
 def furnished(text: Column) -> Column:
@@ -112,9 +163,16 @@ def furnished(text: Column) -> Column:
     return yes_no(text, "(?iu)" + V.any_of(yes), "(?iu)" + V.any_of(no))
 
 
+UTILITY_WORDS = ("utilities", "bills", "utility bills", "electric*", "water", "коммунал*", "электрич*", "điện nước", "điện")
+APART = ("not included", "excluded", "extra", "separately", "by meter", "metered", "отдельно", "не включены", "не входят", "по счётчик*", "по счетчик*", "chưa bao gồm", "không bao gồm", "riêng")
+
+
 def utilities_included(text: Column) -> Column:
-    yes, no = ("utilities included", "bills included", "including utilities", "коммунальные включены", "bao điện nước"), ("utilities not included", "excluding utilities", "utilities excluded", "коммунальные отдельно", "chưa bao gồm điện nước")
-    return yes_no(text, "(?iu)" + V.any_of(yes), "(?iu)" + V.any_of(no))
+    """False where they are paid apart or by meter, within one sentence."""
+    near = lambda a, b: rf"{V.any_of(a)}[^.;\n]{{0,40}}{V.any_of(b)}"
+    yes = f"(?iu)(?:{near(UTILITY_WORDS, ('included', 'включены', 'входят', 'miễn phí'))}|{near(('including', 'includes', 'включая', 'bao gồm', 'bao'), UTILITY_WORDS)})"
+    no = f"(?iu)(?:{near(UTILITY_WORDS, APART)}|{near(('excluding', 'without', 'plus', 'chưa bao gồm', 'không bao gồm'), UTILITY_WORDS)})"
+    return yes_no(text, yes, no)
 
 
 def availability(text: Column) -> Column:
@@ -130,13 +188,13 @@ def available_from(text: Column, published: Column) -> Column:
     month's name. Two-digit years are of this century. Without a year it is the year of
     publication, or the next one if that lies before publication. Ranges, several dates
     and days that no calendar has give null."""
-    word = rf"(?iu){V.any_of(('available from', 'from', 'свободн* с', 'освободится', 'trống từ'))}\s+"
+    word = rf"(?iu){V.any_of(('available from', 'from', 'свободн* с', 'доступн* с', 'освободится', 'trống từ'))}\s+"
     month_name = r"(?:" + "|".join(_ENGLISH_MONTHS) + r")[a-z]{0,6}"
     shapes = (r"\d{4}-\d{2}-\d{2}", r"\d{1,2}[./]\d{1,2}(?:[./](?:\d{4}|\d{2}))?", rf"\d{{1,2}}(?:st|nd|rd|th)?\s+{month_name}\.?(?:,?\s+\d{{4}})?", rf"{month_name}\.?\s+\d{{1,2}}(?:st|nd|rd|th)?(?:,?\s+\d{{4}})?")
     any_date = rf"(?iu)(?<![\d./-])({'|'.join(shapes)})(?!\d|[./-]\d)"
     after = F.regexp_extract(text, word + r"([^\n;]{1,60})", 1)
     dates = F.regexp_extract_all(after, F.lit(any_date), 1)
-    span = after.rlike(r"(?iu)\d\s*(?:[-–—]|to|until|till|до|đến)\s*\d{1,2}[./\s]")
+    span = F.regexp_replace(after, r"\d{4}-\d{2}-\d{2}", "1.1.").rlike(r"(?iu)\d\s*(?:[-–—]|to|until|till|до|đến)\s*\d{1,2}[./\s]")
     alone = F.when((F.size(dates) == 1) & ~span, F.lower(F.element_at(dates, 1)))
     return let(alone, lambda one: _date_of(one, month_name, published))
 
@@ -239,19 +297,29 @@ def time_after(text: Column, words: tuple[str, ...]) -> Column:
     return _first(text, rf"{V.any_of(words)}{_LABEL}(\d{{1,2}}:\d{{2}})")
 
 
+CODE_LABELS = ("id", "код", "mã")
+
+
 def property_id(text: Column) -> Column:
-    """What stands behind ID, Код or Mã: a code with a digit, or in capitals."""
-    code = r"([\p{L}\p{N}][\p{L}\p{N}_-]*\p{N}[\p{L}\p{N}_-]*|\p{N}[\p{L}\p{N}_-]*|\p{Lu}[\p{Lu}\p{N}_-]+)(?![\p{L}\p{N}_-])"
-    head = r"(?u)(?<![\p{L}\p{N}])(?:ID|Id|id|КОД|Код|код|MÃ|Mã|mã)(?:\s+\p{Ll}{2,12}(?=\s*[:#№]))?\s*[:#№-]?\s*"
-    return F.nullif(F.regexp_extract(text, head + code, 1), F.lit(""))
+    """What stands behind a label for codes, or behind a label and one more word: letters,
+    digits, - and _, with a digit among them or all in capitals."""
+    label = rf"(?iu:{V.any_of(CODE_LABELS)})(?:[ ]\p{{Ll}}+(?=[ ]*[:#№]))?[ \t]*[:#№-]?[ \t]*"
+    codes = F.regexp_extract_all(text, F.lit(label + r"([\p{L}\p{N}][\p{L}\p{N}_-]*)"), 1)
+    return F.get(F.filter(codes, lambda c: c.rlike(r"\p{N}") | (c.rlike(r"..") & (c == F.upper(c)))), F.lit(0))
 
 
-def kind_of(text: Column) -> Column:
-    """The first of the kinds that a text names, by the order of the table."""
-    out = F.lit(None).cast("string")
-    for name, words in reversed(list(V.KINDS.items())):
-        out = F.when(has(text, words), name).otherwise(out)
-    return out
+def kind_of(text: Column, scope: Column | None = None) -> Column:
+    """The first of the kinds that a text names, by the order of the table, else the kind of
+    all. scope: the part that describes the chosen home, which goes first if it names any;
+    there a studio is a kind, too."""
+    def first(of: Column, otherwise: Column) -> Column:
+        out = otherwise
+        for name, words in reversed(list(V.KINDS.items())):
+            out = F.when(has(of, words), name).otherwise(out)
+        return out
+
+    whole = first(text, F.lit(V.ANY_KIND))
+    return whole if scope is None else F.when(has(scope, V.STUDIO), "studio").otherwise(F.when(scope.isNotNull(), first(scope, whole)).otherwise(whole))
 
 
 def cities_in(text: Column) -> Column:
@@ -264,28 +332,36 @@ def _elsewhere(text: Column, city: str) -> Column:
     return let(cities_in(text), lambda found: (F.size(found) > 0) & ~F.array_contains(found, city))
 
 
+_BULLET = r"^[\s\p{So}]*[-•·▪◦‣–][ \t]*"
+#: A place within reach is no place of the listing.
+_DISTANCE = r"(?iu)≈|\d\s*(?:(?:min|мин)\p{L}*|phút|km|км|m|м)(?!\p{L})"
+
+
 def location(text: Column) -> Column:
     """Struct of place and method: a labelled line, the bullets (two at most) under a label
     with nothing behind it, a pinned line, else the one city that is named."""
-    label = rf"(?iu)^[^\p{{L}}]*{V.any_of(V.PLACE_LABELS)}\s*:[ \t]*"
-    bullet = r"^\s*[•·▪◦‣–-]\s*(\S.*)$"
-
-    def listed(below):
-        # bullets end at the first line that is none
-        ended = F.array_position(F.transform(below, lambda x: x.rlike(bullet)), F.lit(False)).cast("int")
-        items = F.transform(F.slice(below, 1, F.when(ended > 0, ended - 1).otherwise(F.size(below))), lambda x: F.trim(F.regexp_extract(x, bullet, 1)))
-        return F.nullif(F.array_join(F.slice(F.filter(items, lambda x: ~x.rlike(r"(?iu)^≈|\d\s*(?:минут|мин|min|phút)")), 1, 2), ", "), F.lit(""))
-
-    def labelled(lines):
-        found = F.transform(lines, lambda x, i: F.struct(x.rlike(label).alias("is"), F.trim(F.regexp_replace(x, label, "")).alias("rest"), i.alias("at")))
-        # an amount or another field behind the label names no place
-        fits = lambda rows: F.filter(rows, lambda s: (s["rest"] != "") & ~s["rest"].rlike(r"^[^:\n]{1,24}:\s*[$€£₫\d]"))
-        empty = lambda rows: F.get(F.filter(rows, lambda s: s["rest"] == ""), F.lit(0))["at"]
-        return let(F.filter(found, lambda s: s["is"]), lambda rows: F.struct(F.get(fits(rows), F.lit(0))["rest"].alias("direct"), listed(F.slice(lines, empty(rows) + 2, 8)).alias("listed")))
-
+    label = rf"(?iu)^[^\p{{L}}]*{V.any_of(V.PLACE_LABELS)}[ \t]*:[ \t]*"
+    sentence = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, label, ""), r"\.(?:\s.*)?$", ""))
+
+    def bullets(below: Column) -> Column:
+        # they end at the first line that is none
+        upto = F.array_position(F.transform(below, lambda x: ~x.rlike(_BULLET)), F.lit(True)).cast("int")
+        own = F.when(upto > 0, F.slice(below, 1, upto - 1)).otherwise(below)
+        near = F.filter(F.transform(own, lambda x: F.trim(F.regexp_replace(x, _BULLET, ""))), lambda x: (x != "") & ~x.rlike(_DISTANCE))
+        return F.nullif(F.array_join(F.slice(near, 1, 2), ", "), F.lit(""))
+
+    def labelled(lines: Column) -> Column:
+        marked = F.filter(F.transform(lines, lambda x, i: F.struct(x.rlike(label).alias("is"), sentence(x).alias("rest"), i.alias("at"))), lambda m: m["is"])
+        # a further label with an amount behind it names no place
+        direct = F.filter(marked, lambda m: (m["rest"] != "") & ~m["rest"].rlike(r"^[^:]*:[ \t]*(?:\p{Sc}|\d)"))
+        bare = F.get(F.filter(marked, lambda m: m["rest"] == ""), F.lit(0))["at"]
+        return F.struct(F.get(direct, F.lit(0))["rest"].alias("direct"), bullets(F.slice(lines, bare + 2, 8)).alias("listed"))
+
+    # a label may also begin a sentence within a line
+    parts = F.split(F.regexp_replace(text, rf"(?iu)(?<=[.!?])[ \t]+(?={V.any_of(V.PLACE_LABELS)}[ \t]*:)", "\n"), r"\r?\n")
     pinned = F.nullif(F.trim(F.regexp_extract(text, r"(?m)^\s*📍\s*([^|\n]{1,120})", 1)), F.lit(""))
     alone = let(cities_in(text), lambda city: F.when(F.size(city) == 1, F.element_at(city, 1)))
-    known = F.struct(let(F.split(text, r"\r?\n"), labelled).alias("by"), pinned.alias("pinned"), alone.alias("city"))
+    known = F.struct(let(parts, labelled).alias("by"), pinned.alias("pinned"), alone.alias("city"))
 
     def chosen(k):
         method = F.when(k["by"]["direct"].isNotNull(), "labelled").when(k["by"]["listed"].isNotNull(), "bullets").when(k["pinned"].isNotNull(), "pinned").when(k["city"].isNotNull(), "city")
@@ -294,6 +370,7 @@ def location(text: Column) -> Column:
     return let(known, chosen)
 
 
+# Labels, reasons and classes below are fixed values, as is the order of their tests.
 def post_verdict(text: Column, city: str | None = None, duplicate: Column | None = None) -> Column:
     """Struct of label, reason and eligible, the first that fits of: duplicate, request,
     sale, service (the first three lines offer no rent), guides, another city than the
@@ -301,7 +378,9 @@ def post_verdict(text: Column, city: str | None = None, duplicate: Column | None
     lines = F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != "")
     head = F.array_join(F.slice(lines, 1, 3), "\n")
     renting, home, money = has(text, V.RENTING), has(text, V.PROPERTY), text.rlike("(?iu)(?:" + "|".join(V._plain(w.removesuffix("*")) for ws in V.CURRENCIES.values() for w in ws if len(w) > 1 or not w.isalpha()) + r"|triệu|million|tỷ|млн|млрд|price|цена|giá)")
-    named = F.filter(lines, lambda x: ~has(x, V.ELSEWHERE))
+    # sentences on other places, or on what the channel offers besides, don't place the listing
+    said = F.flatten(F.transform(lines, lambda x: F.split(x, r"(?<=[.!?])\s+")))
+    named = F.filter(said, lambda x: ~has(x, V.ELSEWHERE))
     place = F.coalesce(F.get(F.filter(named, lambda x: x.rlike(rf"(?iu){V.any_of(V.PLACE_LABELS)}\s*:")), F.lit(0)), F.array_join(named, "\n"))
     other = F.lit(False) if city is None else _elsewhere(place, city)
     cases = [
@@ -365,11 +444,15 @@ def audience(text: Column) -> Column:
 
 def parse_listing(text: Column, published: Column) -> Column:
     """All attributes of a listing's text as one struct."""
+    quote = rent_quote(text)
+    # what the chosen rent is for; a text about one home describes it as a whole
+    scope = quote["scope"]
+    layout = F.coalesce(scope, text)
     return F.struct(
-        kind_of(text).alias("kind"), location(text).alias("location"), language(text).alias("language"), rent_quote(text).alias("rent"),
-        bedrooms(text).alias("bedrooms"), count_of(text, BATHROOM).alias("bathrooms"), count_of(text, BED).alias("beds"), beds_range(text).alias("beds_range"), count_of(text, GUEST, 3).alias("guests"),
-        area(text).alias("area"), floor(text).alias("floor"), lease_terms(text).alias("lease"), amenities(text).alias("amenities"), utility_charges(text).alias("utilities"),
-        furnished(text).alias("furnished"), pets_allowed(text).alias("pets_allowed"), utilities_included(text).alias("utilities_included"), availability(text).alias("availability"),
+        kind_of(text, scope).alias("kind"), location(text).alias("location"), language(text).alias("language"), quote.alias("rent"),
+        bedrooms(layout).alias("bedrooms"), count_of(text, BATHROOM).alias("bathrooms"), count_of(text, BED).alias("beds"), beds_range(text).alias("beds_range"), count_of(text, GUEST, 3).alias("guests"),
+        area(text).alias("area"), floor(text).alias("floor"), lease_terms(text).alias("lease"), deposit_money(text).alias("deposit"), amenities(text).alias("amenities"), utility_charges(text).alias("utilities"),
+        furnished(text).alias("furnished"), pets_allowed(text).alias("pets_allowed"), utilities_included(text).alias("utilities_included"), availability(text).alias("availability"), F.when(has(text, V.GONE), False).when(has(text, V.OPEN), True).alias("available_now"),
         available_from(text, published).alias("available_from"), coordinates(text).alias("coordinates"), property_id(text).alias("property_id"), contacts(text).alias("contacts"), labeled_fields(text).alias("labeled_fields"),
     )
 

@@ -5,7 +5,8 @@ letter that may be missing or one of several."""
 
 from __future__ import annotations
 
-#: The words that tell languages, labels, units and places apart.
+# The names on the left are fixed values; which words stand for them is this library's own
+# choice, by the rules that functions state.
 LANGUAGES = {
     "en": ("apartment", "available", "bedroom", "contact", "deposit", "for rent", "house", "month", "price", "room"),
     "ru": ("аренд*", "квартир*", "комнат*", "спальн*", "цена*", "депозит*", "месяц*", "контакт*", "сда[её]т*"),
@@ -20,7 +21,7 @@ PERIODS = {
 SCALES = {
     1e3: ("k", "к", "тыс", "тысяч*", "nghìn", "ngàn", "thousand"),
     1e4: ("萬", "万"),
-    1e6: ("m", "tr", "triệu", "million", "millions", "mln", "млн", "миллион*"),
+    1e6: ("m", "tr", "тр", "triệu", "million", "millions", "mln", "млн", "миллион*"),
     1e9: ("tỷ", "tỉ", "billion", "млрд"),
 }
 CURRENCIES = {
@@ -32,13 +33,17 @@ CURRENCIES = {
 }
 RENT = ("rent", "rental", "lease", "price", "monthly", "аренд*", "цена", "стоимост*", "giá thuê", "giá", "cho thuê", "租金")
 FEE = (
-    "deposit", "fee", "fees", "electric*", "water", "internet", "wifi", "parking", "cleaning", "management", "service", "commission", "utilities", "for sale",
-    "депозит*", "залог*", "электр*", "вод[аыу]", "интернет*", "парков*", "уборк*", "комисси*", "коммунал*", "продаж*",
-    "đặt cọc", "cọc", "điện", "nước", "phí", "gửi xe", "giá bán", "押金",
+    "deposit", "fee", "fees", "electric*", "water", "internet", "wifi", "wi-fi", "parking", "cleaning", "laundry", "management", "service", "security", "guard*", "maintenance", "commission", "agency", "utilities", "pet", "pets", "for sale",
+    "депозит*", "залог*", "электр*", "свет", "вод[аыуе]", "газ", "мусор*", "интернет*", "вайфай", "вай-фай", "парков*", "уборк*", "стирк*", "комисси*", "коммунал*", "управлени*", "обслуживани*", "охран*", "услуг*", "питом*", "животн*", "продаж*",
+    "đặt cọc", "cọc", "điện", "nước", "phí", "gửi xe", "giặt", "dọn", "giá bán", "押金",
 )
-CEILING = ("up to", "at most", "до", "не более", "tối đa", "đến", "dưới")
+#: What is rented out beside homes: a rent word next to it is no rent of a home.
+BESIDES = ("bike", "bikes", "motorbike*", "scooter*", "car rental", "transfer", "байк*", "скутер*", "мотоцикл*", "авто", "автомобил*", "трансфер*", "xe máy", "thuê xe")
+#: What comes on top of a rent, and headings of lists of such things.
+EXTRA = ("surcharge", "extra charge*", "extra fee*", "extra cost*", "additional charge*", "additional fee*", "additional cost*", "other cost*", "доплат*", "надбавк*", "дополнительн*", "расход*", "phụ thu", "trả thêm", "cộng thêm", "chi phí khác", "phát sinh")
+CEILING = ("up to", "at most", "under", "до", "не более", "не дороже", "tối đa", "đến", "dưới")
 PLUS = ("+", "plus", "плюс", "cộng")
-FLOOR = ("floor", "floors", "этаж*", "tầng", "lầu")
+FLOOR = ("floor", "floors", "level", "levels", "этаж*", "tầng", "lầu")
 #: Units that a charge is counted by; people and times may also be those of a rent.
 METERED = ("kwh", "m2", "m²", "м2", "м²", "m3", "м3", "khối", "km", "km²", "số")
 COUNTED = ("person", "people", "pax", "người", "человек*", "time", "lần", "раз")
@@ -72,7 +77,7 @@ GONE = (
     "sold out", "already rented", "already taken", "already booked", "now rented", "now taken", "now booked", "rented out", "no longer available",
     "сдан", "сдана", "сдано", "сданы", "hết phòng", "đã thuê", "đã cho thuê",
 )
-OPEN = ("available now", "свободн* сейчас", "có sẵn ngay")
+OPEN = ("available now", "свободн* сейчас", "доступн* сейчас", "có sẵn ngay")
 REQUEST = ("looking for", "wanted", "need", "needed", "seeking", "ищу", "ищем", "сниму", "хочу снять", "хочу взять", "cần tìm", "cần thuê")
 SALE = ("for sale", "selling", "sell", "продаю", "продам", "прода[её]тся", "продажа", "продажи", "bán căn", "bán nhà", "bán đất", "bán phòng", "sang nhượng", "出售", "买卖", "買賣")
 SERVICE = ("visa", "visa service", "immigration service", "cleaning service", "moving service", "sim card", "sim-карт*", "currency exchange", "обмен валют*", "визов* услуг*", "визаран")
@@ -82,27 +87,31 @@ VEHICLES = ("motorbike", "motorcycle", "scooter", "laptop", "bicycle", "мото
 RENTING = ("for rent", "rent", "rental", "renting", "lease", "аренд*", "сда[её]т*", "сдам", "сдаю", "cho thuê", "thuê nhà", "thuê phòng", "thuê căn", "出租", "租金")
 BOOKING = ("booking", "бронирован*", "đặt phòng")
 PROPERTY = ("apartment*", "flat*", "studio", "room*", "house*", "villa*", "hotel*", "bedroom*", "căn hộ", "phòng", "nhà", "квартир*", "комнат*", "вилл*", "студи*", "спальн*", "дом", "公寓", "房")
+#: In this order a text's kind is looked for; the names are fixed values, and so is their order.
 KINDS = {
+    "apartment": ("apartment*", "flat", "condo*", "квартир*", "апартамент*", "căn hộ", "公寓"),
     "villa": ("villa*", "вилл*", "biệt thự"),
-    "studio": ("studio*", "студи*"),
-    "house": ("house*", "townhouse*", "дом", "дома", "nhà"),
     "hotel": ("hotel*", "отел*", "khách sạn"),
-    "apartment": ("apartment*", "flat", "condo*", "квартир*", "апартамент*", "căn hộ", "公寓"),
-    "room": ("room*", "комнат*", "phòng"),
+    "hostel": ("hostel*", "хостел*", "nhà nghỉ"),
+    "room": ("room", "rooms", "комнат*", "phòng"),
+    "house": ("house*", "townhouse*", "дом", "дома", "nhà"),
 }
-#: Cities by slug.
+#: Fixed value: the kind of what names none.
+ANY_KIND = "accommodation"
+STUDIO = ("studio*", "студи*")
+#: Cities by slug; the slugs are fixed values.
 CITIES = {
     "da-nang": ("da nang", "danang", "đà nẵng", "дананг*"),
     "da-lat": ("da lat", "dalat", "đà lạt", "далат*"),
     "ha-noi": ("hanoi", "ha noi", "hà nội", "ханой", "ханое"),
     "ho-chi-minh": ("ho chi minh", "hồ chí minh", "saigon", "sài gòn", "хошимин*", "сайгон*"),
-    "hue": ("hue", "huế", "хюэ"),
+    "mui-ne": ("mui ne", "mũi né", "муйне", "муй не"),
     "nha-trang": ("nha trang", "nhatrang", "нячанг*"),
     "phu-quoc": ("phu quoc", "phú quốc", "фукуок*"),
 }
-PLACE_LABELS = ("location", "address", "локация", "адрес", "địa chỉ", "vị trí")
+PLACE_LABELS = ("location", "address", "area", "district", "локация", "адрес", "район", "местоположение", "địa chỉ", "vị trí", "khu vực", "quận")
 #: Lines that speak of places without naming that of the listing.
-ELSEWHERE = ("view of", "view to", "вид на", "trip to", "trips to", "transfer", "трансфер*", "поездк*", "экскурси*", "agency", "агентств*")
+ELSEWHERE = ("view of", "view to", "вид на", "trip to", "trips to", "transfer", "трансфер*", "поездк*", "экскурси*", "agency", "агентств*", "channel", "канал*", "kênh", "also publish*", "также публик*")
 CONTACT_WORDS = ("contact*", "whatsapp", "phone", "tel", "контакт*", "телефон*", "liên hệ")
 
 

@@ -78,6 +78,40 @@ def classify_posts(spark, sf_dir):
     return rows.groupBy(T.classify_post(text).alias("label")).agg(F.count("*").alias("n"))
 
 
+def listing_clauses(spark, sf_dir):
+    """Texts of independent clauses in any number and order, in one of three languages; what
+    each clause states stands in columns of its own."""
+    l, n, q, k = F.col("l_orderkey"), F.col("l_linenumber"), F.col("q"), F.col("l_partkey")
+    lang = l % 3
+    say = lambda en, ru, vi: F.when(lang == 0, F.concat(*en)).when(lang == 1, F.concat(*ru)).otherwise(F.concat(*vi))
+    t = lambda *parts: [F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]
+    month = (l % 11 + 1).cast("int")
+    clauses = [
+        (F.lit(True), say(t("For rent: apartment"), t("Сдаётся квартира"), t("Cho thuê căn hộ"))),
+        (n % 2 == 0, say(t("Rent ", q + 5, " million VND/month"), t("Стоимость аренды: ", q + 5, " млн VND в месяц"), t("Giá thuê ", q + 5, " triệu/tháng"))),
+        (n % 3 == 0, say(t("Deposit ", n % 4 + 1, " months"), t("Депозит: ", n % 4 + 1, " месяца"), t("Đặt cọc ", n % 4 + 1, " tháng"))),
+        (n % 3 == 1, say(t("Deposit: ", q, " million VND"), t("Залог ", q, " млн VND"), t("Cọc ", q, " triệu VND"))),
+        (k % 2 == 0, say(t(k % 4 + 1, " bedrooms"), t("Есть ", k % 4 + 1, " спальни"), t(k % 4 + 1, " phòng ngủ"))),
+        (k % 2 == 1, say(t("with two bedrooms"), t("с двумя спальнями"), t("hai phòng ngủ"))),
+        (k % 3 == 0, say(t("Contract: ", n + 5, " months"), t("Контракт: ", n + 5, " месяцев"), t("Hợp đồng ", n + 5, " tháng"))),
+        (k % 5 < 2, F.when(k % 5 == 0, say(t("Small pets are welcome"), t("Можно с небольшими животными"), t("Được nuôi thú cưng"))).otherwise(say(t("No pets please"), t("Без животных"), t("Không nuôi thú cưng")))),
+        (k % 7 < 3, F.when(k % 7 == 0, say(t("Utilities are included"), t("Коммунальные включены"), t("Bao gồm điện nước"))).otherwise(say(t("Electricity and water by meter"), t("Коммунальные платежи оплачиваются отдельно"), t("Điện nước riêng")))),
+        (k % 4 == 1, say(t("Available from 2027-0", month % 9 + 1, "-15"), t("Доступно с 15.0", month % 9 + 1, ".2027"), t("Trống từ 15/0", month % 9 + 1, "/2027"))),
+        (k % 4 == 3, say(t("Motorbike rental ", n, " million VND/month"), t("Аренда байка ", n, " млн VND в месяц"), t("Thuê xe máy ", n, " triệu/tháng"))),
+        (q % 2 == 0, say(t("Location: Block ", q), t("Район: Block ", q), t("Khu vực: Block ", q))),
+        (q % 3 == 0, say(t("Internet: 200000 VND"), t("Интернет: 200000 VND"), t("Internet: 200000 VND"))),
+    ]
+    marked = F.array(*[F.when(test, F.struct(F.md5(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", F.lit(i))).alias("k"), clause.alias("c"))) for i, (test, clause) in enumerate(clauses)])
+    # the order of clauses differs from row to row; they end as sentences or lines
+    said = F.transform(F.array_sort(F.array_compact(marked)), lambda x: x["c"])
+    text = F.when(l % 2 == 0, F.array_join(said, ".\n")).otherwise(F.array_join(said, "\n"))
+    rows = lines(spark, sf_dir).withColumn("text", text).withColumn("p", T.parse_listing(F.col("text"), F.lit("2026-06-01").cast("timestamp_ntz")))
+    return rows.select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.col("p.kind").alias("kind"), F.col("p.rent.amount").alias("amount"), F.col("p.lease.deposit_months").alias("deposit_months"), F.col("p.deposit.amount").alias("deposit"), F.col("p.bedrooms").alias("bedrooms"),
+        F.col("p.lease.minimum_months").alias("minimum_months"), F.col("p.pets_allowed").alias("pets"), F.col("p.utilities_included").alias("utilities"), F.col("p.available_from").alias("available_from"), F.col("p.location.place").alias("place"),
+    )
+
+
 def quote_bases(spark, sf_dir):
     rows = lines(spark, sf_dir)
     kinds = ("5 million / month", "100$ per room", "50$ per bed", "20$ per person", "30$ за комнату, 10$ per bed", "9$/bedroom")
@@ -173,7 +207,7 @@ def place_chain(spark, sf_dir):
         F.concat(F.lit("Локация:\n• 5 минут до моря\n• "), F.col("s_name"), F.lit("\n- block "), F.col("s_nationkey"), F.lit("\nend\n• no")),
         F.concat(F.lit("Nice flat\n📍 "), F.col("s_name"), F.lit(" | near the sea\nLocation: Deposit: $300")),
         F.lit("Сдаётся квартира в городе Дананг"),
-        F.lit("From Hue to Da Nang"),
+        F.lit("From Mui Ne to Da Nang"),
         F.lit("no place"),
     )
     place = T.location(F.element_at(F.array(*kinds), (F.col("s_suppkey") % 6 + 1).cast("int")))
@@ -196,7 +230,7 @@ def page_classes(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem")
     pick = lambda column, *values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(column) % len(values) + 1).cast("int"))
     status, cards = pick("l_linenumber", 200, 429, 202, 503, 404, 302, 200), F.col("l_quantity") % 3
-    title = pick("l_orderkey", "Apartments for rent in Hue", "Please login", "Cookie-settings", "House for-sale", "Search results", "Welcome", "Attention required: Cloudflare", "Rooms in Nha Trang and Hue")
+    title = pick("l_orderkey", "Apartments for rent in Mui Ne", "Please login", "Cookie-settings", "House for-sale", "Search results", "Welcome", "Attention required: Cloudflare", "Rooms in Nha Trang and Mui Ne")
     return rows.groupBy(T.page_class(cards, status, title, F.lit("https://x.example/"), "nha-trang").alias("class")).agg(F.count("*").alias("n"))
 
 
@@ -238,6 +272,10 @@ SQL = {
       CASE WHEN regexp_matches(text, '(?i)[àáâãèéêìíòóôõùúýăđĩũơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]') THEN 2 ELSE 0 END AS vi FROM documents)
       SELECT doc_id, CASE WHEN en = 0 AND vi = 0 THEN 'unknown' WHEN en >= vi THEN 'en' ELSE 'vi' END AS language FROM s""",
     "classify_posts": "SELECT label, sum(n)::BIGINT AS n FROM (" + PICK("label", ("request", "sale", "service", "commercial", "offer", "unrelated", "offer"), 7) + ") GROUP BY 1",
+    "listing_clauses": """WITH l AS (SELECT *, l_quantity::INT AS q FROM lineitem)
+      SELECT l_orderkey, l_linenumber, l_partkey, 'apartment' AS kind, CASE WHEN l_linenumber % 2 = 0 THEN (q + 5) * 1000000::DOUBLE END AS amount, CASE WHEN l_linenumber % 3 = 0 THEN l_linenumber % 4 + 1 END AS deposit_months, CASE WHEN l_linenumber % 3 = 1 THEN q * 1000000::DOUBLE END AS deposit,
+        CASE WHEN l_partkey % 2 = 0 THEN l_partkey % 4 + 1 ELSE 2 END AS bedrooms, CASE WHEN l_partkey % 3 = 0 THEN l_linenumber + 5 END AS minimum_months, CASE l_partkey % 5 WHEN 0 THEN true WHEN 1 THEN false END AS pets, CASE l_partkey % 7 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false END AS utilities,
+        CASE WHEN l_partkey % 4 = 1 THEN make_date(2027, (l_orderkey % 11 + 1) % 9 + 1, 15) END AS available_from, CASE WHEN q % 2 = 0 THEN 'Block ' || q END AS place FROM l""",
     "quote_bases": PICK("basis", ("property", "room", "bed", "person", "unknown", "bedroom"), 6),
     "url_canonical": r"""WITH p AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\.', '') AS host, lower(regexp_extract(url, '^([a-z]+)://', 1)) AS scheme,
       regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', '') AS path, regexp_extract(url, '^[^?#]*\?([^#]*)', 1) AS query FROM pages),
@@ -267,4 +305,4 @@ SQL = {
     "listing_parse": L + f"""'villa' AS kind, 'Hue, block ' || l_linenumber AS place, q * 1000000::DOUBLE AS amount, l_linenumber::INT AS bedrooms, 1 AS bathrooms, 2 AS beds_min, 3 AS beds_max, q::DOUBLE AS area, 2 AS deposit_months, DATE '2031-03-05' AS available_from, true AS utilities_included,
       false AS pets_allowed, 'internet,water' AS utilities, 'owner_' || l_suppkey AS telegram, 'en' AS language {LINES}""",
 }
-QUERIES = {f.__name__: f for f in (rent_ranges, quote_issues, lease_roundtrip, amenity_lists, place_chain, post_verdicts, page_classes, audience_counts, coordinate_pairs, listing_parse, price_roundtrip, attributes_roundtrip, availability_date, labeled_fields, contacts_extract, language_detect, document_language, classify_posts, quote_bases, url_canonical, message_urls, accent_fold, accent_fold_whole, stable_hash, trace_redact, segment_ledger)}
+QUERIES = {f.__name__: f for f in (listing_clauses, rent_ranges, quote_issues, lease_roundtrip, amenity_lists, place_chain, post_verdicts, page_classes, audience_counts, coordinate_pairs, listing_parse, price_roundtrip, attributes_roundtrip, availability_date, labeled_fields, contacts_extract, language_detect, document_language, classify_posts, quote_bases, url_canonical, message_urls, accent_fold, accent_fold_whole, stable_hash, trace_redact, segment_ledger)}
