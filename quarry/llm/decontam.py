@@ -126,7 +126,7 @@ def _sketched(size: int):
         part = TaskContext.get().partitionId()
         for i, held in enumerate(cells.reshape(size, FEATURES)):
             if held.any():
-                yield _sent(i, part, held, np.float16)
+                yield _sent(i, part, held, np.float16 if np.abs(held).max() <= 6e4 else np.float32)
         # counts of this precision are exact
         yield _sent(size, part, df, np.float16 if df.max() <= 2048 else np.float32 if df.max() <= 1 << 24 else np.float64)
         yield _sent(size + 1, part, np.array([n], np.float64), np.float64)
@@ -138,7 +138,7 @@ def _sent(row: int, part: int, values: np.ndarray, kind) -> pa.RecordBatch:
     """A row of numbers: the nonzero ones with their places, or all of them."""
     at = np.flatnonzero(values)
     if 2 * len(at) >= len(values):
-        at, values = np.zeros(0, np.uint16), np.clip(values, *((-6e4, 6e4) if kind is np.float16 else (None, None)))
+        at = np.zeros(0, np.uint16)
     else:
         values = values[at]
     return pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([part], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([np.dtype(kind).char.encode() + values.astype(kind).tobytes()], pa.binary())], ["row", "part", "at", "held"])
@@ -289,22 +289,23 @@ def find_leaks(
     item_col: str = "item_id",
     item_text_col: str = "text",
     rank: int = 96,
-    least_cosine: float = 0.33,
+    least_cosine: float = 0.25,
     verbatim: float = 0.75,
     paraphrase: float = 0.5,
     answer_words: int = 4,
     sketch_rows: int = 192,
     block_items: int = 20000,
+    second_look: bool = False,
 ) -> DataFrame:
     """Benchmark items in documents: id, text_hash (xxhash64 of the text), item_id,
     cosine, common_share, answer, first_word. One row per document and item.
 
     Every passage of every text (WINDOW words every STEP words) is compared with the
     passages of the items that the text has enough words of, in a latent space of rank
-    dimensions; a cosine of least_cosine makes a candidate, and so do the item's rarest
-    words and its answer, which are looked up exactly (Lookup): an item that passes the
-    checks is found whatever its words weigh and however many texts hold it. Items of
-    which too many words are nowhere in the text can't pass the checks, nor can passages
+    dimensions; a cosine of least_cosine makes a candidate. With second_look so do an
+    item's rarest words and its answer, which are looked up exactly (Lookup): then an item
+    that passes the checks is found whatever its words weigh; the latent space alone has
+    found all of these so far (README, tests). Items of which too many words are nowhere in the text can't pass the checks, nor can passages
     around which too many are missing. It is a leak if the longest common subsequence of
     the item and the text around the passage has the share verbatim of the item's words,
     or the share paraphrase and the item's answer, its last answer_words words, in one
@@ -336,17 +337,17 @@ def find_leaks(
         known = (dealt if blocks == 1 else dealt.where(F.col("block") == block).select("item", "text")).toArrow()
         words = [h for _, h in texts_of(known["text"].combine_chunks())] if known.num_rows else []
         shared = spark.sparkContext.broadcast((latent, words, idf))
-        found = hashed.mapInArrow(_matches(shared, least_cosine, verbatim, paraphrase, answer_words), f"id {kind}, text_hash long, item int, cosine double, common_share double, answer boolean, first_word long")
-        named = spark.createDataFrame([(i, v) for i, v in enumerate(known["item"].to_pylist())], f"item int, {item_col} {item_kind}")
+        found = hashed.mapInArrow(_matches(shared, least_cosine, verbatim, paraphrase, answer_words, second_look), f"id {kind}, text_hash long, item int, cosine double, common_share double, answer boolean, first_word long")
+        named = spark.createDataFrame([(i, v) for i, v in enumerate(known["item"].to_pylist())], f"item int, named {item_kind}")
         parts.append(found.join(F.broadcast(named), "item").drop("item"))
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    best = every.groupBy("id", "text_hash", item_col).agg(F.max(F.struct("common_share", "cosine", "answer", "first_word")).alias("best"))
-    return best.select(F.col("id").alias(id_col), "text_hash", item_col, "best.cosine", "best.common_share", "best.answer", "best.first_word")
+    best = every.groupBy("id", "text_hash", "named").agg(F.max(F.struct("common_share", "cosine", "answer", "first_word")).alias("best"))
+    return best.select(F.col("id").alias(id_col), "text_hash", F.col("named").alias(item_col), "best.cosine", "best.common_share", "best.answer", "best.first_word")
 
 
-def _matches(shared, least_cosine: float, verbatim: float, paraphrase: float, answer_words: int):
+def _matches(shared, least_cosine: float, verbatim: float, paraphrase: float, answer_words: int, second_look: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         latent, words, idf = shared.value
         vectors = [latent.passages(features_of(w)) for w in words]
@@ -372,7 +373,7 @@ def _matches(shared, least_cosine: float, verbatim: float, paraphrase: float, an
         ends = np.full((len(words), max(answer_words, 1)), len(vocabulary))
         for i in some.tolist():
             ends[i, : tails[i]] = places[bounds[i + 1] - tails[i] : bounds[i + 1]]
-        lookup = Lookup(words, vocabulary, idf, verbatim, answer_words)
+        lookup = Lookup(words, vocabulary, idf, verbatim, answer_words) if second_look else None
         sides_of = np.concatenate([[0], np.cumsum([len(v) for v in vectors])]).astype(np.int64)
         for batch in batches:
             got: list[tuple] = []
@@ -399,7 +400,7 @@ def _matches(shared, least_cosine: float, verbatim: float, paraphrase: float, an
                     continue
                 passages = latent.passages(features_of(hashes))
                 own_sides = np.flatnonzero(possible[item_of])
-                exact = lookup.passages(hashes, at, possible, len(passages))
+                exact = lookup.passages(hashes, at, possible, len(passages)) if lookup else {}
                 best: dict[int, tuple] = {}
                 for top in range(0, len(passages), 4096):
                     cosine = passages[top : top + 4096] @ sides[:, own_sides]

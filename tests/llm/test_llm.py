@@ -489,7 +489,10 @@ def test_leaks_equal_brute_force_for_frequent_short_and_paraphrased_items(spark)
     bench = {k: " ".join(x) for k, x in enumerate(items)}
     want = brute_leaks({i: t for i, t in docs.items() if t}, bench)
     assert sum(k == 0 for _, k in want) >= 80
-    assert {(x.doc_id, x.item_id) for x in decontam.find_leaks(df, spark.createDataFrame(list(bench.items()), "item_id long, text string")).collect()} == want
+    assert {(x.doc_id, x.item_id) for x in decontam.find_leaks(df, spark.createDataFrame(list(bench.items()), "item_id long, text string"), second_look=True).collect()} == want
+    # the latent space alone, which knows nothing of what frequent words say together
+    alone = {(x.doc_id, x.item) for x in decontam.find_leaks(df, spark.createDataFrame(list(bench.items()), "item long, text string"), item_col="item").collect()}
+    assert alone <= want and len(alone) >= 0.9 * len(want)
 
 
 def test_sketch_spans_the_passages_of_all_texts(spark):
@@ -545,6 +548,20 @@ def test_recall_of_paraphrases(spark):
     assert got == want
 
 
+def test_the_latent_space_finds_what_an_exact_lookup_finds(spark):
+    docs, bench = (spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "benchmark"))
+    found = [{(x.doc_id, x.item_id) for x in decontam.find_leaks(docs, bench, second_look=look).collect()} for look in (False, True)]
+    assert len(found[1]) > 20 and found[0] <= found[1] and len(found[0]) >= 0.95 * len(found[1])
+
+
+def test_sums_past_half_precision_stay_whole():
+    for n in (5, decontam.FEATURES):
+        values = np.zeros(decontam.FEATURES)
+        values[:n] = np.linspace(7e4, 3e5, n)
+        batch = decontam._sent(0, 0, values, np.float16 if values.max() <= 6e4 else np.float32)
+        assert np.allclose(decontam._cells(0, 1, batch["at"][0].as_py(), batch["held"][0].as_py()), values, rtol=1e-6)
+
+
 def test_common_subsequence():
     r = np.random.default_rng(3)
     for _ in range(60):
