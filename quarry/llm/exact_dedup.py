@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import staged
 
+#: What tells texts apart.
+KEY = ["digest", "bytes", "second"]
+
 
 def exact_duplicates(
     docs: DataFrame,
@@ -16,18 +22,14 @@ def exact_duplicates(
     text_col: str = "text",
     keep: str = "min",
     normalise=None,
-    fan_in: int = 16,
+    fan_in: int = 4,
 ) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     Each partition turns its rows into a run, sorted by digest, with one entry per
-    distinct text: the best identifier so far and a count. The runs then meet in
-    rounds, as in a binomial exchange with fan_in partners: a run's node number has one
-    base-fan_in digit per round, and round r replaces digit r by that of the digest.
-    So entries of one digest come closer by a factor of fan_in each round, every
-    exchange carries merged entries only, and after the last round each digest has one
-    entry. A group of copies of any size leaves each partition as one entry.
-    (max and min of a struct make Spark sort, merge and fold: the runs are its own.)
+    distinct text: the best identifier so far and a count. Then partitions exchange runs
+    in binomial rounds (see tree_merged). A group of copies of any size leaves each
+    partition as one entry, and comes closer by a factor of fan_in in each round.
 
     Two texts are equal when SHA-256, byte length and a second hash (xxhash64) agree.
 
@@ -49,24 +51,9 @@ def exact_duplicates(
         ),
         "digests",
     )
-    key = ["digest", "bytes", "second"]
     nodes = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rounds = max(1, math.ceil(math.log(nodes, fan_in)))
-    best = F.max if keep == "max" else F.min
-    runs = rows.select(
-        *key,
-        F.pmod(F.spark_partition_id().cast("long"), F.lit(fan_in**rounds)).alias("node"),
-        F.struct("id", "row").alias("best"),
-        F.lit(1).cast("long").alias("n"),
-    )
-    for r in range(rounds):
-        runs = (
-            runs.withColumn("node", _replace_digit("node", F.col("second"), r, rounds, fan_in))
-            .groupBy("node", *key)
-            .agg(best("best").alias("best"), F.sum("n").alias("n"))
-        )
-    kept = runs.select(*key, F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), "n")
-    return rows.join(kept, key).select(
+    kept = tree_merged(rows.withColumn("n", F.lit(1).cast("long")), keep, nodes, fan_in).select(*KEY, F.col("id").alias("keep_id"), F.col("row").alias("keep_row"), "n")
+    return rows.join(kept, KEY).select(
         F.col("id").alias(id_col),
         "keep_id",
         F.col("n").alias("group_size"),
@@ -75,11 +62,67 @@ def exact_duplicates(
     )
 
 
-def _replace_digit(node: str, digest: Column, r: int, rounds: int, base: int) -> Column:
+def rounds_of(nodes: int, fan_in: int) -> int:
+    """Rounds until fan_in ** rounds nodes or more have met."""
+    rounds = 1
+    while fan_in**rounds < nodes:
+        rounds += 1
+    return rounds
+
+
+def tree_merged(entries: DataFrame, keep: str, nodes: int, fan_in: int) -> DataFrame:
+    """entries (KEY, id, row, n) with one row left for each key: the best (id, row) and the
+    sum of n.
+
+    Partition p has the node number p modulo fan_in ** rounds, a digit of base fan_in for
+    each round. In round r the fan_in nodes that differ in digit r alone exchange their
+    runs: each keeps the entries whose digest has its own digit and sends the others to
+    their node. What a node then has are fan_in sorted runs, which are merged: entries of
+    a key become one. After the last round a key has one node. An entry stays a candidate
+    only if it is the best of its node, and keys are compared whole at every level.
+    """
+    rounds = rounds_of(nodes, fan_in)
+    size = fan_in**rounds
+    order = [F.col(c).asc_nulls_first() if keep == "min" else F.col(c).desc_nulls_last() for c in ("id", "row")]
+    columns = [*KEY, "id", "row", "n"]
+    kind = entries.select(*columns).schema
+    runs = entries.select(*columns).sortWithinPartitions(*KEY, *order).mapInArrow(_merged, kind)
+    runs = runs.withColumn("node", F.pmod(F.spark_partition_id(), F.lit(size)))
+    for r in range(rounds):
+        runs = runs.withColumn("node", _exchanged("node", F.col("second"), r, size, fan_in))
+        runs = runs.repartitionById(size, F.col("node")).sortWithinPartitions(*KEY, *order)
+        runs = runs.select(*columns).mapInArrow(_merged, kind).withColumn("node", F.spark_partition_id())
+    return runs.select(*columns)
+
+
+def _exchanged(node: str, digest: Column, r: int, size: int, base: int) -> Column:
+    """The node number with digit r of the digest in the place of its own."""
     at = base**r
-    old = F.pmod(F.floor(F.col(node) / at), F.lit(base))
-    new = F.pmod(F.floor(F.pmod(digest, F.lit(base**rounds)) / at), F.lit(base))
-    return F.col(node) + (new - old) * at
+    digit = lambda x: F.pmod(F.floor(x / F.lit(at)), F.lit(base))
+    return (F.col(node) + (digit(F.pmod(digest, F.lit(size))) - digit(F.col(node))) * F.lit(at)).cast("int")
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbours of one key become one entry: the first of them, as they come sorted, and
+    the sum of their counts. A key may go on in the next batch."""
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch.cast(held.schema)]).combine_chunks().to_batches()[0]
+        new = np.ones(batch.num_rows, bool)
+        if batch.num_rows > 1:
+            same = [pc.equal(batch[c].slice(1), batch[c].slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False) for c in KEY]
+            new[1:] = ~np.logical_and.reduce(same)
+        first = np.flatnonzero(new)
+        sums = np.add.reduceat(batch["n"].to_numpy(), first)
+        out = batch.take(pa.array(first)).set_column(batch.schema.get_field_index("n"), "n", pa.array(sums))
+        held = out.slice(out.num_rows - 1)
+        if out.num_rows > 1:
+            yield out.slice(0, out.num_rows - 1)
+    if held is not None:
+        yield held
 
 
 ORACLE = """

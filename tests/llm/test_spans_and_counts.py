@@ -7,8 +7,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from quarry.llm import alignment, divergence, personal, queries
+from quarry.llm import alignment, divergence, exact_dedup, personal, queries
 from quarry.llm.tokens import BYTE_LEVEL
 from tests.oracle import DATA
 
@@ -240,3 +241,15 @@ def test_terms_of_a_long_text_count_one_document(spark, monkeypatch):
     monkeypatch.setattr(divergence, "PART", 64)
     df = spark.createDataFrame([("en", "a", "word other " * 1000)], "lang string, source string, text string")
     assert {(r.term, r.n, r.docs) for r in divergence.term_counts(df).collect()} == {("word", 1000, 1), ("other", 1000, 1)}
+
+
+def test_runs_meet_in_rounds_by_partition_number(spark):
+    """64 partitions and a fan-in of 4: three exchanges, and a key never has more entries
+    than the nodes that have not met yet."""
+    assert [exact_dedup.rounds_of(n, 4) for n in (2, 4, 5, 16, 64, 65)] == [1, 1, 2, 2, 3, 4]
+    rows = spark.range(0, 6400, 1, 64).select(F.col("id"), F.col("id").alias("row"), F.sha2((F.col("id") % 50).cast("string"), 256).alias("digest"), F.lit(2).cast("long").alias("bytes"), F.xxhash64(F.col("id") % 50).alias("second"), F.lit(1).cast("long").alias("n"))
+    for keep, want in (("min", lambda k: k), ("max", lambda k: 6350 + k)):
+        merged = exact_dedup.tree_merged(rows, keep, 64, 4)
+        assert merged._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 3
+        got = {r.id % 50: (r.id, r.n) for r in merged.collect()}
+        assert got == {k: (want(k), 128) for k in range(50)}
