@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import records, spans
 from quarry.operators import inventory
+from quarry.operators.graph import shared_path, stored
+from quarry.sources import pages
 from quarry.sources.listing import spread, table
 
 SMILE, SCRIPT_A, CAFE, FIVE = "\U0001f642", "\U0001d49c", "Café", "ﬁve"
@@ -113,12 +115,44 @@ def discovery_merge(spark, sf_dir):
     return out.withColumn("found_in", F.concat_ws(",", "found_in"))
 
 
+def _imported(spark, sf_dir):
+    """Customers as files of cards in three formats, one folder each; of those that a
+    manifest lists some are gone, some have changed since, and some cards are broken."""
+    path = shared_path(spark, "pages")
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(k, (k % 30).alias("file"), (k % 3).alias("kind"), F.col("c_name").alias("title"), F.floor("c_acctbal").cast("string").alias("price"))
+    card = (
+        F.when(F.col("c_custkey") % 50 == 0, "broken").when(F.col("kind") == 0, F.concat(F.lit('{"id":"'), "c_custkey", F.lit('","title":"'), "title", F.lit('","price":'), "price", F.lit("}")))
+        .when(F.col("kind") == 1, F.concat_ws(",", "c_custkey", "title", F.when(F.col("c_custkey") % 20 == 1, "dear").otherwise(F.col("price")))).otherwise(F.concat(F.lit('<li data-id="'), "c_custkey", F.lit('" data-price="'), "price", F.lit('">\n<b>'), "title", F.lit("</b></li>")))
+    )
+    held = rows.groupBy("file", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", card.alias("card")))), lambda c: c["card"]), "\n").alias("value"))
+    held = stored(held.withColumn("value", F.concat(F.when(F.col("kind") == 1, "id,title,price\n").otherwise(""), "value")), "held")
+    held.where("file % 10 <> 2").select("file", "value").repartition("file").write.partitionBy("file").text(path)
+    format = F.element_at(F.array(F.lit("jsonl"), F.lit("csv"), F.lit("html")), F.col("kind").cast("int") + 1)
+    manifest = held.where("file % 10 <> 3").select(F.col("file").cast("string").alias("name"), F.sha2(F.concat(F.when(F.col("file") % 10 == 1, "old ").otherwise(""), "value", F.lit("\n")), 256).alias("sha256"), F.when(F.col("file") == 5, "pdf").otherwise(format).alias("format"), F.concat(F.lit("s"), "file").alias("source_id"))
+    return pages.checked_files(pages.files_of(spark, path, r"/file=([^/]+)/"), manifest)
+
+
+def imported_cards(spark, sf_dir):
+    return pages.cards(_imported(spark, sf_dir)).select("name", "source_id", "id", "title", "price", "fault")
+
+
+def import_report(spark, sf_dir):
+    checked = stored(_imported(spark, sf_dir), "checked")
+    return pages.import_report(checked, pages.cards(checked))
+
+
 _ATTEMPT = f"""a AS (SELECT user_id, event_id % 3 AS query, ts, event_id, MAP {STATUS}[event_type] AS status, CASE WHEN event_id % 2 = 0 THEN event_id % 5 > 0 ELSE true END AS whole, CASE WHEN event_id % 4 = 0 THEN event_id END AS pages FROM events WHERE event_type <> 'signup')"""
 _MATCH = """k AS (SELECT s_suppkey AS s, s_suppkey % 5 AS priority, 's' || s_suppkey AS source_id FROM supplier),
       f AS (SELECT c_custkey AS c, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 300 END AS peer, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 250 END AS username, CASE WHEN c_custkey % 4 > 0 THEN c_name END AS title, c_mktsegment AS seg FROM customer),
       m AS (SELECT c, source_id, 'peer' AS matched_by, 0 AS place, priority FROM f JOIN k ON peer IN (s, s + 7) UNION ALL SELECT c, source_id, 'username', 1, priority FROM f JOIN k ON username IN (s, s + 3)),
       b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY c ORDER BY place, priority, source_id) = 1)"""
+_FILES = """c AS (SELECT c_custkey AS k, c_custkey % 30 AS f, c_custkey % 3 AS kind, c_name, floor(c_acctbal) AS p FROM customer),
+      f AS (SELECT DISTINCT f, ['jsonl', 'csv', 'html'][kind + 1] AS format FROM c), s AS (SELECT f, CASE f % 10 WHEN 2 THEN 'missing' WHEN 3 THEN 'unlisted' WHEN 1 THEN 'changed' ELSE CASE WHEN f = 5 THEN 'unknown-format' ELSE 'ok' END END AS state, CASE WHEN f % 10 = 3 THEN NULL WHEN f = 5 THEN 'pdf' ELSE format END AS format FROM f),
+      r AS (SELECT c.*, CASE WHEN k % 50 = 0 THEN 'no-card' WHEN kind = 1 AND k % 20 = 1 THEN 'no-price' END AS fault FROM c JOIN s USING (f) WHERE state = 'ok' AND NOT (kind = 2 AND k % 50 = 0))"""
 SQL = {
+    "imported_cards": f"""WITH {_FILES} SELECT f::VARCHAR AS name, 's' || f AS source_id, CASE WHEN fault IS NULL OR fault = 'no-price' THEN k::VARCHAR END AS id, CASE WHEN fault IS NULL OR fault = 'no-price' THEN c_name END AS title, CASE WHEN fault IS NULL THEN p::DOUBLE END AS price, fault FROM r""",
+    "import_report": f"""WITH {_FILES} SELECT s.f::VARCHAR AS name, state, format, count(r.k) - count(r.fault) AS cards, count(r.fault) AS faults FROM s LEFT JOIN r ON r.f = s.f GROUP BY ALL""",
     "text_entities": f"""WITH t AS (SELECT conv_id, turn, role, 'https://x.example/' || conv_id AS url FROM conversations)
       SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'url' ELSE 'mention' END || '|text_link|mention' AS types, CASE WHEN turn % 2 = 0 THEN url ELSE 'x.exa' END || '|https://l.example/' || turn || '|@name' AS targets,
         '{SMILE}' || role || ' ' || CASE WHEN turn % 2 = 0 THEN url ELSE 'https://x.exa' END || '|{SMILE}|{SCRIPT_A} next @name' AS contexts FROM t""",
