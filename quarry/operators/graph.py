@@ -71,32 +71,39 @@ def components(nodes: DataFrame, keys: Column, id_col: str) -> DataFrame:
     return nodes.select(F.col(id_col).alias("id")).join(linked(held), "id", "left").select("id", F.coalesce("label", "id").alias("component"))
 
 
-def linked(held: DataFrame, salts: int = 32) -> DataFrame:
+def linked(held: DataFrame, salts: int = 32, hot: int = 10_000) -> DataFrame:
     """id and label (smallest id of the component) of all ids in held (id, key) that share
     a key with another.
 
     Each key links its rows to its smallest id (a star, not all pairs); then smallest
-    labels spread and jump until they rest. What is joined with labels is salted, as a hub
-    or a label may belong to a third of all rows: the few rows that lead on, one for each
-    distinct label or hub, are dealt to every salt instead."""
+    labels spread and jump until they rest. Hubs and labels that more than `hot` rows have
+    are joined by salts: their rows are dealt to `salts` places, and the one row that they
+    lead to goes to all of these."""
     hubs = held.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
     star = held.join(hubs, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     star = stored(star, "edges")
-    some = F.sequence(F.lit(0), F.lit(salts - 1))
-    salted = lambda rows, by: rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    salt = lambda rows, by: rows.withColumn("salt", F.when(F.col("n") > hot, F.pmod(F.xxhash64(by), F.lit(salts))).otherwise(0))
+    places = F.when(F.col("n") > hot, F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")).otherwise(F.array(F.lit(0).cast("long")))
+    ends = stored(star.groupBy(F.col("b").alias("id")).agg(F.count("*").alias("n")), "hubs")
+    # few hubs are hot: only their names travel to the rows
+    big = ends.where(F.col("n") > hot)
+    star = salt(star.join(big.select(F.col("id").alias("b"), "n"), "b", "left").na.fill(0, ["n"]), "a").drop("n")
+    star = stored(star, "edges")
     labels = star.select(F.col("a").alias("id"), F.col("b").alias("label")).union(star.select("b", "b")).groupBy("id").agg(F.min("label").alias("label"))
     labels = stored(labels.select("id", F.least("id", "label").alias("label")), "labels")
-    ends = star.select(F.col("b").alias("id")).distinct()
     while True:
         # what hubs know goes to their rows, what rows know to their hubs
-        hub = labels.join(ends, "id").select(F.col("id").alias("b"), "label", F.explode(some).alias("salt"))
-        down = salted(star, "a").join(hub, ["b", "salt"]).select(F.col("a").alias("id"), "label")
+        hub = labels.join(ends, "id").select(F.col("id").alias("b"), "label", F.explode(places).alias("salt"))
+        down = star.join(hub, ["b", "salt"]).select(F.col("a").alias("id"), "label")
         up = star.join(labels, F.col("a") == F.col("id")).select(F.col("b").alias("id"), "label")
         low = labels.withColumn("old", F.col("label")).unionByName(down.union(up).withColumn("old", F.lit(None).cast(labels.schema["id"].dataType)))
-        low = low.groupBy("id").agg(F.max("old").alias("old"), F.min("label").alias("low"))
-        named = low.select("low").distinct()
-        jump = labels.join(named, F.col("id") == F.col("low"), "left_semi").select(F.col("id").alias("low"), F.col("label").alias("jump"), F.explode(some).alias("salt"))
-        new = salted(low, "id").join(jump, ["low", "salt"], "left").select("id", "old", F.least("low", F.coalesce("jump", "low")).alias("label"))
+        low = stored(low.groupBy("id").agg(F.max("old").alias("old"), F.min("label").alias("low")), "low")
+        # labels that lead further, with the number of rows that have them
+        named = low.groupBy("low").agg(F.count("*").alias("n"))
+        jump = labels.where("id <> label").join(named, F.col("id") == F.col("low")).select("low", F.col("label").alias("jump"), "n")
+        far = jump.where(F.col("n") > hot).select("low", "n")
+        dealt = salt(low.join(far, "low", "left").na.fill(0, ["n"]), "id").drop("n")
+        new = dealt.join(jump.select("low", "jump", F.explode(places).alias("salt")), ["low", "salt"], "left").select("id", "old", F.least("low", F.coalesce("jump", "low")).alias("label"))
         new = stored(new, "labels")
         labels = new.select("id", "label")
         if not new.where("old <> label").limit(1).count():
