@@ -6,6 +6,7 @@ from clause to clause, go through the Arrow function of pricing.py.
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 from pyspark.sql import Column
@@ -16,7 +17,9 @@ from quarry.functions.pricing import rent_quote
 
 #: Vietnamese letters beside the plain ones: each vowel with each tone, and đ.
 VIETNAMESE = "".join(sorted({unicodedata.normalize("NFC", v + tone) for v in "aăâeêioôơuưy" for tone in ("", "̀", "́", "̃", "̉", "̣")} - set("aeiouy"))) + "đ"
-LANGUAGE_SCRIPTS = {"ru": "[А-ЯЁа-яё]", "vi": f"(?iu)[{VIETNAMESE}]"}
+LANGUAGE_SCRIPTS = {"ru": "[А-ЯЁа-яё]", "vi": V.letters_of(VIETNAMESE + VIETNAMESE.upper())}
+#: Small letters that share their capital with another, such as the long s.
+SAME_CAPITAL = {c: low for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) == 1 and len(low := c.upper().lower()) == 1 and low != c.lower()}
 BEDROOM, BATHROOM, BED, GUEST, ROOM = (
     V.any_of(words)
     for words in (("bedroom", "bedrooms", "br", "bhk", "pn", "спальн*", "phòng ngủ"), ("bathroom", "bathrooms", "wc", "сануз*", "phòng tắm"), ("bed", "beds", "кроват*", "giường"), ("guest", "guests", "гост*", "khách"), ("room", "rooms", "комнат*", "phòng"))
@@ -30,8 +33,26 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def has(text: Column, words: tuple[str, ...]) -> Column:
-    return text.rlike("(?iu)" + V.any_of(words))
+def folded(text: Column) -> Column:
+    """A text with letters as patterns with (?iu) compare them."""
+    return F.lower(F.translate(text, "İ" + "".join(SAME_CAPITAL), "i" + "".join(SAME_CAPITAL.values())))
+
+
+def contains_any(low: Column, parts: tuple[str, ...]) -> Column:
+    """Whether a folded text has any of parts (in lower case), whatever stands around them."""
+    return functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in parts])
+
+
+def may_have(low: Column, words: tuple[str, ...]) -> Column:
+    """False where no pattern of words can match the text that low is folded from: a plain
+    search, far cheaper than the pattern, that most texts fail for most words."""
+    return contains_any(low, V.pieces(words))
+
+
+def has(text: Column, words: tuple[str, ...], low: Column | None = None) -> Column:
+    """low: the folded text, where many patterns are tried on one."""
+    found = text.rlike("(?iu)" + V.any_of(words))
+    return found if low is None else may_have(low, words) & found
 
 
 def _first(text: Column, *patterns: str) -> Column:
@@ -88,14 +109,15 @@ def floor(text: Column) -> Column:
     return _first(text, rf"{words}{_LABEL}(\d{{1,2}})(?![\d-]|[ \t]*[mм][²2])", r"(?<![\d-])(\d{1,2})(?:st|nd|rd|th)?[ \t-]+(?:floor|этаж)(?!\p{L})").try_cast("int")
 
 
-def stay_months(text: Column, words: tuple[str, ...] = ("minimum", "min", "minimum stay", "min stay", "от", "tối thiểu")) -> Column:
+def stay_months(text: Column, words: tuple[str, ...] = ("minimum", "min", "minimum stay", "min stay", "от", "tối thiểu"), low: Column | None = None) -> Column:
     """Months of the stay that words speak of; a year has twelve."""
     head = rf"{V.any_of(words)}\.?\s*(?:stay\s+)?[:]?\s*"
-    return F.coalesce(_first(text, rf"{head}(\d{{1,3}})\s*{MONTHS}").try_cast("int"), _first(text, rf"{head}(\d{{1,2}})\s*{YEARS}").try_cast("int") * 12)
+    stay = F.coalesce(_first(text, rf"{head}(\d{{1,3}})\s*{MONTHS}").try_cast("int"), _first(text, rf"{head}(\d{{1,2}})\s*{YEARS}").try_cast("int") * 12)
+    return stay if low is None else F.when(may_have(low, words), stay)
 
 
-def months_after(text: Column, words: tuple[str, ...]) -> Column:
-    return _first(text, rf"{V.any_of(words)}\D{{0,24}}?(\d{{1,3}})\s*{MONTHS}").try_cast("int")
+def months_after(text: Column, words: tuple[str, ...], low: Column) -> Column:
+    return F.when(may_have(low, words), _first(text, rf"{V.any_of(words)}\D{{0,24}}?(\d{{1,3}})\s*{MONTHS}").try_cast("int"))
 
 
 DEPOSIT = ("deposit", "депозит*", "залог*", "đặt cọc", "cọc")
@@ -120,18 +142,22 @@ def deposit_money(text: Column) -> Column:
 def lease_terms(text: Column) -> Column:
     """Struct of months (least, most, deposit, prepayment), agency fee, rating, reviews. The
     term of a contract is its least stay; a deposit of a month's rent is one month."""
-    behind = lambda words, number, tail="": _first(text, rf"{V.any_of(words)}{_LABEL}({number}){tail}")
+    return let(folded(text), lambda low: _lease_terms(text, low))
+
+
+def _lease_terms(text: Column, low: Column) -> Column:
+    behind = lambda words, number, tail="": F.when(may_have(low, words), _first(text, rf"{V.any_of(words)}{_LABEL}({number}){tail}"))
     share = r"\d{1,3}(?:[.,]\d{1,2})?"
-    a_month = text.rlike(rf"(?iu){V.any_of(DEPOSIT)}[^.;\n\d]{{0,24}}{V.any_of(A_MONTHS_RENT)}")
+    a_month = may_have(low, DEPOSIT) & text.rlike(rf"(?iu){V.any_of(DEPOSIT)}[^.;\n\d]{{0,24}}{V.any_of(A_MONTHS_RENT)}")
     contract = F.coalesce(behind(CONTRACT, r"\d{1,3}", rf"\s*{MONTHS}").try_cast("int"), behind(CONTRACT, r"\d{1,2}", rf"\s*{YEARS}").try_cast("int") * 12)
     return F.struct(
-        F.coalesce(stay_months(text), contract).alias("minimum_months"),
-        stay_months(text, ("maximum", "max", "maximum stay", "не более", "tối đa")).alias("maximum_months"),
-        F.coalesce(months_after(text, DEPOSIT), F.when(a_month, 1)).alias("deposit_months"),
-        months_after(text, PREPAID).alias("prepayment_months"),
+        F.coalesce(stay_months(text, low=low), contract).alias("minimum_months"),
+        stay_months(text, ("maximum", "max", "maximum stay", "не более", "tối đa"), low).alias("maximum_months"),
+        F.coalesce(months_after(text, DEPOSIT, low), F.when(a_month, 1)).alias("deposit_months"),
+        months_after(text, PREPAID, low).alias("prepayment_months"),
         decimal(behind(FEES, share, r"\s*%")).alias("agency_fee_percent"),
         decimal(behind(RATED, r"\d(?:[.,]\d{1,2})?")).alias("rating"),
-        _first(text, rf"(?<![\d.,])(\d{{1,7}})\s*{V.any_of(REVIEWS)}").try_cast("int").alias("reviews"),
+        F.when(may_have(low, REVIEWS), _first(text, rf"(?<![\d.,])(\d{{1,7}})\s*{V.any_of(REVIEWS)}")).try_cast("int").alias("reviews"),
     )
 
 
@@ -214,18 +240,23 @@ def _date_of(one: Column, month_name: str, published: Column) -> Column:
 def labeled_fields(text: Column) -> Column:
     """label: value and label - value within lines or between semicolons; a map of the
     label in lower case to all its values in order."""
-    parts = F.split(text, r"\r?\n|;")
+    parts = F.filter(F.split(text, r"\r?\n|;"), lambda p: p.rlike(r":| [-–—] "))
     pattern = r"(?u)^[^\p{L}\p{N}]*([\p{L}\p{N}][^:\n]{0,59}?)(?::| [-–—] )(.*)$"
-    pairs = F.filter(F.transform(parts, lambda p: F.struct(F.lower(F.trim(F.regexp_extract(p, pattern, 1))).alias("k"), F.trim(F.regexp_extract(p, pattern, 2)).alias("v"))), lambda s: (s["k"] != "") & (s["v"] != ""))
-    keys = F.array_distinct(F.transform(pairs, lambda s: s["k"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.transform(F.filter(pairs, lambda s: s["k"] == k), lambda s: s["v"])))
+    found = F.filter(F.transform(parts, lambda p: F.struct(F.lower(F.trim(F.regexp_extract(p, pattern, 1))).alias("k"), F.trim(F.regexp_extract(p, pattern, 2)).alias("v"))), lambda s: (s["k"] != "") & (s["v"] != ""))
+
+    def by_label(pairs: Column) -> Column:
+        keys = F.array_distinct(F.transform(pairs, lambda s: s["k"]))
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.transform(F.filter(pairs, lambda s: s["k"] == k), lambda s: s["v"])))
+
+    return let(found, by_label)
 
 
 def contacts(text: Column) -> Column:
     """Struct of distinct e-mails in lower case, handles of 5 to 32 characters (with @ or
     as a link to a profile) and phones of 8 digits or more on lines that speak of contact."""
     found = lambda pattern, of=text: F.regexp_extract_all(of, F.lit(pattern), 1)
-    emails = F.transform(found(r"(?u)([\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[\p{L}\p{N}-]{1,63}\.){1,5}\p{L}{2,24})"), F.lower)
+    none = F.array().cast("array<string>")
+    emails = F.transform(F.when(F.contains(text, F.lit("@")), found(r"(?u)([\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[\p{L}\p{N}-]{1,63}\.){1,5}\p{L}{2,24})")).when(text.isNotNull(), none), F.lower)
     name = r"(\p{Alpha}\w{4,31})(?!\w)"
     handles = F.concat(found(rf"(?<![\w.\p{{L}}])@{name}"), found(rf"(?i)://(?:www\.)?t(?:elegram)?\.me/(?!joinchat|share/){name}"))
     lines = F.filter(F.split(text, r"\r?\n"), lambda x: has(x, V.CONTACT_WORDS))
@@ -238,14 +269,17 @@ def language(text: Column) -> Column:
     """Struct of language and confidence: words and script of each, ties by name."""
     def score(name):
         words = F.regexp_count(text, F.lit("(?iu)" + V.any_of(V.LANGUAGES[name])))
-        return words + (F.when(text.rlike(LANGUAGE_SCRIPTS[name]), 2).otherwise(0) if name in LANGUAGE_SCRIPTS else F.lit(0))
+        return (words + (F.when(text.rlike(LANGUAGE_SCRIPTS[name]), 2).otherwise(0) if name in LANGUAGE_SCRIPTS else F.lit(0))).alias(name)
 
-    scores = {n: score(n) for n in V.LANGUAGES}
-    best = F.greatest(*scores.values())
-    name = F.when(best == 0, "unknown")
-    for n in sorted(scores):
-        name = name.when(scores[n] == best, n)
-    return F.struct(name.alias("language"), F.coalesce(F.try_divide(best.cast("double"), sum(scores.values(), F.lit(0))), F.lit(0.0)).alias("confidence"))
+    def best_of(scores: Column) -> Column:
+        best = F.greatest(*[scores[n] for n in V.LANGUAGES])
+        name = F.when(best == 0, "unknown")
+        for n in sorted(V.LANGUAGES):
+            name = name.when(scores[n] == best, n)
+        total = sum((scores[n] for n in V.LANGUAGES), F.lit(0))
+        return F.struct(name.alias("language"), F.coalesce(F.try_divide(best.cast("double"), total), F.lit(0.0)).alias("confidence"))
+
+    return let(F.struct(*[score(n) for n in V.LANGUAGES]), best_of)
 
 
 def parse_price(text: Column) -> Column:
@@ -265,6 +299,10 @@ def quote_basis(text: Column) -> Column:
 def amenities(text: Column) -> Column:
     """Struct of sorted lists: present, absent (a negation stands right before it, or
     absent/unavailable after it) and shared. What is absent somewhere is not present."""
+    return let(folded(text), lambda low: _amenities(text, low))
+
+
+def _amenities(text: Column, low: Column) -> Column:
     no, shared = V.any_of(V.ABSENT), V.any_of(V.SHARED)
     tests = []
     for name, words in V.AMENITIES.items():
@@ -274,14 +312,14 @@ def amenities(text: Column) -> Column:
         # mentions that are neither negated nor shared
         rest = F.regexp_replace(text, rf"{together}|{no}\s+{word}", " ")
         # the long tests are for texts that name the amenity at all
-        tests.append(F.when(has(text, words), F.struct(F.lit(name).alias("name"), (rest.rlike("(?iu)" + word) & ~gone).alias("present"), gone.alias("absent"), text.rlike(together).alias("shared"))))
+        tests.append(F.when(has(text, words, low), F.struct(F.lit(name).alias("name"), (rest.rlike("(?iu)" + word) & ~gone).alias("present"), gone.alias("absent"), text.rlike(together).alias("shared"))))
     names = lambda rows, field: F.array_sort(F.transform(F.filter(rows, lambda r: F.coalesce(r[field], F.lit(False))), lambda r: r["name"]))
     return let(F.array_compact(F.array(*tests)), lambda rows: F.struct(*[names(rows, f).alias(f) for f in ("present", "absent", "shared")]))
 
 
 def utility_charges(text: Column) -> Column:
     """Names of the charges that a text speaks of."""
-    return F.array_compact(F.array(*[F.when(has(text, words), name) for name, words in V.UTILITIES.items()]))
+    return let(folded(text), lambda low: F.array_compact(F.array(*[F.when(has(text, words, low), name) for name, words in V.UTILITIES.items()])))
 
 
 def coordinates(text: Column) -> Column:
@@ -351,17 +389,20 @@ def location(text: Column) -> Column:
         return F.nullif(F.array_join(F.slice(near, 1, 2), ", "), F.lit(""))
 
     def labelled(lines: Column) -> Column:
-        marked = F.filter(F.transform(lines, lambda x, i: F.struct(x.rlike(label).alias("is"), sentence(x).alias("rest"), i.alias("at"))), lambda m: m["is"])
+        marked = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("at"))), lambda m: m["line"].rlike(label))
+        return let(F.transform(marked, lambda m: F.struct(sentence(m["line"]).alias("rest"), m["at"].alias("at"))), lambda rows: placed(lines, rows))
+
+    def placed(lines: Column, marked: Column) -> Column:
         # a further label with an amount behind it names no place
         direct = F.filter(marked, lambda m: (m["rest"] != "") & ~m["rest"].rlike(r"^[^:]*:[ \t]*(?:\p{Sc}|\d)"))
         bare = F.get(F.filter(marked, lambda m: m["rest"] == ""), F.lit(0))["at"]
-        return F.struct(F.get(direct, F.lit(0))["rest"].alias("direct"), bullets(F.slice(lines, bare + 2, 8)).alias("listed"))
+        return F.struct(F.get(direct, F.lit(0))["rest"].alias("direct"), F.when(bare.isNotNull(), let(F.slice(lines, bare + 2, 8), bullets)).alias("listed"))
 
     # a label may also begin a sentence within a line
     parts = F.split(F.regexp_replace(text, rf"(?iu)(?<=[.!?])[ \t]+(?={V.any_of(V.PLACE_LABELS)}[ \t]*:)", "\n"), r"\r?\n")
     pinned = F.nullif(F.trim(F.regexp_extract(text, r"(?m)^\s*📍\s*([^|\n]{1,120})", 1)), F.lit(""))
     alone = let(cities_in(text), lambda city: F.when(F.size(city) == 1, F.element_at(city, 1)))
-    known = F.struct(let(parts, labelled).alias("by"), pinned.alias("pinned"), alone.alias("city"))
+    known = F.struct(F.when(has(text, V.PLACE_LABELS), let(parts, labelled)).alias("by"), pinned.alias("pinned"), alone.alias("city"))
 
     def chosen(k):
         method = F.when(k["by"]["direct"].isNotNull(), "labelled").when(k["by"]["listed"].isNotNull(), "bullets").when(k["pinned"].isNotNull(), "pinned").when(k["city"].isNotNull(), "city")
@@ -375,9 +416,13 @@ def post_verdict(text: Column, city: str | None = None, duplicate: Column | None
     """Struct of label, reason and eligible, the first that fits of: duplicate, request,
     sale, service (the first three lines offer no rent), guides, another city than the
     given one, commercial, vehicles, offer, uncertain, unrelated."""
+    return let(folded(text), lambda low: _post_verdict(text, low, city, duplicate))
+
+
+def _post_verdict(text: Column, low: Column, city: str | None, duplicate: Column | None) -> Column:
     lines = F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != "")
     head = F.array_join(F.slice(lines, 1, 3), "\n")
-    renting, home, money = has(text, V.RENTING), has(text, V.PROPERTY), text.rlike("(?iu)(?:" + "|".join(V._plain(w.removesuffix("*")) for ws in V.CURRENCIES.values() for w in ws if len(w) > 1 or not w.isalpha()) + r"|triệu|million|tỷ|млн|млрд|price|цена|giá)")
+    renting, home, money = has(text, V.RENTING, low), has(text, V.PROPERTY, low), contains_any(low, (*[w.removesuffix("*") for ws in V.CURRENCIES.values() for w in ws if len(w) > 1 or not w.isalpha()], "triệu", "million", "tỷ", "млн", "млрд", "price", "цена", "giá"))
     # sentences on other places, or on what the channel offers besides, don't place the listing
     said = F.flatten(F.transform(lines, lambda x: F.split(x, r"(?<=[.!?])\s+")))
     named = F.filter(said, lambda x: ~has(x, V.ELSEWHERE))
@@ -385,14 +430,14 @@ def post_verdict(text: Column, city: str | None = None, duplicate: Column | None
     other = F.lit(False) if city is None else _elsewhere(place, city)
     cases = [
         (F.coalesce(duplicate, F.lit(False)) if duplicate is not None else F.lit(False), "duplicate", "stable-identity-already-seen"),
-        (has(text, V.REQUEST), "request", "seeking-accommodation"),
-        (has(text, V.SALE), "sale", "sale-intent"),
-        (has(text, (*V.SERVICE, "cleaning of")) & ~has(head, V.RENTING), "service", "service-advertisement"),
-        (has(text, V.GUIDE), "unrelated", "informational-market-content"),
+        (has(text, V.REQUEST, low), "request", "seeking-accommodation"),
+        (has(text, V.SALE, low), "sale", "sale-intent"),
+        (has(text, (*V.SERVICE, "cleaning of"), low) & ~has(head, V.RENTING), "service", "service-advertisement"),
+        (has(text, V.GUIDE, low), "unrelated", "informational-market-content"),
         (other, "wrong-location", "explicit-other-city"),
-        (has(text, V.COMMERCIAL), "commercial", "commercial-premises"),
-        (~home & has(text, V.VEHICLES), "unrelated", "non-housing-rental"),
-        (home & (renting | money | has(text, V.BOOKING)), "offer", "rental-evidence"),
+        (has(text, V.COMMERCIAL, low), "commercial", "commercial-premises"),
+        (~home & has(text, V.VEHICLES, low), "unrelated", "non-housing-rental"),
+        (home & (renting | money | has(text, V.BOOKING, low)), "offer", "rental-evidence"),
         (home | money, "uncertain", "insufficient-rental-evidence"),
     ]
     out = F.struct(F.lit("unrelated").alias("label"), F.lit("no-accommodation-evidence").alias("reason"), F.lit(False).alias("eligible"))

@@ -117,16 +117,42 @@ CONTACT_WORDS = ("contact*", "whatsapp", "phone", "tel", "контакт*", "т
 
 def any_of(words: tuple[str, ...], letter: str = r"\p{L}") -> str:
     """A pattern, without flags, of any of words, not inside a longer run of letters.
-    Longer words come first. letter is the class of letters: the default is Java's."""
-    out = []
+    Longer words come first. letter is the class of letters: the default is Java's.
+
+    Words that begin with a letter share one look behind and are grouped by that letter, so
+    that most places of a text cost one test, however many words there are."""
+    initials: dict[str, list[str]] = {}
+    others = []
     for word in sorted(set(words), key=lambda w: (-len(w), w)):
         stem = word.endswith("*")
-        body = "".join(rf"{letter}*\s+" if part == "* " else r"\s+" if part == " " else part if part[0] == "[" else _plain(part) for part in _parts(word.removesuffix("*")))
         solid = all(not ("⺀" < c < "ꀀ") for c in word) and word[0].isalpha()
-        before = f"(?<!{letter})" if solid else ""
+        body = _pattern(_parts(word.removesuffix("*")), letter)
         after = f"{letter}*" if stem else f"(?!{letter})" if solid and word[-1].isalnum() else ""
-        out.append(before + body + after)
-    return "(?:" + "|".join(out) + ")"
+        if solid:
+            initials.setdefault(_plain(word[0]), []).append(body[len(_plain(word[0])) :] + after)
+        else:
+            others.append(body + after)
+    solids = [initial + (rests[0] if len(rests) == 1 else f"(?:{'|'.join(rests)})") for initial, rests in initials.items()]
+    return "(?:" + "|".join(([f"(?<!{letter})(?:{'|'.join(solids)})"] if solids else []) + others) + ")"
+
+
+def letters_of(letters: str) -> str:
+    """A class of letters as ranges: a class of single ones tries one after the other."""
+    codes = sorted(set(map(ord, letters)))
+    first = [c for c in codes if c - 1 not in codes]
+    last = [c for c in codes if c + 1 not in codes]
+    return "[" + "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in zip(first, last, strict=True)) + "]"
+
+
+def pieces(words: tuple[str, ...]) -> tuple[str, ...]:
+    """Of each word the longest plain piece, in lower case: a text that any_of(words) matches
+    has one of them. Those that contain another are left out."""
+    longest = {max((p for p in _parts(w.removesuffix("*")) if p[0] not in "[* "), key=len).upper().lower() for w in words}
+    return tuple(sorted(p for p in longest if not any(q != p and q in p for q in longest)))
+
+
+def _pattern(parts: list[str], letter: str) -> str:
+    return "".join(rf"{letter}*\s+" if part == "* " else r"\s+" if part == " " else part if part[0] == "[" else _plain(part) for part in parts)
 
 
 def _parts(word: str) -> list[str]:

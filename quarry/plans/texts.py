@@ -48,22 +48,22 @@ def availability_date(spark, sf_dir):
 def labeled_fields(spark, sf_dir):
     rows = lines(spark, sf_dir)
     text = F.concat(F.lit("* Size: "), F.col("q"), F.lit("; Owner - s"), F.col("l_suppkey"), F.lit("\nno label here\nSIZE: big"))
-    m = T.labeled_fields(text)
-    return rows.select("l_orderkey", "l_linenumber", F.concat_ws("|", F.try_element_at(m, F.lit("size"))).alias("size"), F.concat_ws("|", F.try_element_at(m, F.lit("owner"))).alias("owner"), F.size(m).cast("long").alias("n"))
+    m = F.col("m")
+    return rows.withColumn("text", text).withColumn("m", T.labeled_fields(F.col("text"))).select("l_orderkey", "l_linenumber", F.concat_ws("|", F.try_element_at(m, F.lit("size"))).alias("size"), F.concat_ws("|", F.try_element_at(m, F.lit("owner"))).alias("owner"), F.size(m).cast("long").alias("n"))
 
 
 def contacts_extract(spark, sf_dir):
     rows = lines(spark, sf_dir)
     text = F.concat(F.lit("write to Own"), F.col("l_suppkey"), F.lit("@Mail.example.com or @user_"), F.col("l_orderkey"), F.lit("\ncontact +84 90"), F.lpad(F.col("l_partkey").cast("string"), 7, "0"), F.lit("\narea 123456789012"))
-    c = T.contacts(text)
-    return rows.select("l_orderkey", "l_linenumber", *[F.concat_ws(",", c[k]).alias(k) for k in ("email", "telegram", "phone")])
+    c = T.contacts(F.col("text"))
+    return rows.withColumn("text", text).select("l_orderkey", "l_linenumber", *[F.concat_ws(",", c[k]).alias(k) for k in ("email", "telegram", "phone")])
 
 
 def language_detect(spark, sf_dir):
     rows = lines(spark, sf_dir)
     kinds = ("Apartment for rent, price per month", "Сдаётся квартира, цена за месяц", "Cho thuê căn hộ, giá tháng", "lorem ipsum")
     text = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("l_orderkey") % 4 + 1).cast("int"))
-    return rows.groupBy(T.language(text)["language"].alias("language")).agg(F.count("*").alias("n"))
+    return rows.withColumn("text", text).groupBy(T.language(F.col("text"))["language"].alias("language")).agg(F.count("*").alias("n"))
 
 
 def document_language(spark, sf_dir):
@@ -188,15 +188,15 @@ def lease_roundtrip(spark, sf_dir):
     n, q = F.col("l_linenumber"), F.col("q")
     english = F.concat(F.lit("Min. stay "), n, F.lit(" months, maximum: "), n + 12, F.lit(" months\nDeposit is "), n, F.lit(" months\nPrepayment of "), n + 1, F.lit(" months\nAgency fee: "), q, F.lit(",5%\nRating: 4."), n, F.lit(" ("), F.col("l_partkey"), F.lit(" reviews)"))
     russian = F.concat(F.lit("От "), n, F.lit(" года, не более "), n + 12, F.lit(" месяцев\nДепозит: "), n, F.lit(" месяца\nПредоплата за "), n + 1, F.lit(" месяца\nКомиссия "), q, F.lit(",5 %\nРейтинг 4,"), n, F.lit(", "), F.col("l_partkey"), F.lit(" отзывов"))
-    terms = T.lease_terms(F.when(F.col("l_orderkey") % 2 == 0, english).otherwise(russian))
-    return rows.select("l_orderkey", "l_linenumber", terms.alias("t")).select("l_orderkey", "l_linenumber", "t.*")
+    rows = rows.withColumn("text", F.when(F.col("l_orderkey") % 2 == 0, english).otherwise(russian))
+    return rows.select("l_orderkey", "l_linenumber", T.lease_terms(F.col("text")).alias("t")).select("l_orderkey", "l_linenumber", "t.*")
 
 
 def amenity_lists(spark, sf_dir):
     rows = lines(spark, sf_dir)
     n = F.col("l_linenumber")
     text = F.concat_ws(". ", F.when(n % 2 == 0, "Big swimming pool").otherwise("No pool"), F.when(n % 3 == 0, "shared kitchen").otherwise("Кухня"), F.when(F.col("q") % 2 == 0, "ban công rộng"), F.when(F.col("q") % 5 == 0, "без лифта, Wi-Fi").otherwise("wifi"), F.when(n > 5, "washing machine unavailable"))
-    return rows.select("l_orderkey", "l_linenumber", T.amenities(text).alias("a")).select("l_orderkey", "l_linenumber", *[F.concat_ws(",", f"a.{c}").alias(c) for c in ("present", "absent", "shared")])
+    return rows.withColumn("text", text).select("l_orderkey", "l_linenumber", T.amenities(F.col("text")).alias("a")).select("l_orderkey", "l_linenumber", *[F.concat_ws(",", f"a.{c}").alias(c) for c in ("present", "absent", "shared")])
 
 
 def place_chain(spark, sf_dir):
@@ -222,8 +222,8 @@ def post_verdicts(spark, sf_dir):
         "Market report on apartments", "Apartment in Da Nang, 300$", "Cho thuê mặt bằng 50tr", "Scooter for rent, 5$", "Quiet studio, 2nd floor", "Nice weather", "Villa, transfer to Hanoi, 900 USD",
     )
     text = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("l_orderkey") % 12 + 1).cast("int"))
-    v = T.post_verdict(text, "nha-trang", F.col("l_linenumber") == 7)
-    return rows.withColumn("v", v).groupBy(F.col("v.label").alias("label"), F.col("v.reason").alias("reason"), F.col("v.eligible").alias("eligible")).agg(F.count("*").alias("n"))
+    v = T.post_verdict(F.col("text"), "nha-trang", F.col("l_linenumber") == 7)
+    return rows.withColumn("text", text).withColumn("v", v).groupBy(F.col("v.label").alias("label"), F.col("v.reason").alias("reason"), F.col("v.eligible").alias("eligible")).agg(F.count("*").alias("n"))
 
 
 def page_classes(spark, sf_dir):
@@ -254,7 +254,7 @@ def listing_parse(spark, sf_dir):
     rows = lines(spark, sf_dir)
     q, n = F.col("q"), F.col("l_linenumber")
     text = F.concat(F.lit("Villa for rent, "), q, F.lit(" m2, "), n, F.lit(" bedrooms, 2-3 beds, 1 WC\nRent: "), q, F.lit(" triệu / tháng; deposit 2 months\nLocation: Hue, block "), n, F.lit("\nAvailable from 5 March 2031\nutilities included, water and internet, no pets\nContact: @owner_"), F.col("l_suppkey"))
-    a = rows.withColumn("a", T.parse_listing(text, F.lit("2030-01-01").cast("timestamp")))
+    a = rows.withColumn("text", text).withColumn("a", T.parse_listing(F.col("text"), F.lit("2030-01-01").cast("timestamp")))
     return a.select("l_orderkey", "l_linenumber", "a.kind", F.col("a.location.place").alias("place"), F.col("a.rent.amount").alias("amount"), "a.bedrooms", "a.bathrooms", F.col("a.beds_range.min").alias("beds_min"), F.col("a.beds_range.max").alias("beds_max"), "a.area", F.col("a.lease.deposit_months").alias("deposit_months"), "a.available_from", "a.utilities_included", "a.pets_allowed", F.concat_ws(",", "a.utilities").alias("utilities"), F.concat_ws(",", "a.contacts.telegram").alias("telegram"), F.col("a.language.language").alias("language"))
 
 
