@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import listing_text as T
-from quarry.functions.text import stable_hash
 from quarry.functions.url import canonical_url
 from quarry.operators.entities import PHOTOS
 from quarry.operators.value import convert_to_vnd
@@ -30,7 +29,8 @@ def normalize_offers(rows: DataFrame, rates: DataFrame, collected_at: Column) ->
 
     What a row declares goes before what its text says: the price as a whole, place, kind,
     basis. Contacts are united, text first. A row without an id gets one from its source
-    and a hash of url, text and date, so the same post gets the same one again. Urls are
+    and the SHA-256 of url, text and date, so the same post gets the same one again; equal
+    ids join, so a hash of few bits would join posts of different flats. Urls are
     canonical. price_vnd is null where the currency has no rate; rate_source tells where a
     rate is from. review_reasons holds what is odd about the quote and posts that are no
     offers by their classification. basis_provenance is `declared` or
@@ -51,7 +51,7 @@ def normalize_offers(rows: DataFrame, rates: DataFrame, collected_at: Column) ->
     photos = F.slice(F.array_distinct(F.filter(F.coalesce("photos", none), lambda p: p.isNotNull() & (p != "") & (F.length(p) <= PHOTO_ID))), 1, PHOTOS)
     either = lambda c: F.when(declared, F.col(c)).otherwise(F.col(f"_p.rent.{c}")).alias(c)
     out = read.select(
-        "ordinal", F.coalesce(_said("id"), F.concat(source, F.lit(":"), F.when(_said("id").isNull(), stable_hash(key)))).alias("id"), source.alias("source_id"), _said("source_type").alias("source_type"),
+        "ordinal", F.coalesce(_said("id"), F.concat(source, F.lit(":"), F.when(_said("id").isNull(), F.sha2(key, 256)))).alias("id"), source.alias("source_id"), _said("source_type").alias("source_type"),
         F.coalesce(_said("title"), F.nullif(F.btrim(F.substring_index("_text", "\n", 1), F.lit(" \t\r")), F.lit("")), F.lit(UNTITLED)).alias("title"), F.lit(INTENT).alias("intent"), F.coalesce(_said("kind"), "_p.kind").alias("kind"), F.col("_p.language.language").alias("language"),
         F.coalesce(_said("location"), "_p.location.place").alias("location"), F.when(_said("location").isNotNull(), "declared").otherwise(F.col("_p.location.method")).alias("location_provenance"), url.alias("url"), canonical_url(_said("official_url")).alias("official_url"), _said("search_query").alias("search_query"),
         "posted_at", "updated_at", collected_at.alias("collected_at"), either("amount"), either("currency"), either("period"),

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import records, spans
+from quarry.functions.text import stable_hash
 from quarry.operators import inventory, offers
 from quarry.streaming import messages
 
@@ -151,3 +152,15 @@ def test_offers_of_odd_posts(spark):
     assert (got[0].title, got[0].source_id, got[0].kind, got[0].amount, got[0].price_vnd, got[0].photos) == ("Accommodation", "unknown", "accommodation", None, None, [])
     assert got[1].id == got[2].id != got[0].id and got[1].title == "Flat" and got[1].price_vnd == 5_000_000
     assert (got[3].id, got[3].amount, got[3].currency, got[3].price_vnd, got[3].rate_source) == ("x", 7.0, "EUR", 14, "rate-table")
+
+
+def test_posts_whose_short_hashes_agree_keep_their_own_ids(spark):
+    """The 32-bit hashes of both keys (no url, text, no date) are equal."""
+    kind = "ordinal long, id string, source_id string, source_type string, text string, title string, kind string, location string, url string, official_url string, search_query string, posted_at timestamp_ntz, updated_at timestamp_ntz, amount double, currency string, period string, basis string, contacts struct<phone array<string>, telegram array<string>>, identifiers map<string,string>, photos array<string>"
+    texts = ("Flat ycemyoz", "Flat whranzn")
+    keys = spark.createDataFrame([(f"\n{t}\n",) for t in texts], "key string")
+    assert keys.select(stable_hash(F.col("key"))).distinct().count() == 1
+    rows = spark.createDataFrame([(i, *[None] * 3, t, *[None] * 15) for i, t in enumerate(texts)], kind)
+    rates = spark.createDataFrame([("VND", 1.0)], "currency string, rate double")
+    ids = offers.normalize_offers(rows, rates, F.lit("2026-01-01").cast("timestamp_ntz")).select("id").distinct()
+    assert ids.count() == 2
