@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 
 from quarry.plans import catalogue
@@ -16,3 +18,13 @@ def test_entry_has_rows(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_overlay_takes_the_first_of_equally_young_pages(spark, tmp_path):
+    """As DuckDB does with the rows of one file."""
+    seen = datetime.datetime(1997, 12, 30)
+    lines = [(o, p + o, 1, seen) for o in range(40) for p in (0, 1, 2, 3)]
+    tables = {"lineitem": (lines, "l_orderkey long, l_partkey long, l_linenumber int, l_shipdate timestamp_ntz"), "orders": ([(o, "F") for o in range(40)], "o_orderkey long, o_orderstatus string")}
+    for name, (rows, kind) in tables.items():
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    same(spark, catalogue.queries()["detail_overlay"], SQL["detail_overlay"], str(tmp_path))
