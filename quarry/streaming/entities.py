@@ -8,6 +8,8 @@ that is repeated writes its partition again.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,16 @@ def _last(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("_place", place).where("_place = 1").drop("_place")
 
 
+def _last_changes(changes: DataFrame, order: list[str]) -> DataFrame:
+    """The last change of each offer. Only names and order are sorted; whole rows are read
+    again for those that stay, however many changes an offer has."""
+    last = changes.groupBy(*NAME).agg(F.max(F.struct(*order)).alias("_order"))
+    last = stored(last.select(*[F.col(c).alias(f"_{c}") for c in NAME], "_order"), "last")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in NAME] + [F.col(c).eqNullSafe(F.col(f"_order.{c}")) for c in order]
+    # changes of one name may agree in their order
+    return _last(changes.join(last, reduce(lambda a, b: a & b, same), "left_semi"), NAME, order)
+
+
 def _written(spark: SparkSession, target: str, part: str, before: int) -> DataFrame | None:
     """The partitions of earlier batches, if there are any."""
     if before <= 0:
@@ -73,7 +85,8 @@ def apply_offer_changes(changes: DataFrame, number: int, target: str, order: lis
     others asunder. The result is that of all offers at once, however they were batched.
     """
     spark = changes.sparkSession
-    fresh = stored(_last(with_identity(changes.drop("batch")), NAME, order), "changes")
+    # keys are worked out for the changes that count only
+    fresh = stored(with_identity(_last_changes(changes.drop("batch"), order)), "changes")
     written = _written(spark, target, "offers", number)
     if written is None:
         changed, before = fresh, fresh.limit(0).withColumn("entity", F.lit(None).cast("long"))

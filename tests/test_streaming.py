@@ -1,6 +1,8 @@
 import pandas as pd
 
-from quarry.streaming import messages
+from quarry.plans import entities as plans
+from quarry.streaming import entities, messages
+from tests.oracle import DATA, same
 
 
 def test_changes_apply_in_batches(spark, tmp_path):
@@ -31,3 +33,18 @@ def test_rate_limit_opens_a_window_with_the_first_event(spark, tmp_path):
 def test_old_messages_and_deletions_go(spark):
     df = spark.createDataFrame([(1, "new", "2024-01-01"), (1, "edit", "2024-01-05"), (2, "new", "2024-01-05"), (2, "delete", "2024-01-06"), (3, "new", "2023-01-01")], "id long, type string, at string").selectExpr("id", "type", "cast(at as timestamp_ntz) at")
     assert [r.id for r in messages.current_messages(df, ["id"], ["at"], "2023-12-01").collect()] == [1]
+
+
+def test_keys_are_worked_out_for_last_changes_only(spark, monkeypatch):
+    """However many changes an offer has; files of the stream hold few rows each."""
+    seen, keys = [], entities.with_identity
+
+    def counted(rows):
+        seen.append(rows.count())
+        return keys(rows)
+
+    monkeypatch.setattr(entities, "with_identity", counted)
+    monkeypatch.setattr(plans, "FILE_ROWS", 100)
+    same(spark, plans.retracted_entities, plans.SQL["retracted_entities"])
+    offers = plans.offer_changes(spark, DATA).select("source_id", "id").distinct().count()
+    assert len(seen) == 2 and offers <= sum(seen) < 1000
