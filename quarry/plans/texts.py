@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions import listing_text as T
 from quarry.functions import text as X
 from quarry.functions import url as U
-from quarry.sources.listing import spread, table
+from quarry.sources.listing import each_once, spread, table
 
 
 def lines(spark, sf_dir):
@@ -222,8 +222,8 @@ def post_verdicts(spark, sf_dir):
         "Market report on apartments", "Apartment in Da Nang, 300$", "Cho thuê mặt bằng 50tr", "Scooter for rent, 5$", "Quiet studio, 2nd floor", "Nice weather", "Villa, transfer to Hanoi, 900 USD",
     )
     text = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("l_orderkey") % 12 + 1).cast("int"))
-    v = T.post_verdict(F.col("text"), "nha-trang", F.col("l_linenumber") == 7)
-    return rows.withColumn("text", text).withColumn("v", v).groupBy(F.col("v.label").alias("label"), F.col("v.reason").alias("reason"), F.col("v.eligible").alias("eligible")).agg(F.count("*").alias("n"))
+    rows = each_once(rows.select(text.alias("text"), (F.col("l_linenumber") == 7).alias("again")), ["text", "again"], "v", T.post_verdict(F.col("text"), "nha-trang", F.col("again")))
+    return rows.groupBy(F.col("v.label").alias("label"), F.col("v.reason").alias("reason"), F.col("v.eligible").alias("eligible")).agg(F.count("*").alias("n"))
 
 
 def page_classes(spark, sf_dir):

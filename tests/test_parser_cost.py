@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 from quarry.functions import listing_text as T
 from quarry.functions import pricing as P
 from quarry.functions import vocabulary as V
+from quarry.plans import texts
+from quarry.sources.listing import each_once
+from tests.oracle import DATA
 
 
 def test_words_share_one_look_behind():
@@ -39,3 +42,34 @@ def test_plain_search_misses_no_match(spark):
 
 def test_vietnamese_letters_are_ranges():
     assert len(T.LANGUAGE_SCRIPTS["vi"]) < len(T.VIETNAMESE) and T.LANGUAGE_SCRIPTS["vi"].count("Ạ-ỹ") == 1
+
+
+def test_repeated_keys_are_worked_out_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        calls.add(1)
+        return text and text.upper()
+
+    rows = spark.createDataFrame([(i, ("a", "b", None)[i % 3]) for i in range(90)], "i int, text string")
+    got = {(r.i, r.v) for r in each_once(rows, ["text"], "v", told("text")).collect()}
+    assert got == {(i, ("A", "B", None)[i % 3]) for i in range(90)} and calls.value == 3
+    rows = spark.createDataFrame([(str(i),) for i in range(90)], "text string")
+    assert [r for r in each_once(rows, ["text"], "v", told("text")).collect() if r.v != r.text] == [] and calls.value == 93
+
+
+def _counted(spark, calls, kind, value):
+    @F.udf(kind)
+    def told(text):
+        calls.add(1)
+        return value
+
+    return told
+
+
+def test_equal_posts_are_judged_once(spark, monkeypatch):
+    calls = spark.sparkContext.accumulator(0)
+    told = _counted(spark, calls, "label string, reason string, eligible boolean", ("offer", "x", True))
+    monkeypatch.setattr(T, "post_verdict", lambda text, *more: told(text))
+    assert [r.n for r in texts.post_verdicts(spark, DATA).collect()] == [6000] and calls.value <= 24
