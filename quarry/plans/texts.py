@@ -34,7 +34,8 @@ def attributes_roundtrip(spark, sf_dir):
     n = F.col("q") % 9 + 1
     text = F.concat_ws("\n", F.concat(F.lit("House with "), n, F.lit("-bedroom wing")), F.concat(F.lit("bathrooms: "), F.col("l_linenumber")), F.concat(F.lit("area "), F.col("q"), F.lit(",5 m²")), F.concat(F.lit("Floor: "), F.col("q") % 30 + 1), F.concat(F.lit("minimum stay "), F.col("l_linenumber"), F.when(n > 5, " years").otherwise(" months")), F.when(n > 6, "no pets please").when(n > 3, "pets allowed"), F.when(n > 4, "fully furnished").otherwise("unfurnished"), F.when(n > 8, "SOLD OUT!").when(n > 2, "available now"))
     t = F.col("text")
-    return rows.withColumn("text", text).select("l_orderkey", "l_linenumber", T.bedrooms(t).alias("bedrooms"), T.count_of(t, T.BATHROOM).alias("bathrooms"), T.area(t).alias("area"), T.floor(t).alias("floor"), T.stay_months(t).alias("stay"), T.pets_allowed(t).alias("pets"), T.furnished(t).alias("furnished"), T.availability(t).alias("availability"))
+    said = F.struct(T.bedrooms(t).alias("bedrooms"), T.count_of(t, T.BATHROOM).alias("bathrooms"), T.area(t).alias("area"), T.floor(t).alias("floor"), T.stay_months(t).alias("stay"), T.pets_allowed(t).alias("pets"), T.furnished(t).alias("furnished"), T.availability(t).alias("availability"))
+    return each_once(rows.select("l_orderkey", "l_linenumber", text.alias("text")), ["text"], "said", said).select("l_orderkey", "l_linenumber", "said.*")
 
 
 def availability_date(spark, sf_dir):

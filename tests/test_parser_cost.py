@@ -73,3 +73,10 @@ def test_equal_posts_are_judged_once(spark, monkeypatch):
     told = _counted(spark, calls, "label string, reason string, eligible boolean", ("offer", "x", True))
     monkeypatch.setattr(T, "post_verdict", lambda text, *more: told(text))
     assert [r.n for r in texts.post_verdicts(spark, DATA).collect()] == [6000] and calls.value <= 24
+
+
+def test_equal_texts_give_their_attributes_once(spark, monkeypatch):
+    calls = spark.sparkContext.accumulator(0)
+    told = _counted(spark, calls, "int", 1)
+    monkeypatch.setattr(T, "bedrooms", lambda text: told(text))
+    assert {r.bedrooms for r in texts.attributes_roundtrip(spark, DATA).collect()} == {1} and calls.value <= 350
