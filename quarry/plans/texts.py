@@ -197,7 +197,7 @@ def amenity_lists(spark, sf_dir):
     rows = lines(spark, sf_dir)
     n = F.col("l_linenumber")
     text = F.concat_ws(". ", F.when(n % 2 == 0, "Big swimming pool").otherwise("No pool"), F.when(n % 3 == 0, "shared kitchen").otherwise("Кухня"), F.when(F.col("q") % 2 == 0, "ban công rộng"), F.when(F.col("q") % 5 == 0, "без лифта, Wi-Fi").otherwise("wifi"), F.when(n > 5, "washing machine unavailable"))
-    return rows.withColumn("text", text).select("l_orderkey", "l_linenumber", T.amenities(F.col("text")).alias("a")).select("l_orderkey", "l_linenumber", *[F.concat_ws(",", f"a.{c}").alias(c) for c in ("present", "absent", "shared")])
+    return each_once(rows.select("l_orderkey", "l_linenumber", text.alias("text")), ["text"], "a", T.amenities(F.col("text"))).select("l_orderkey", "l_linenumber", *[F.concat_ws(",", f"a.{c}").alias(c) for c in ("present", "absent", "shared")])
 
 
 def place_chain(spark, sf_dir):

@@ -80,3 +80,10 @@ def test_equal_texts_give_their_attributes_once(spark, monkeypatch):
     told = _counted(spark, calls, "int", 1)
     monkeypatch.setattr(T, "bedrooms", lambda text: told(text))
     assert {r.bedrooms for r in texts.attributes_roundtrip(spark, DATA).collect()} == {1} and calls.value <= 350
+
+
+def test_equal_texts_give_their_amenities_once(spark, monkeypatch):
+    calls = spark.sparkContext.accumulator(0)
+    told = _counted(spark, calls, "present array<string>, absent array<string>, shared array<string>", (["pool"], [], []))
+    monkeypatch.setattr(T, "amenities", lambda text: told(text))
+    assert {r.present for r in texts.amenity_lists(spark, DATA).collect()} == {"pool"} and calls.value <= 350
