@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import listing_text as T
 from quarry.operators import filters, value
 from quarry.plans.searches import AVAILABLE
-from quarry.sources.listing import LISTING_SQL, fx, listings, table
+from quarry.sources.listing import LISTING_SQL, fx, listings, side_by_side, table
 
 NOW = "1998-01-01 00:00:00"
 
@@ -52,6 +52,7 @@ def result_scores(spark, sf_dir):
     """A score of each result by its place in the list it came from, the first of a name
     counting; lists are numbered without gaps."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    rows = side_by_side(rows, "l_orderkey")
     lists = Window.partitionBy("l_orderkey")
     placed = rows.withColumn("place", F.row_number().over(lists.orderBy("l_linenumber", "l_suppkey"))).withColumn("n", F.count("*").over(lists))
     return placed.groupBy("l_orderkey", "l_suppkey").agg((F.max("n") - F.min("place") + 1).alias("score"))

@@ -12,6 +12,9 @@ from quarry.operators.graph import stored
 #: Dong for one unit of a currency; the rouble has no rate on purpose.
 RATES = {"VND": 1.0, "USD": 25000.0, "EUR": 27000.0, "GBP": 31000.0}
 
+#: Rows of a partition that is sorted, about.
+PART_ROWS = 1_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,6 +27,13 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
 
 
+def side_by_side(rows: DataFrame, *keys: str) -> DataFrame:
+    """For windows and sorts by keys: rows of equal keys in one partition, of about
+    PART_ROWS rows however large the table is, so that no task sorts more."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(parts, -(-rows.count() // PART_ROWS)), *keys)
+
+
 def each_once(rows: DataFrame, keys: list[str], name: str, value: Column) -> DataFrame:
     """rows with value, a costly expression of keys alone, as column name. Where rows repeat
     their keys four times or more (posts that appear again and again) it is worked out once

@@ -3,7 +3,8 @@ import datetime
 import pytest
 
 from quarry.plans import catalogue
-from tests.oracle import same
+from quarry.sources import listing
+from tests.oracle import DATA, same
 
 SQL = catalogue.oracle_sql()
 
@@ -28,3 +29,10 @@ def test_overlay_takes_the_first_of_equally_young_pages(spark, tmp_path):
     for name, (rows, kind) in tables.items():
         spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
     same(spark, catalogue.queries()["detail_overlay"], SQL["detail_overlay"], str(tmp_path))
+
+
+def test_lists_are_placed_in_partitions_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(listing, "PART_ROWS", 500)
+    scores = catalogue.queries()["result_scores"](spark, DATA)
+    assert scores.rdd.getNumPartitions() == 12  # of 6000 rows
+    same(spark, catalogue.queries()["result_scores"], SQL["result_scores"])
