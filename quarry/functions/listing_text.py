@@ -269,7 +269,10 @@ def language(text: Column) -> Column:
     """Struct of language and confidence: words and script of each, ties by name."""
     def score(name):
         words = F.regexp_count(text, F.lit("(?iu)" + V.any_of(V.LANGUAGES[name])))
-        return (words + (F.when(text.rlike(LANGUAGE_SCRIPTS[name]), 2).otherwise(0) if name in LANGUAGE_SCRIPTS else F.lit(0))).alias(name)
+        if name in LANGUAGE_SCRIPTS:
+            # each of its words has a letter of the script
+            words = F.when(text.rlike(LANGUAGE_SCRIPTS[name]), words + 2).when(text.isNotNull(), 0)
+        return words.alias(name)
 
     def best_of(scores: Column) -> Column:
         best = F.greatest(*[scores[n] for n in V.LANGUAGES])

@@ -68,7 +68,7 @@ def language_detect(spark, sf_dir):
 
 
 def document_language(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", T.language(F.col("text"))["language"].alias("language"))
 
 

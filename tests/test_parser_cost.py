@@ -1,5 +1,7 @@
 """What parsers do once, and that it changes no result."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from quarry.functions import listing_text as T
@@ -87,3 +89,17 @@ def test_equal_texts_give_their_amenities_once(spark, monkeypatch):
     told = _counted(spark, calls, "present array<string>, absent array<string>, shared array<string>", (["pool"], [], []))
     monkeypatch.setattr(T, "amenities", lambda text: told(text))
     assert {r.present for r in texts.amenity_lists(spark, DATA).collect()} == {"pool"} and calls.value <= 350
+
+
+def test_documents_of_one_file_are_dealt_to_all_cores(spark):
+    assert texts.document_language(spark, DATA).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_words_of_a_language_have_letters_of_its_script():
+    for name, script in T.LANGUAGE_SCRIPTS.items():
+        assert all(re.search(script, word) for word in V.LANGUAGES[name])
+
+
+def test_null_has_no_language(spark):
+    rows = spark.createDataFrame([(None,), ("",), ("Nhà, giá",), ("Аренда house price",)], "text string")
+    assert [r[0] for r in rows.select(T.language(F.col("text"))["language"]).collect()] == [None, "unknown", "vi", "ru"]
