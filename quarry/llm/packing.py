@@ -14,6 +14,9 @@ from quarry.llm.common import small_batches, staged
 from quarry.llm.tokens import tokenizer
 
 K1, B = 1.2, 0.75
+#: Documents of a partition from which its borders are taken, about.
+SAMPLED = 100
+TOLD = "id {kind}, ids binary, rank long, part int"
 PIECE = "doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -39,7 +42,8 @@ def pack_documents(
 
     Documents are dealt by their two most telling tokens, of the highest BM25 weights, and
     then by their ids, so that related ones are neighbours in a partition and equal ones
-    stand together; where all that is equal, rows are spread. They are taken in shards of
+    stand together; where all that is equal, rows are spread over the partitions that
+    begin or end there. They are taken in shards of
     shard_docs documents or shard_tokens ids; a seed finds neighbours in its own shard. Each shard has an inverted index with BM25 weights;
     document frequencies come from all documents, one number for each of the tokenizer's
     ids. A seed document opens a window and its unused neighbours fill it in the order
@@ -65,11 +69,14 @@ def pack_documents(
     dealing = spark.sparkContext.broadcast(weight.copy())
     weight[df > common_share * max(total, 8)] = 0
     shared = spark.sparkContext.broadcast(weight)
-    told = tokens.mapInArrow(_told(dealing), f"id {kind}, ids binary, term int, second int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["term", "second", "equal", "spread"]
-    told = told.withColumn("equal", F.xxhash64("ids")).withColumn("spread", F.xxhash64(F.monotonically_increasing_id()))
-    dealt = told.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop(*order)
+    keyed = tokens.select("id", "ids", F.xxhash64("ids").alias("equal"))
+    # only borders of partitions come from a sample, all documents are dealt
+    some = keyed.sample(min(1.0, SAMPLED * parts / max(total, 1)), seed=1).mapInArrow(_told(dealing, []), TOLD.format(kind=kind)).select("rank")
+    ranks = np.sort(np.array([row["rank"] for row in some.collect()], np.int64))  # SAMPLED a partition
+    borders = ranks[np.arange(1, parts) * len(ranks) // parts] if len(ranks) else ranks
+    told = keyed.mapInArrow(_told(dealing, borders), TOLD.format(kind=kind))
+    dealt = told.repartitionById(parts, "part").sortWithinPartitions("rank").drop("part", "rank")
     return dealt.mapInArrow(_packed(shared, length, window, shard_docs, shard_tokens), PIECE.format(kind=kind)).withColumnRenamed("doc_id", id_col)
 
 
@@ -99,9 +106,13 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(token.astype(np.int32)), pa.array(n[token])], ["token", "n"])
 
 
-def _told(shared):
+def _told(shared, borders):
+    """Adds each document's rank (its two most telling tokens, then its ids' hash) and the
+    partition between whose borders that lies; several with the same border share its rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = shared.value
+        chance = np.random.default_rng(TaskContext.get().partitionId())
         for batch in batches:
             terms = []
             for ids in _ids(batch["ids"]):
@@ -109,9 +120,11 @@ def _told(shared):
                 score = weight[here] * n / (n + K1)
                 first = int(np.argmax(score))
                 score[first] = -1
-                terms.append((int(here[first]), int(here[np.argmax(score)])))
-            first, second = zip(*terms, strict=True) if terms else ((), ())
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["ids"], pa.array(first, pa.int32()), pa.array(second, pa.int32())], ["id", "ids", "term", "second"])
+                terms.append((int(here[first]) << 16) + int(here[np.argmax(score)]))
+            rank = (np.array(terms, np.int64) << 31) + (batch["equal"].to_numpy().view(np.uint64) >> np.uint64(33)).astype(np.int64)
+            low, high = np.searchsorted(borders, rank, "left"), np.searchsorted(borders, rank, "right")
+            part = chance.integers(low, high, endpoint=True)
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["ids"], pa.array(rank), pa.array(part.astype(np.int32))], ["id", "ids", "rank", "part"])
 
     return run
 

@@ -625,3 +625,19 @@ def test_parity_sketches_differ_in_no_more_bits_than_sets_in_tokens():
         apart = len(np.setxor1d(left, right))
         assert differ <= apart
         assert apart or differ == 0
+
+
+def test_packing_takes_only_borders_from_a_sample(spark, monkeypatch):
+    """Documents are not told twice, and equal ones are dealt to several partitions."""
+    monkeypatch.setattr(packing, "SAMPLED", 10)
+    texts = ["the same words again and again"] * 300 + [f"word{i} of text {i % 7}" for i in range(100)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = packing.pack_documents(docs, queries.tokenizer_path(), window=64)
+    assert "rangepartitioning" not in out._jdf.queryExecution().toString().lower()
+    rows = out.collect()
+    held = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == held.get(r.doc_id, 0) and len(r.ids) == 4 * r.length
+        held[r.doc_id] = r.start + r.length
+    assert sorted(held) == list(range(len(texts))) and all(held[r.doc_id] == r.doc_tokens for r in rows)
+    assert len({r.sequence_id >> 40 for r in rows if r.doc_id < 300}) > 1
