@@ -1,7 +1,8 @@
 """Typed attributes out of listing texts in English, Russian, Vietnamese and Chinese.
 
 Native expressions over the word tables of vocabulary.py; only rents, whose labels carry
-from clause to clause, go through the Arrow function of pricing.py.
+from clause to clause, and terms of leases, whose many patterns are searched once for each
+form of a text, go through the Arrow functions of pricing.py and lease.py.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarry.functions import vocabulary as V
+from quarry.functions.lease import terms
 from quarry.functions.pricing import rent_quote
 
 #: Vietnamese letters beside the plain ones: each vowel with each tone, and đ.
@@ -24,7 +26,7 @@ BEDROOM, BATHROOM, BED, GUEST, ROOM = (
     V.any_of(words)
     for words in (("bedroom", "bedrooms", "br", "bhk", "pn", "спальн*", "phòng ngủ"), ("bathroom", "bathrooms", "wc", "сануз*", "phòng tắm"), ("bed", "beds", "кроват*", "giường"), ("guest", "guests", "гост*", "khách"), ("room", "rooms", "комнат*", "phòng"))
 )
-MONTHS, YEARS = V.any_of(("month", "months", "месяц*", "tháng")), V.any_of(("year", "years", "год*", "năm"))
+MONTHS, YEARS = V.any_of(V.MONTH), V.any_of(V.YEAR)
 _LABEL = r"[ \t]*[:#-]?[ \t]*"
 
 
@@ -109,23 +111,10 @@ def floor(text: Column) -> Column:
     return _first(text, rf"{words}{_LABEL}(\d{{1,2}})(?![\d-]|[ \t]*[mм][²2])", r"(?<![\d-])(\d{1,2})(?:st|nd|rd|th)?[ \t-]+(?:floor|этаж)(?!\p{L})").try_cast("int")
 
 
-def stay_months(text: Column, words: tuple[str, ...] = ("minimum", "min", "minimum stay", "min stay", "от", "tối thiểu"), low: Column | None = None) -> Column:
+def stay_months(text: Column, words: tuple[str, ...] = V.LEAST) -> Column:
     """Months of the stay that words speak of; a year has twelve."""
     head = rf"{V.any_of(words)}\.?\s*(?:stay\s+)?[:]?\s*"
-    stay = F.coalesce(_first(text, rf"{head}(\d{{1,3}})\s*{MONTHS}").try_cast("int"), _first(text, rf"{head}(\d{{1,2}})\s*{YEARS}").try_cast("int") * 12)
-    return stay if low is None else F.when(may_have(low, words), stay)
-
-
-def months_after(text: Column, words: tuple[str, ...], low: Column) -> Column:
-    return F.when(may_have(low, words), _first(text, rf"{V.any_of(words)}\D{{0,24}}?(\d{{1,3}})\s*{MONTHS}").try_cast("int"))
-
-
-DEPOSIT = ("deposit", "депозит*", "залог*", "đặt cọc", "cọc")
-PREPAID = ("prepay", "prepayment", "paid in advance", "предоплат*", "trả trước")
-CONTRACT = ("contract", "lease term", "контракт*", "договор*", "hợp đồng")
-#: Ways to say: as much as one month's rent.
-A_MONTHS_RENT = ("one month rent", "one month's rent", "a month's rent", "month's payment", "месячн* платеж*", "месячн* оплат*", "месячн* аренд*", "một tháng tiền nhà", "месяц")
-FEES, RATED, REVIEWS = ("agency fee", "commission", "комисси*", "phí môi giới"), ("rating", "rated", "рейтинг", "đánh giá"), ("review", "reviews", "отзыв*", "đánh giá")
+    return F.coalesce(_first(text, rf"{head}(\d{{1,3}})\s*{MONTHS}").try_cast("int"), _first(text, rf"{head}(\d{{1,2}})\s*{YEARS}").try_cast("int") * 12)
 
 
 def deposit_money(text: Column) -> Column:
@@ -135,30 +124,14 @@ def deposit_money(text: Column) -> Column:
         quote = rent_quote(F.concat(F.lit("rent "), clause))
         return F.when(quote["amount"].isNotNull(), F.struct(quote["amount"].alias("amount"), quote["currency"].alias("currency")))
 
-    behind = F.regexp_extract(text, rf"(?iu){V.any_of(DEPOSIT)}[ \t]*[:–—-]?[ \t]*([$€£₫]?\d[^\n;!?]*?)(?=[.;!?](?:\s|$)|\n|$)", 1)
+    behind = F.regexp_extract(text, rf"(?iu){V.any_of(V.DEPOSIT)}[ \t]*[:–—-]?[ \t]*([$€£₫]?\d[^\n;!?]*?)(?=[.;!?](?:\s|$)|\n|$)", 1)
     return said(F.when((behind != "") & ~behind.rlike(rf"(?iu)^\d{{1,2}}\s*{MONTHS}"), behind))
 
 
 def lease_terms(text: Column) -> Column:
     """Struct of months (least, most, deposit, prepayment), agency fee, rating, reviews. The
     term of a contract is its least stay; a deposit of a month's rent is one month."""
-    return let(folded(text), lambda low: _lease_terms(text, low))
-
-
-def _lease_terms(text: Column, low: Column) -> Column:
-    behind = lambda words, number, tail="": F.when(may_have(low, words), _first(text, rf"{V.any_of(words)}{_LABEL}({number}){tail}"))
-    share = r"\d{1,3}(?:[.,]\d{1,2})?"
-    a_month = may_have(low, DEPOSIT) & text.rlike(rf"(?iu){V.any_of(DEPOSIT)}[^.;\n\d]{{0,24}}{V.any_of(A_MONTHS_RENT)}")
-    contract = F.coalesce(behind(CONTRACT, r"\d{1,3}", rf"\s*{MONTHS}").try_cast("int"), behind(CONTRACT, r"\d{1,2}", rf"\s*{YEARS}").try_cast("int") * 12)
-    return F.struct(
-        F.coalesce(stay_months(text, low=low), contract).alias("minimum_months"),
-        stay_months(text, ("maximum", "max", "maximum stay", "не более", "tối đa"), low).alias("maximum_months"),
-        F.coalesce(months_after(text, DEPOSIT, low), F.when(a_month, 1)).alias("deposit_months"),
-        months_after(text, PREPAID, low).alias("prepayment_months"),
-        decimal(behind(FEES, share, r"\s*%")).alias("agency_fee_percent"),
-        decimal(behind(RATED, r"\d(?:[.,]\d{1,2})?")).alias("rating"),
-        F.when(may_have(low, REVIEWS), _first(text, rf"(?<![\d.,])(\d{{1,7}})\s*{V.any_of(REVIEWS)}")).try_cast("int").alias("reviews"),
-    )
+    return terms(text)
 
 
 def yes_no(text: Column, yes: str, no: str) -> Column:

@@ -73,6 +73,15 @@ UTILITIES = {
     "electricity": ("electricity", "электрич*", "điện"),
     "water": ("water", "вод[ауы]", "nước"),
 }
+MONTH, YEAR = ("month", "months", "месяц*", "tháng"), ("year", "years", "год*", "năm")
+LEAST = ("minimum", "min", "minimum stay", "min stay", "от", "tối thiểu")
+MOST = ("maximum", "max", "maximum stay", "не более", "tối đa")
+DEPOSIT = ("deposit", "депозит*", "залог*", "đặt cọc", "cọc")
+PREPAID = ("prepay", "prepayment", "paid in advance", "предоплат*", "trả trước")
+CONTRACT = ("contract", "lease term", "контракт*", "договор*", "hợp đồng")
+#: Ways to say: as much as one month's rent.
+A_MONTHS_RENT = ("one month rent", "one month's rent", "a month's rent", "month's payment", "месячн* платеж*", "месячн* оплат*", "месячн* аренд*", "một tháng tiền nhà", "месяц")
+AGENCY, RATED, REVIEWS = ("agency fee", "commission", "комисси*", "phí môi giới"), ("rating", "rated", "рейтинг", "đánh giá"), ("review", "reviews", "отзыв*", "đánh giá")
 GONE = (
     "sold out", "already rented", "already taken", "already booked", "now rented", "now taken", "now booked", "rented out", "no longer available",
     "сдан", "сдана", "сдано", "сданы", "hết phòng", "đã thuê", "đã cho thuê",

@@ -2,8 +2,10 @@
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quarry.functions import lease
 from quarry.functions import listing_text as T
 from quarry.functions import pricing as P
 from quarry.functions import vocabulary as V
@@ -103,3 +105,18 @@ def test_words_of_a_language_have_letters_of_its_script():
 def test_null_has_no_language(spark):
     rows = spark.createDataFrame([(None,), ("",), ("Nhà, giá",), ("Аренда house price",)], "text string")
     assert [r[0] for r in rows.select(T.language(F.col("text"))["language"]).collect()] == [None, "unknown", "vi", "ru"]
+
+
+def test_leases_that_differ_in_numbers_are_searched_once(monkeypatch):
+    find, forms = lease._find, []
+    monkeypatch.setattr(lease, "_places", lambda form: forms.append(form) or find(form))
+    said = [None, *[f"Мин.: min stay {n} months; комиссия {n},5 %; rating 4.{n} ({n}07 reviews)" for n in range(1, 10)]]
+    got = lease.terms_of(pa.array(said)[1:]).to_pylist()
+    assert [tuple(r.values()) for r in got] == [(n, None, None, None, n + 0.5, 4 + n / 10, n * 100 + 7) for n in range(1, 10)]
+    assert len(forms) == 1
+
+
+def test_lease_terms_are_one_step_of_a_plan(spark):
+    """Each text goes through its Arrow function once, however many terms are read."""
+    plan = texts.lease_roundtrip(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and len(re.findall(r"terms\(", plan.split("ArrowEvalPython")[1].split("\n")[0])) == 1
