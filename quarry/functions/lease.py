@@ -6,6 +6,8 @@ form of a text (see pricing.by_form), and read there from the bytes of a whole b
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 from typing import NamedTuple
 
@@ -92,22 +94,34 @@ RULES = (
     [Rule(V.pieces(V.REVIEWS), re.compile(rf"(?<![\d.,])(\d{{1,7}})\s*{_any(V.REVIEWS)}"))],
 )
 
+EVERY = [rule for rules in RULES for rule in rules]
+#: The rules of each field with their bits.
+NUMBERED = [[(rule, 1 << EVERY.index(rule)) for rule in rules] for rules in RULES]
+
+
+@by_form
+def _line(form: bytes) -> tuple[str, int]:
+    """A line as patterns compare it, and a bit for each rule that it has a piece of."""
+    # bytes that are no UTF-8 stay as many as they are
+    low = form.decode("utf-8", "surrogateescape").translate(LETTERS)
+    return low, sum(1 << i for i, rule in enumerate(EVERY) if any(p in low for p in rule.pieces))
+
 
 def _find(form: bytes) -> tuple[Place, ...]:
     """The place of each field's number in texts of a form."""
-    # bytes that are no UTF-8 stay as many as they are
-    text = form.decode("utf-8", "surrogateescape")
-    low = text.translate(LETTERS)
-    return tuple(_first(text, low, rules) for rules in RULES)
+    lines = [_line(x) for x in form.split(b"\n")]
+    held = functools.reduce(operator.or_, [bits for _, bits in lines])
+    low = "\n".join([line for line, _ in lines]) if held else ""
+    return tuple(_first(form, low, [rule for rule, bit in rules if held & bit]) for rules in NUMBERED)
 
 
-def _first(text: str, low: str, rules: list[Rule]) -> Place:
+def _first(form: bytes, low: str, rules: list[Rule]) -> Place:
     for rule in rules:
-        m = any(p in low for p in rule.pieces) and rule.pattern.search(low)
+        m = rule.pattern.search(low)
         if m and not m.re.groups:
             return Place(plus=rule.times)
         if m:
-            begin = len(text[: m.start(1)].encode("utf-8", "surrogateescape"))
+            begin = len(form.decode("utf-8", "surrogateescape")[: m.start(1)].encode("utf-8", "surrogateescape"))
             return Place(begin, len(m[1]), len(re.sub(r"^\d+\D?", "", m[1])), rule.times)
     return NOWHERE
 

@@ -2,30 +2,26 @@
 
 Native expressions over the word tables of vocabulary.py; only rents, whose labels carry
 from clause to clause, and terms of leases, whose many patterns are searched once for each
-form of a text, go through the Arrow functions of pricing.py and lease.py.
+form of a text, go through the Arrow functions of pricing.py and lease.py. Where seen, the
+clues of a text (see clues.py), is given, patterns are tried only where they can match.
 """
 
 from __future__ import annotations
 
 import functools
-import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarry.functions import vocabulary as V
+from quarry.functions.clues import COORDINATES, EMAIL, FURNISHED, PHONE, PIN, UNFURNISHED, clues, may, named, sure, told
 from quarry.functions.lease import terms
 from quarry.functions.pricing import rent_quote
 
-#: Vietnamese letters beside the plain ones: each vowel with each tone, and đ.
-VIETNAMESE = "".join(sorted({unicodedata.normalize("NFC", v + tone) for v in "aăâeêioôơuưy" for tone in ("", "̀", "́", "̃", "̉", "̣")} - set("aeiouy"))) + "đ"
-LANGUAGE_SCRIPTS = {"ru": "[А-ЯЁа-яё]", "vi": V.letters_of(VIETNAMESE + VIETNAMESE.upper())}
 #: Small letters that share their capital with another, such as the long s.
 SAME_CAPITAL = {c: low for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) == 1 and len(low := c.upper().lower()) == 1 and low != c.lower()}
-BEDROOM, BATHROOM, BED, GUEST, ROOM = (
-    V.any_of(words)
-    for words in (("bedroom", "bedrooms", "br", "bhk", "pn", "спальн*", "phòng ngủ"), ("bathroom", "bathrooms", "wc", "сануз*", "phòng tắm"), ("bed", "beds", "кроват*", "giường"), ("guest", "guests", "гост*", "khách"), ("room", "rooms", "комнат*", "phòng"))
-)
+BEDROOM, BATHROOM, BED, GUEST, ROOM = (V.any_of(words) for words in (V.BEDROOMS, V.BATHROOMS, V.BEDS, V.GUESTS, V.ROOMS))
+LANGUAGE_SCRIPTS, VIETNAMESE = V.LANGUAGE_SCRIPTS, V.VIETNAMESE
 MONTHS, YEARS = V.any_of(V.MONTH), V.any_of(V.YEAR)
 _LABEL = r"[ \t]*[:#-]?[ \t]*"
 
@@ -51,15 +47,17 @@ def may_have(low: Column, words: tuple[str, ...]) -> Column:
     return contains_any(low, V.pieces(words))
 
 
-def has(text: Column, words: tuple[str, ...], low: Column | None = None) -> Column:
-    """low: the folded text, where many patterns are tried on one."""
+def has(text: Column, words: tuple[str, ...], low: Column | None = None, seen: Column | None = None) -> Column:
+    """low: the folded text, where many patterns are tried on one; or seen: its clues."""
     found = text.rlike("(?iu)" + V.any_of(words))
+    if seen is not None:
+        return named(seen, words, found)
     return found if low is None else may_have(low, words) & found
 
 
 def _first(text: Column, *patterns: str) -> Column:
     """The first group of the first pattern that matches, else null."""
-    return F.coalesce(*[F.nullif(F.regexp_extract(text, "(?iu)" + p, 1), F.lit("")) for p in patterns])
+    return F.coalesce(*[let(F.regexp_extract(text, "(?iu)" + p, 1), lambda found: F.when(found != "", found)) for p in patterns])
 
 
 def decimal(text: Column) -> Column:
@@ -74,30 +72,35 @@ def count_of(text: Column, label: str, digits: int = 2) -> Column:
     return _first(text, before, rf"{label}{_LABEL}({n})(?!\d|[ \t]*[mм][²2])").try_cast("int")
 
 
-#: Small numbers in words, in front of what they count.
-NUMBER_WORDS = {1: ("one", "одна", "одной", "одну", "một"), 2: ("two", "две", "двух", "двумя", "hai"), 3: ("three", "три", "тремя", "ba"), 4: ("four", "четыре", "четырьмя", "bốn"), 5: ("five", "пять", "пятью", "năm")}
-
-
-def digits_for_words(text: Column, counted: str) -> Column:
+def digits_for_words(text: Column, counted: str, seen: Column | None = None) -> Column:
     """A text with small numbers in words as digits where they stand before what counted
     (a pattern) names."""
-    every = tuple(w for words in NUMBER_WORDS.values() for w in words)
-    out = text
-    for n, words in NUMBER_WORDS.items():
-        out = F.regexp_replace(out, rf"(?iu){V.any_of(words)}(?=[\s-]+{counted})", str(n))
-    return F.when(text.rlike(rf"(?iu){V.any_of(every)}[\s-]+{counted}"), out).otherwise(text)
-
-
-def bedrooms(text: Column) -> Column:
+    said = lambda of, n: F.regexp_replace(of, rf"(?iu){V.any_of(V.NUMBER_WORDS[n])}(?=[\s-]+{counted})", str(n))
+    every = F.when(text.rlike(rf"(?iu){V.any_of(V.NUMBERS)}[\s-]+{counted}"), functools.reduce(said, V.NUMBER_WORDS, text)).otherwise(text)
+    if seen is None:
+        return every
+    # most texts have words of one number at most
+    out = F.when(~may(seen, *V.NUMBER_WORDS.values()), text)
+    for n in V.NUMBER_WORDS:
+        out = out.when(~may(seen, *[words for m, words in V.NUMBER_WORDS.items() if m != n]), said(text, n))
+    return out.otherwise(every)
+
+
+def bedrooms(text: Column, seen: Column | None = None) -> Column:
     """The stated count, in digits or words; a studio has none."""
-    return F.coalesce(count_of(digits_for_words(text, BEDROOM), BEDROOM), F.when(has(text, V.STUDIO), 0))
+    counted = F.when(may(seen, V.BEDROOMS), let(digits_for_words(text, BEDROOM, seen), lambda said: count_of(said, BEDROOM)))
+    return F.coalesce(counted, F.when(may(seen, V.STUDIO) & has(text, V.STUDIO), 0))
 
 
-def beds_range(text: Column) -> Column:
+def beds_range(text: Column, seen: Column | None = None) -> Column:
     """Struct (min, max) of alternatives such as 1-2 beds, else null."""
     pattern = rf"(?iu)(?<!\d)(\d{{1,2}})\s*(?:or|или|hoặc|[-–])\s*(\d{{1,2}})\s*{BED}"
-    a, b = (F.regexp_extract(text, pattern, i).try_cast("int") for i in (1, 2))
-    return F.when(a.isNotNull() & b.isNotNull(), F.struct(F.least(a, b).alias("min"), F.greatest(a, b).alias("max")))
+    def read(found: Column) -> Column:
+        a, b = (F.regexp_extract(found, r"^(\d{1,2})\D+(\d{1,2})", i).try_cast("int") for i in (1, 2))
+        return F.when(found != "", F.struct(F.least(a, b).alias("min"), F.greatest(a, b).alias("max")))
+
+    # both numbers are read from the place that was found
+    return let(F.when(may(seen, V.BEDS), F.regexp_extract(text, pattern, 0)), read)
 
 
 def area(text: Column) -> Column:
@@ -107,7 +110,7 @@ def area(text: Column) -> Column:
 
 def floor(text: Column) -> Column:
     """The listing's floor; ranges and areas are none."""
-    words = V.any_of(("floor", "этаж", "tầng", "lầu"))
+    words = V.any_of(V.FLOOR_LABELS)
     return _first(text, rf"{words}{_LABEL}(\d{{1,2}})(?![\d-]|[ \t]*[mм][²2])", r"(?<![\d-])(\d{1,2})(?:st|nd|rd|th)?[ \t-]+(?:floor|этаж)(?!\p{L})").try_cast("int")
 
 
@@ -117,7 +120,7 @@ def stay_months(text: Column, words: tuple[str, ...] = V.LEAST) -> Column:
     return F.coalesce(_first(text, rf"{head}(\d{{1,3}})\s*{MONTHS}").try_cast("int"), _first(text, rf"{head}(\d{{1,2}})\s*{YEARS}").try_cast("int") * 12)
 
 
-def deposit_money(text: Column) -> Column:
+def deposit_money(text: Column, seen: Column | None = None) -> Column:
     """Struct (amount, currency) of a deposit that is stated as money, else null."""
     def said(clause: Column) -> Column:
         # the price parser knows amounts; a rent label stands in for that of the deposit
@@ -125,7 +128,8 @@ def deposit_money(text: Column) -> Column:
         return F.when(quote["amount"].isNotNull(), F.struct(quote["amount"].alias("amount"), quote["currency"].alias("currency")))
 
     behind = F.regexp_extract(text, rf"(?iu){V.any_of(V.DEPOSIT)}[ \t]*[:–—-]?[ \t]*([$€£₫]?\d[^\n;!?]*?)(?=[.;!?](?:\s|$)|\n|$)", 1)
-    return said(F.when((behind != "") & ~behind.rlike(rf"(?iu)^\d{{1,2}}\s*{MONTHS}"), behind))
+    behind = F.when(may(seen, V.DEPOSIT), behind)
+    return said(let(behind, lambda clause: F.when((clause != "") & ~clause.rlike(rf"(?iu)^\d{{1,2}}\s*{MONTHS}"), clause)))
 
 
 def lease_terms(text: Column) -> Column:
@@ -134,80 +138,61 @@ def lease_terms(text: Column) -> Column:
     return terms(text)
 
 
-def yes_no(text: Column, yes: str, no: str) -> Column:
-    """The negative wins; null if the text says neither."""
-    return F.when(text.rlike(no), False).when(text.rlike(yes), True)
-
-
-#: One or two words that may stand between the words of a phrase.
-_GAP = r"\s+(?:[\p{L}-]+\s+){0,2}"
-
-
-def phrases(*parts: tuple[tuple[str, ...], ...]) -> str:
-    """A pattern of any of several phrases, whose parts may have other words between them."""
-    return "(?iu)(?:" + "|".join(_GAP.join(V.any_of(words) for words in phrase) for phrase in parts) + ")"
-
+def pets_allowed(text: Column, seen: Column | None = None) -> Column:
+    yes, no = (text.rlike("(?iu)" + V.phrases(parts)) for parts in (V.PETS_KEPT, V.PETS_BANNED))
+    said = F.when(told(seen, V.PETS_BANNED, no), False).when(told(seen, V.PETS_KEPT, yes), True)
+    return F.when(may(seen, V.PETS), said)
 
-PETS = ("pet", "pets", "cat*", "dog*", "animal*", "животн*", "питом*", "собак*", "кошк*", "thú cưng")
 
+def furnished(text: Column, seen: Column | None = None) -> Column:
+    return F.when(has(text, UNFURNISHED, seen=seen), False).when(has(text, FURNISHED, seen=seen), True)
 
-def pets_allowed(text: Column) -> Column:
-    yes = phrases((PETS, ("allowed", "welcome", "ok", "accepted", "разреш*")), (("можно с", "можно со", "разреш*", "allow*", "welcome", "cho phép", "được nuôi"), PETS))
-    no = phrases((("no", "without", "без", "нельзя с", "не", "không"), PETS), (PETS, ("not allowed", "not accepted", "forbidden", "запрещ*", "нельзя")), (PETS, ("not",), ("allowed", "welcome")))
-    return yes_no(text, yes, no)
 
-
-def furnished(text: Column) -> Column:
-    yes, no = ("furnished", "с мебел*", "đầy đủ nội thất", "full nội thất"), ("unfurnished", "not furnished", "без мебел*", "không nội thất")
-    return yes_no(text, "(?iu)" + V.any_of(yes), "(?iu)" + V.any_of(no))
-
-
-UTILITY_WORDS = ("utilities", "bills", "utility bills", "electric*", "water", "коммунал*", "электрич*", "điện nước", "điện")
-APART = ("not included", "excluded", "extra", "separately", "by meter", "metered", "отдельно", "не включены", "не входят", "по счётчик*", "по счетчик*", "chưa bao gồm", "không bao gồm", "riêng")
-
-
-def utilities_included(text: Column) -> Column:
+def utilities_included(text: Column, seen: Column | None = None) -> Column:
     """False where they are paid apart or by meter, within one sentence."""
-    near = lambda a, b: rf"{V.any_of(a)}[^.;\n]{{0,40}}{V.any_of(b)}"
-    yes = f"(?iu)(?:{near(UTILITY_WORDS, ('included', 'включены', 'входят', 'miễn phí'))}|{near(('including', 'includes', 'включая', 'bao gồm', 'bao'), UTILITY_WORDS)})"
-    no = f"(?iu)(?:{near(UTILITY_WORDS, APART)}|{near(('excluding', 'without', 'plus', 'chưa bao gồm', 'không bao gồm'), UTILITY_WORDS)})"
-    return yes_no(text, yes, no)
+    yes, no = (text.rlike("(?iu)" + V.near(pairs)) for pairs in (V.UTILITIES_IN, V.UTILITIES_OUT))
+    said = F.when(told(seen, V.UTILITIES_OUT, no), False).when(told(seen, V.UTILITIES_IN, yes), True)
+    return F.when(may(seen, V.UTILITY_WORDS), said)
 
 
-def availability(text: Column) -> Column:
+def availability(text: Column, seen: Column | None = None) -> Column:
     """A marker of what is gone outranks all others."""
-    return F.when(has(text, V.GONE), "unavailable").when(has(text, V.OPEN), "available")
+    return F.when(has(text, V.GONE, seen=seen), "unavailable").when(has(text, V.OPEN, seen=seen), "available")
 
 
 _ENGLISH_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
-def available_from(text: Column, published: Column) -> Column:
+def available_from(text: Column, published: Column, seen: Column | None = None) -> Column:
     """The one date after an availability word: ISO, day.month[.year] or with an English
     month's name. Two-digit years are of this century. Without a year it is the year of
     publication, or the next one if that lies before publication. Ranges, several dates
     and days that no calendar has give null."""
-    word = rf"(?iu){V.any_of(('available from', 'from', 'свободн* с', 'доступн* с', 'освободится', 'trống từ'))}\s+"
+    word = rf"(?iu){V.any_of(V.FROM)}\s+"
     month_name = r"(?:" + "|".join(_ENGLISH_MONTHS) + r")[a-z]{0,6}"
     shapes = (r"\d{4}-\d{2}-\d{2}", r"\d{1,2}[./]\d{1,2}(?:[./](?:\d{4}|\d{2}))?", rf"\d{{1,2}}(?:st|nd|rd|th)?\s+{month_name}\.?(?:,?\s+\d{{4}})?", rf"{month_name}\.?\s+\d{{1,2}}(?:st|nd|rd|th)?(?:,?\s+\d{{4}})?")
     any_date = rf"(?iu)(?<![\d./-])({'|'.join(shapes)})(?!\d|[./-]\d)"
-    after = F.regexp_extract(text, word + r"([^\n;]{1,60})", 1)
-    dates = F.regexp_extract_all(after, F.lit(any_date), 1)
-    span = F.regexp_replace(after, r"\d{4}-\d{2}-\d{2}", "1.1.").rlike(r"(?iu)\d\s*(?:[-–—]|to|until|till|до|đến)\s*\d{1,2}[./\s]")
-    alone = F.when((F.size(dates) == 1) & ~span, F.lower(F.element_at(dates, 1)))
-    return let(alone, lambda one: _date_of(one, month_name, published))
+    after = F.when(may(seen, V.FROM), F.regexp_extract(text, word + r"([^\n;]{1,60})", 1))
+    ranges = lambda said: F.regexp_replace(said, r"\d{4}-\d{2}-\d{2}", "1.1.").rlike(r"(?iu)\d\s*(?:[-–—]|to|until|till|до|đến)\s*\d{1,2}[./\s]")
+    only = lambda said: let(F.regexp_extract_all(said, F.lit(any_date), 1), lambda dates: F.when((F.size(dates) == 1) & ~ranges(said), F.lower(F.get(dates, F.lit(0)))))
+    alone = let(after, lambda said: F.when(said != "", only(said)))
+    return let(alone, lambda one: F.when(one.isNotNull(), _date_of(one, month_name, published)))
 
 
 def _date_of(one: Column, month_name: str, published: Column) -> Column:
-    number = lambda pattern: F.nullif(F.regexp_extract(one, pattern, 1), F.lit("")).try_cast("int")
-    named = F.nullif(F.array_position(F.lit(list(_ENGLISH_MONTHS)), F.regexp_extract(one, f"({'|'.join(_ENGLISH_MONTHS)})", 1)).cast("int"), F.lit(0))
+    number = lambda pattern: F.regexp_extract(one, pattern, 1).try_cast("int")
+    named = let(F.array_position(F.lit(list(_ENGLISH_MONTHS)), F.regexp_extract(one, f"({'|'.join(_ENGLISH_MONTHS)})", 1)).cast("int"), lambda place: F.when(place > 0, place))
     day = F.coalesce(number(r"^(\d{1,2})(?!\d)"), number(r"^[a-z]+\.?\s+(\d{1,2})"))
     month = F.coalesce(named, number(r"^\d{1,2}[./](\d{1,2})"))
     year = F.coalesce(number(r"(\d{4})$"), number(r"^\d{1,2}[./]\d{1,2}[./](\d{2})$") + 2000)
-    date = lambda y: F.try_to_date(F.format_string("%04d-%02d-%02d", y, month, day), "yyyy-MM-dd")
-    rolled = let(date(F.year(published)), lambda this: F.when(this.isNull() | (this < F.to_date(published)), date(F.year(published) + 1)).otherwise(this))
-    iso = F.try_to_date(F.nullif(F.regexp_extract(one, r"^(\d{4}-\d{2}-\d{2})$", 1), F.lit("")), "yyyy-MM-dd")
-    return F.when(one.rlike(r"^\d{4}-"), iso).otherwise(F.when(day.isNotNull() & month.isNotNull(), F.when(year.isNotNull(), date(year)).otherwise(rolled)))
+
+    def dated(read: Column) -> Column:
+        date = lambda y: F.try_to_date(F.format_string("%04d-%02d-%02d", y, read["month"], read["day"]), "yyyy-MM-dd")
+        rolled = let(date(F.year(published)), lambda this: F.when(this.isNull() | (this < F.to_date(published)), date(F.year(published) + 1)).otherwise(this))
+        return F.when(read["day"].isNotNull() & read["month"].isNotNull(), F.when(read["year"].isNotNull(), date(read["year"])).otherwise(rolled))
+
+    parts = F.struct(day.alias("day"), month.alias("month"), year.alias("year"))
+    return F.when(one.rlike(r"^\d{4}-"), F.try_to_date(F.regexp_extract(one, r"^(\d{4}-\d{2}-\d{2})$", 1), "yyyy-MM-dd")).otherwise(let(parts, dated))
 
 
 def labeled_fields(text: Column) -> Column:
@@ -224,27 +209,29 @@ def labeled_fields(text: Column) -> Column:
     return let(found, by_label)
 
 
-def contacts(text: Column) -> Column:
+def contacts(text: Column, seen: Column | None = None) -> Column:
     """Struct of distinct e-mails in lower case, handles of 5 to 32 characters (with @ or
     as a link to a profile) and phones of 8 digits or more on lines that speak of contact."""
     found = lambda pattern, of=text: F.regexp_extract_all(of, F.lit(pattern), 1)
     none = F.array().cast("array<string>")
-    emails = F.transform(F.when(F.contains(text, F.lit("@")), found(r"(?u)([\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[\p{L}\p{N}-]{1,63}\.){1,5}\p{L}{2,24})")).when(text.isNotNull(), none), F.lower)
+    emails = F.transform(F.when(may(seen, EMAIL) & F.contains(text, F.lit("@")), found(r"(?u)([\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[\p{L}\p{N}-]{1,63}\.){1,5}\p{L}{2,24})")).when(text.isNotNull(), none), F.lower)
     name = r"(\p{Alpha}\w{4,31})(?!\w)"
-    handles = F.concat(found(rf"(?<![\w.\p{{L}}])@{name}"), found(rf"(?i)://(?:www\.)?t(?:elegram)?\.me/(?!joinchat|share/){name}"))
+    where = lambda sign, pattern: F.when(F.contains(text, F.lit(sign)), found(pattern)).when(text.isNotNull(), none)
+    handles = F.concat(where("@", rf"(?<![\w.\p{{L}}])@{name}"), where("://", rf"(?i)://(?:www\.)?t(?:elegram)?\.me/(?!joinchat|share/){name}"))
     lines = F.filter(F.split(text, r"\r?\n"), lambda x: has(x, V.CONTACT_WORDS))
+    lines = F.when(may(seen, V.CONTACT_WORDS) & may(seen, PHONE), lines).when(text.isNotNull(), none)
     numbers = F.flatten(F.transform(lines, lambda x: found(r"(?<![\d+])(\+?\d(?:[ ().-]{0,2}\d){7,15})(?!\d)", x)))
     phones = F.transform(numbers, lambda p: F.concat(F.when(p.startswith("+"), "+").otherwise(""), F.regexp_replace(p, r"\D", "")))
     return F.struct(F.array_distinct(emails).alias("email"), F.array_distinct(handles).alias("telegram"), F.array_distinct(phones).alias("phone"))
 
 
-def language(text: Column) -> Column:
+def language(text: Column, seen: Column | None = None) -> Column:
     """Struct of language and confidence: words and script of each, ties by name."""
     def score(name):
-        words = F.regexp_count(text, F.lit("(?iu)" + V.any_of(V.LANGUAGES[name])))
-        if name in LANGUAGE_SCRIPTS:
+        words = F.regexp_count(text, F.lit("(?iu)" + V.any_of(V.LANGUAGES[name]))) if seen is None else seen[name].cast("int")
+        if name in V.LANGUAGE_SCRIPTS:
             # each of its words has a letter of the script
-            words = F.when(text.rlike(LANGUAGE_SCRIPTS[name]), words + 2).when(text.isNotNull(), 0)
+            words = F.when(text.rlike(V.LANGUAGE_SCRIPTS[name]) if seen is None else sure(seen, name), words + 2).when(text.isNotNull(), 0)
         return words.alias(name)
 
     def best_of(scores: Column) -> Column:
@@ -272,13 +259,13 @@ def quote_basis(text: Column) -> Column:
     return F.when(quote.isNull() | (F.size(bases) == 0), "property").when(F.size(bases) == 1, F.element_at(bases, 1)).otherwise("unknown")
 
 
-def amenities(text: Column) -> Column:
+def amenities(text: Column, seen: Column | None = None) -> Column:
     """Struct of sorted lists: present, absent (a negation stands right before it, or
     absent/unavailable after it) and shared. What is absent somewhere is not present."""
-    return let(folded(text), lambda low: _amenities(text, low))
+    return _amenities(text, seen=seen) if seen is not None else let(folded(text), lambda low: _amenities(text, low))
 
 
-def _amenities(text: Column, low: Column) -> Column:
+def _amenities(text: Column, low: Column | None = None, seen: Column | None = None) -> Column:
     no, shared = V.any_of(V.ABSENT), V.any_of(V.SHARED)
     tests = []
     for name, words in V.AMENITIES.items():
@@ -288,22 +275,23 @@ def _amenities(text: Column, low: Column) -> Column:
         # mentions that are neither negated nor shared
         rest = F.regexp_replace(text, rf"{together}|{no}\s+{word}", " ")
         # the long tests are for texts that name the amenity at all
-        tests.append(F.when(has(text, words, low), F.struct(F.lit(name).alias("name"), (rest.rlike("(?iu)" + word) & ~gone).alias("present"), gone.alias("absent"), text.rlike(together).alias("shared"))))
+        tests.append(F.when(has(text, words, low, seen), F.struct(F.lit(name).alias("name"), (rest.rlike("(?iu)" + word) & ~gone).alias("present"), gone.alias("absent"), text.rlike(together).alias("shared"))))
     names = lambda rows, field: F.array_sort(F.transform(F.filter(rows, lambda r: F.coalesce(r[field], F.lit(False))), lambda r: r["name"]))
     return let(F.array_compact(F.array(*tests)), lambda rows: F.struct(*[names(rows, f).alias(f) for f in ("present", "absent", "shared")]))
 
 
-def utility_charges(text: Column) -> Column:
+def utility_charges(text: Column, seen: Column | None = None) -> Column:
     """Names of the charges that a text speaks of."""
-    return let(folded(text), lambda low: F.array_compact(F.array(*[F.when(has(text, words, low), name) for name, words in V.UTILITIES.items()])))
+    named = lambda low: F.array_compact(F.array(*[F.when(has(text, words, low, seen), name) for name, words in V.UTILITIES.items()]))
+    return named(None) if seen is not None else let(folded(text), named)
 
 
-def coordinates(text: Column) -> Column:
+def coordinates(text: Column, seen: Column | None = None) -> Column:
     """Struct (latitude, longitude) after a label, within the bounds of the globe."""
     head = r"(?iu)(?:gps|coordinates?|координат\p{L}*|tọa\s*độ)[ \t]*[:#-]?[ \t]*"
     pattern = head + r"(-?\d{1,2}(?:[.,]\d{1,8})?)\s*[,;]\s*(-?\d{1,3}(?:[.,]\d{1,8})?)"
     lat, lon = (decimal(F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))) for i in (1, 2))
-    return F.when(lat.between(-90, 90) & lon.between(-180, 180), F.struct(lat.alias("latitude"), lon.alias("longitude")))
+    return F.when(may(seen, COORDINATES) & lat.between(-90, 90) & lon.between(-180, 180), F.struct(lat.alias("latitude"), lon.alias("longitude")))
 
 
 def time_after(text: Column, words: tuple[str, ...]) -> Column:
@@ -311,34 +299,32 @@ def time_after(text: Column, words: tuple[str, ...]) -> Column:
     return _first(text, rf"{V.any_of(words)}{_LABEL}(\d{{1,2}}:\d{{2}})")
 
 
-CODE_LABELS = ("id", "код", "mã")
-
-
-def property_id(text: Column) -> Column:
+def property_id(text: Column, seen: Column | None = None) -> Column:
     """What stands behind a label for codes, or behind a label and one more word: letters,
     digits, - and _, with a digit among them or all in capitals."""
-    label = rf"(?iu:{V.any_of(CODE_LABELS)})(?:[ ]\p{{Ll}}+(?=[ ]*[:#№]))?[ \t]*[:#№-]?[ \t]*"
-    codes = F.regexp_extract_all(text, F.lit(label + r"([\p{L}\p{N}][\p{L}\p{N}_-]*)"), 1)
+    label = rf"(?iu:{V.any_of(V.CODE_LABELS)})(?:[ ]\p{{Ll}}+(?=[ ]*[:#№]))?[ \t]*[:#№-]?[ \t]*"
+    codes = F.when(may(seen, V.CODE_LABELS), F.regexp_extract_all(text, F.lit(label + r"([\p{L}\p{N}][\p{L}\p{N}_-]*)"), 1))
     return F.get(F.filter(codes, lambda c: c.rlike(r"\p{N}") | (c.rlike(r"..") & (c == F.upper(c)))), F.lit(0))
 
 
-def kind_of(text: Column, scope: Column | None = None) -> Column:
+def kind_of(text: Column, scope: Column | None = None, seen: Column | None = None) -> Column:
     """The first of the kinds that a text names, by the order of the table, else the kind of
     all. scope: the part that describes the chosen home, which goes first if it names any;
     there a studio is a kind, too."""
-    def first(of: Column, otherwise: Column) -> Column:
+    def first(names, otherwise: Column) -> Column:
         out = otherwise
         for name, words in reversed(list(V.KINDS.items())):
-            out = F.when(has(of, words), name).otherwise(out)
+            out = F.when(names(words), name).otherwise(out)
         return out
 
-    whole = first(text, F.lit(V.ANY_KIND))
-    return whole if scope is None else F.when(has(scope, V.STUDIO), "studio").otherwise(F.when(scope.isNotNull(), first(scope, whole)).otherwise(whole))
+    whole = first(lambda words: has(text, words, seen=seen), F.lit(V.ANY_KIND))
+    within = lambda words: may(seen, words) & has(scope, words)
+    return whole if scope is None else F.when(scope.isNull(), whole).when(within(V.STUDIO), "studio").otherwise(first(within, whole))
 
 
-def cities_in(text: Column) -> Column:
+def cities_in(text: Column, seen: Column | None = None) -> Column:
     """Slugs of the cities that a text names."""
-    return F.array_compact(F.array(*[F.when(has(text, words) | F.contains(F.lower(text), F.lit(slug)), slug) for slug, words in V.CITIES.items()]))
+    return F.array_compact(F.array(*[F.when(may(seen, (*words, slug)) & (has(text, words) | F.contains(F.lower(text), F.lit(slug))), slug) for slug, words in V.CITIES.items()]))
 
 
 def _elsewhere(text: Column, city: str) -> Column:
@@ -351,7 +337,7 @@ _BULLET = r"^[\s\p{So}]*[-•·▪◦‣–][ \t]*"
 _DISTANCE = r"(?iu)≈|\d\s*(?:(?:min|мин)\p{L}*|phút|km|км|m|м)(?!\p{L})"
 
 
-def location(text: Column) -> Column:
+def location(text: Column, seen: Column | None = None) -> Column:
     """Struct of place and method: a labelled line, the bullets (two at most) under a label
     with nothing behind it, a pinned line, else the one city that is named."""
     label = rf"(?iu)^[^\p{{L}}]*{V.any_of(V.PLACE_LABELS)}[ \t]*:[ \t]*"
@@ -365,7 +351,7 @@ def location(text: Column) -> Column:
         return F.nullif(F.array_join(F.slice(near, 1, 2), ", "), F.lit(""))
 
     def labelled(lines: Column) -> Column:
-        marked = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("at"))), lambda m: m["line"].rlike(label))
+        marked = F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("at"))), lambda m: F.contains(m["line"], F.lit(":")) & m["line"].rlike(label))
         return let(F.transform(marked, lambda m: F.struct(sentence(m["line"]).alias("rest"), m["at"].alias("at"))), lambda rows: placed(lines, rows))
 
     def placed(lines: Column, marked: Column) -> Column:
@@ -375,10 +361,12 @@ def location(text: Column) -> Column:
         return F.struct(F.get(direct, F.lit(0))["rest"].alias("direct"), F.when(bare.isNotNull(), let(F.slice(lines, bare + 2, 8), bullets)).alias("listed"))
 
     # a label may also begin a sentence within a line
-    parts = F.split(F.regexp_replace(text, rf"(?iu)(?<=[.!?])[ \t]+(?={V.any_of(V.PLACE_LABELS)}[ \t]*:)", "\n"), r"\r?\n")
-    pinned = F.nullif(F.trim(F.regexp_extract(text, r"(?m)^\s*📍\s*([^|\n]{1,120})", 1)), F.lit(""))
-    alone = let(cities_in(text), lambda city: F.when(F.size(city) == 1, F.element_at(city, 1)))
-    known = F.struct(F.when(has(text, V.PLACE_LABELS), let(parts, labelled)).alias("by"), pinned.alias("pinned"), alone.alias("city"))
+    apart = F.regexp_replace(text, rf"(?iu)(?<=[.!?])[ \t]+(?={V.any_of(V.PLACE_LABELS)}[ \t]*:)", "\n")
+    parts = F.split(F.when(contains_any(text, tuple(mark + blank for mark in ".!?" for blank in " \t")), apart).otherwise(text), r"\r?\n")
+    pinned = F.when(may(seen, PIN), F.nullif(F.trim(F.regexp_extract(text, r"(?m)^\s*📍\s*([^|\n]{1,120})", 1)), F.lit("")))
+    alone = let(cities_in(text, seen), lambda city: F.when(F.size(city) == 1, F.element_at(city, 1)))
+    by = F.when(has(text, V.PLACE_LABELS, seen=seen), let(parts, labelled))
+    known = F.struct(by.alias("by"), pinned.alias("pinned"), alone.alias("city"))
 
     def chosen(k):
         method = F.when(k["by"]["direct"].isNotNull(), "labelled").when(k["by"]["listed"].isNotNull(), "bullets").when(k["pinned"].isNotNull(), "pinned").when(k["city"].isNotNull(), "city")
@@ -388,17 +376,20 @@ def location(text: Column) -> Column:
 
 
 # Labels, reasons and classes below are fixed values, as is the order of their tests.
-def post_verdict(text: Column, city: str | None = None, duplicate: Column | None = None) -> Column:
+def post_verdict(text: Column, city: str | None = None, duplicate: Column | None = None, seen: Column | None = None) -> Column:
     """Struct of label, reason and eligible, the first that fits of: duplicate, request,
     sale, service (the first three lines offer no rent), guides, another city than the
     given one, commercial, vehicles, offer, uncertain, unrelated."""
+    if seen is not None:
+        return _post_verdict(text, folded(text), city, duplicate, seen)
     return let(folded(text), lambda low: _post_verdict(text, low, city, duplicate))
 
 
-def _post_verdict(text: Column, low: Column, city: str | None, duplicate: Column | None) -> Column:
+def _post_verdict(text: Column, low: Column, city: str | None, duplicate: Column | None, seen: Column | None = None) -> Column:
     lines = F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != "")
     head = F.array_join(F.slice(lines, 1, 3), "\n")
-    renting, home, money = has(text, V.RENTING, low), has(text, V.PROPERTY, low), contains_any(low, (*[w.removesuffix("*") for ws in V.CURRENCIES.values() for w in ws if len(w) > 1 or not w.isalpha()], "triệu", "million", "tỷ", "млн", "млрд", "price", "цена", "giá"))
+    names = lambda words: has(text, words, low, seen)
+    renting, home, money = names(V.RENTING), names(V.PROPERTY), may(seen, V.MONEY) & contains_any(low, V.MONEY)
     # sentences on other places, or on what the channel offers besides, don't place the listing
     said = F.flatten(F.transform(lines, lambda x: F.split(x, r"(?<=[.!?])\s+")))
     named = F.filter(said, lambda x: ~has(x, V.ELSEWHERE))
@@ -406,14 +397,14 @@ def _post_verdict(text: Column, low: Column, city: str | None, duplicate: Column
     other = F.lit(False) if city is None else _elsewhere(place, city)
     cases = [
         (F.coalesce(duplicate, F.lit(False)) if duplicate is not None else F.lit(False), "duplicate", "stable-identity-already-seen"),
-        (has(text, V.REQUEST, low), "request", "seeking-accommodation"),
-        (has(text, V.SALE, low), "sale", "sale-intent"),
-        (has(text, (*V.SERVICE, "cleaning of"), low) & ~has(head, V.RENTING), "service", "service-advertisement"),
-        (has(text, V.GUIDE, low), "unrelated", "informational-market-content"),
+        (names(V.REQUEST), "request", "seeking-accommodation"),
+        (names(V.SALE), "sale", "sale-intent"),
+        (names(V.SERVICES) & ~has(head, V.RENTING), "service", "service-advertisement"),
+        (names(V.GUIDE), "unrelated", "informational-market-content"),
         (other, "wrong-location", "explicit-other-city"),
-        (has(text, V.COMMERCIAL, low), "commercial", "commercial-premises"),
-        (~home & has(text, V.VEHICLES, low), "unrelated", "non-housing-rental"),
-        (home & (renting | money | has(text, V.BOOKING, low)), "offer", "rental-evidence"),
+        (names(V.COMMERCIAL), "commercial", "commercial-premises"),
+        (~home & names(V.VEHICLES), "unrelated", "non-housing-rental"),
+        (home & (renting | money | names(V.BOOKING)), "offer", "rental-evidence"),
         (home | money, "uncertain", "insufficient-rental-evidence"),
     ]
     out = F.struct(F.lit("unrelated").alias("label"), F.lit("no-accommodation-evidence").alias("reason"), F.lit(False).alias("eligible"))
@@ -465,16 +456,17 @@ def audience(text: Column) -> Column:
 
 def parse_listing(text: Column, published: Column) -> Column:
     """All attributes of a listing's text as one struct."""
-    quote = rent_quote(text)
+    quote, seen = rent_quote(text), clues(text)
     # what the chosen rent is for; a text about one home describes it as a whole
     scope = quote["scope"]
     layout = F.coalesce(scope, text)
+    counted = lambda words, pattern, digits=2: F.when(may(seen, words), count_of(text, pattern, digits))
     return F.struct(
-        kind_of(text, scope).alias("kind"), location(text).alias("location"), language(text).alias("language"), quote.alias("rent"),
-        bedrooms(layout).alias("bedrooms"), count_of(text, BATHROOM).alias("bathrooms"), count_of(text, BED).alias("beds"), beds_range(text).alias("beds_range"), count_of(text, GUEST, 3).alias("guests"),
-        area(text).alias("area"), floor(text).alias("floor"), lease_terms(text).alias("lease"), deposit_money(text).alias("deposit"), amenities(text).alias("amenities"), utility_charges(text).alias("utilities"),
-        furnished(text).alias("furnished"), pets_allowed(text).alias("pets_allowed"), utilities_included(text).alias("utilities_included"), availability(text).alias("availability"), F.when(has(text, V.GONE), False).when(has(text, V.OPEN), True).alias("available_now"),
-        available_from(text, published).alias("available_from"), coordinates(text).alias("coordinates"), property_id(text).alias("property_id"), contacts(text).alias("contacts"), labeled_fields(text).alias("labeled_fields"),
+        kind_of(text, scope, seen).alias("kind"), location(text, seen).alias("location"), language(text, seen).alias("language"), quote.alias("rent"),
+        bedrooms(layout, seen).alias("bedrooms"), counted(V.BATHROOMS, BATHROOM).alias("bathrooms"), counted(V.BEDS, BED).alias("beds"), beds_range(text, seen).alias("beds_range"), counted(V.GUESTS, GUEST, 3).alias("guests"),
+        area(text).alias("area"), F.when(may(seen, V.FLOOR_LABELS), floor(text)).alias("floor"), lease_terms(text).alias("lease"), deposit_money(text, seen).alias("deposit"), amenities(text, seen).alias("amenities"), utility_charges(text, seen).alias("utilities"),
+        furnished(text, seen).alias("furnished"), pets_allowed(text, seen).alias("pets_allowed"), utilities_included(text, seen).alias("utilities_included"), availability(text, seen).alias("availability"), F.when(has(text, V.GONE, seen=seen), False).when(has(text, V.OPEN, seen=seen), True).alias("available_now"),
+        available_from(text, published, seen).alias("available_from"), coordinates(text, seen).alias("coordinates"), property_id(text, seen).alias("property_id"), contacts(text, seen).alias("contacts"), labeled_fields(text).alias("labeled_fields"),
     )
 
 

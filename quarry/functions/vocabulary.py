@@ -5,6 +5,8 @@ letter that may be missing or one of several."""
 
 from __future__ import annotations
 
+import unicodedata
+
 # The names on the left are fixed values; which words stand for them is this library's own
 # choice, by the rules that functions state.
 LANGUAGES = {
@@ -121,6 +123,27 @@ CITIES = {
 PLACE_LABELS = ("location", "address", "area", "district", "локация", "адрес", "район", "местоположение", "địa chỉ", "vị trí", "khu vực", "quận")
 #: Lines that speak of places without naming that of the listing.
 ELSEWHERE = ("view of", "view to", "вид на", "trip to", "trips to", "transfer", "трансфер*", "поездк*", "экскурси*", "agency", "агентств*", "channel", "канал*", "kênh", "also publish*", "также публик*")
+BEDROOMS, BATHROOMS = ("bedroom", "bedrooms", "br", "bhk", "pn", "спальн*", "phòng ngủ"), ("bathroom", "bathrooms", "wc", "сануз*", "phòng tắm")
+BEDS, GUESTS, ROOMS = ("bed", "beds", "кроват*", "giường"), ("guest", "guests", "гост*", "khách"), ("room", "rooms", "комнат*", "phòng")
+FLOOR_LABELS = ("floor", "этаж", "tầng", "lầu")
+#: Small numbers in words, in front of what they count.
+NUMBER_WORDS = {1: ("one", "одна", "одной", "одну", "một"), 2: ("two", "две", "двух", "двумя", "hai"), 3: ("three", "три", "тремя", "ba"), 4: ("four", "четыре", "четырьмя", "bốn"), 5: ("five", "пять", "пятью", "năm")}
+NUMBERS = tuple(w for words in NUMBER_WORDS.values() for w in words)
+PETS = ("pet", "pets", "cat*", "dog*", "animal*", "животн*", "питом*", "собак*", "кошк*", "thú cưng")
+UTILITY_WORDS = ("utilities", "bills", "utility bills", "electric*", "water", "коммунал*", "электрич*", "điện nước", "điện")
+APART = ("not included", "excluded", "extra", "separately", "by meter", "metered", "отдельно", "не включены", "не входят", "по счётчик*", "по счетчик*", "chưa bao gồm", "không bao gồm", "riêng")
+INCLUDED, INCLUDING, EXCLUDING = ("included", "включены", "входят", "miễn phí"), ("including", "includes", "включая", "bao gồm", "bao"), ("excluding", "without", "plus", "chưa bao gồm", "không bao gồm")
+#: What is said of pets and utilities: phrases of words, other words between them.
+PETS_KEPT = ((PETS, ("allowed", "welcome", "ok", "accepted", "разреш*")), (("можно с", "можно со", "разреш*", "allow*", "welcome", "cho phép", "được nuôi"), PETS))
+PETS_BANNED = ((("no", "without", "без", "нельзя с", "не", "không"), PETS), (PETS, ("not allowed", "not accepted", "forbidden", "запрещ*", "нельзя")), (PETS, ("not",), ("allowed", "welcome")))
+#: Each phrase has one of these beside the word for a pet.
+KEPT_WORDS, BANNED_WORDS = (tuple(w for phrase in parts for words in phrase if words is not PETS for w in words) for parts in (PETS_KEPT, PETS_BANNED))
+UTILITIES_IN, UTILITIES_OUT = ((UTILITY_WORDS, INCLUDED), (INCLUDING, UTILITY_WORDS)), ((UTILITY_WORDS, APART), (EXCLUDING, UTILITY_WORDS))
+#: Words before the day from which a home is free, and before codes.
+FROM, CODE_LABELS = ("available from", "from", "свободн* с", "доступн* с", "освободится", "trống từ"), ("id", "код", "mã")
+#: What tells that a text speaks of money.
+MONEY = (*[w.removesuffix("*") for ws in CURRENCIES.values() for w in ws if len(w) > 1 or not w.isalpha()], "triệu", "million", "tỷ", "млн", "млрд", "price", "цена", "giá")
+SERVICES = (*SERVICE, "cleaning of")
 CONTACT_WORDS = ("contact*", "whatsapp", "phone", "tel", "контакт*", "телефон*", "liên hệ")
 
 
@@ -145,6 +168,17 @@ def any_of(words: tuple[str, ...], letter: str = r"\p{L}") -> str:
     return "(?:" + "|".join(([f"(?<!{letter})(?:{'|'.join(solids)})"] if solids else []) + others) + ")"
 
 
+def phrases(parts: tuple, letter: str = r"\p{L}") -> str:
+    """A pattern of any of several phrases; one or two words may stand between their parts."""
+    gap = rf"\s+(?:(?:{letter}|-)+\s+){{0,2}}"
+    return "(?:" + "|".join(gap.join(any_of(words, letter) for words in phrase) for phrase in parts) + ")"
+
+
+def near(pairs: tuple, letter: str = r"\p{L}") -> str:
+    """A pattern of any of several pairs of words within one sentence."""
+    return "(?:" + "|".join(rf"{any_of(a, letter)}[^.;\n]{{0,40}}{any_of(b, letter)}" for a, b in pairs) + ")"
+
+
 def letters_of(letters: str) -> str:
     """A class of letters as ranges: a class of single ones tries one after the other."""
     codes = sorted(set(map(ord, letters)))
@@ -183,3 +217,8 @@ def _parts(word: str) -> list[str]:
 
 def _plain(text: str) -> str:
     return "".join("\\" + c if c in r".$+*?()[]{}|^\-/" else c for c in text)
+
+
+#: Vietnamese letters beside the plain ones: each vowel with each tone, and đ.
+VIETNAMESE = "".join(sorted({unicodedata.normalize("NFC", v + tone) for v in "aăâeêioôơuưy" for tone in ("", "̀", "́", "̃", "̉", "̣")} - set("aeiouy"))) + "đ"
+LANGUAGE_SCRIPTS = {"ru": "[А-ЯЁа-яё]", "vi": letters_of(VIETNAMESE + VIETNAMESE.upper())}

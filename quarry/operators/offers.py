@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import listing_text as T
+from quarry.functions.clues import clues
 from quarry.functions.url import canonical_url
 from quarry.operators.entities import PHOTOS
 from quarry.operators.value import convert_to_vnd
@@ -39,7 +40,7 @@ def normalize_offers(rows: DataFrame, rates: DataFrame, collected_at: Column) ->
     """
     text = F.coalesce(_said("text"), _said("title"), F.lit(""))
     read = spread(rows).withColumn("_text", text)
-    read = read.withColumns({"_p": T.parse_listing(F.col("_text"), F.coalesce("posted_at", collected_at)), "_v": T.post_verdict(F.col("_text"))["reason"]})
+    read = read.withColumns({"_p": T.parse_listing(F.col("_text"), F.coalesce("posted_at", collected_at)), "_v": T.post_verdict(F.col("_text"), seen=clues(F.col("_text")))["reason"]})
     declared = F.col("amount").isNotNull()
     quoted = F.col("_p.rent.amount").isNotNull()
     url, source = canonical_url(_said("url")), F.coalesce(_said("source_id"), F.lit(UNKNOWN_SOURCE))

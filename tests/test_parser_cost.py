@@ -5,7 +5,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quarry.functions import lease
+from quarry.functions import clues, lease
 from quarry.functions import listing_text as T
 from quarry.functions import pricing as P
 from quarry.functions import vocabulary as V
@@ -120,3 +120,27 @@ def test_lease_terms_are_one_step_of_a_plan(spark):
     """Each text goes through its Arrow function once, however many terms are read."""
     plan = texts.lease_roundtrip(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and len(re.findall(r"terms\(", plan.split("ArrowEvalPython")[1].split("\n")[0])) == 1
+
+
+def test_lines_that_differ_in_numbers_are_searched_once(monkeypatch):
+    find, forms = clues._found, []
+    monkeypatch.setattr(clues, "_found", lambda line: forms.append(line) or find(line))
+    clues.clues_of(pa.array([f"Deposit that no one saw: {n}\n{n} pets, a house" for n in range(1, 10)]))
+    assert forms == ["Deposit that no one saw: 0", "0 pets, a house"]
+
+
+def test_clues_miss_no_words_and_change_no_result(spark):
+    """Words on several lines, in other spellings, inside others, in part and in none."""
+    said = ["For\nrent: no\npets", "sold\nout", "sold, not out", "ＰＥＴＳ welcome", "KITCHEN\nwi-fi", "hai\nphòng ngủ", "1 or 2\nbeds", "долларам", "x gps 12.5, 108.1", "water\nnot included", "", None, "Dài", "a flat, an apart­ment"]
+    texts_ = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, text string")
+    t = F.col("text")
+    rows = texts_.withColumn("seen", clues.clues(t))
+    both = lambda f: F.to_json(F.struct(f(t, seen=None))) == F.to_json(F.struct(f(t, seen=F.col("seen"))))
+    named = [(words, T.has(t, words)) for words in clues._OF_WORDS]
+    got = rows.select(
+        "i", *[both(f) for f in (T.pets_allowed, T.utilities_included, T.amenities, T.utility_charges, T.bedrooms, T.beds_range, T.availability, T.language, T.location, T.contacts, T.coordinates, T.kind_of)],
+        *[T.has(t, words, seen=F.col("seen")).eqNullSafe(found) for words, found in named], *[~found | clues.may(F.col("seen"), words) for words, found in named],
+        (T.post_verdict(t)["reason"].eqNullSafe(T.post_verdict(t, seen=F.col("seen"))["reason"])),
+    ).collect()
+    assert [r.i for r in got if not all(x in (True, None) for x in list(r)[1:])] == []
+    assert rows.where(~clues.may(F.col("seen"), clues.PHONE, clues.EMAIL)).count() == 13
