@@ -22,11 +22,12 @@ def cached_report(spark, sf_dir):
 
 def detail_overlay(spark, sf_dir):
     """Orders as offers, with what the youngest page seen within six days said of them; of
-    equally young ones the first in the table."""
+    equally young ones the first in the table. Pages that say nothing don't count; on one day
+    those without a line number are the youngest."""
     offers = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "available").alias("availability"))
-    pages = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("seen"), F.element_at(F.array(F.lit("Listing has expired"), F.lit("already rented"), F.lit("Available now"), F.lit("see photos")), (F.col("l_partkey") % 4 + 1).cast("int")).alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    pages = table(spark, sf_dir, "lineitem").where("l_partkey IS NOT NULL").select("l_orderkey", "l_linenumber", F.col("l_shipdate").alias("seen"), F.element_at(F.array(F.lit("Listing has expired"), F.lit("already rented"), F.lit("Available now"), F.lit("see photos")), (F.col("l_partkey") % 4 + 1).cast("int")).alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     young = pages.where(filters.is_fresh(F.col("seen"), NOW, "6 days"))
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("seen"), F.desc("l_linenumber"), "file", "row"))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc("seen"), F.desc_nulls_first("l_linenumber"), "file", "row"))
     last = young.withColumn("place", place).where("place = 1").select("l_orderkey", "text")
     state = T.detail_status(F.col("text"), F.lit(None).cast("timestamp_ntz"), NOW)
     joined = offers.join(last, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("state", F.when(F.col("text").isNotNull(), state))
