@@ -181,9 +181,9 @@ def available_from(text: Column, published: Column, seen: Column | None = None)
 
 def _date_of(one: Column, month_name: str, published: Column) -> Column:
     number = lambda pattern: F.regexp_extract(one, pattern, 1).try_cast("int")
-    named = let(F.array_position(F.lit(list(_ENGLISH_MONTHS)), F.regexp_extract(one, f"({'|'.join(_ENGLISH_MONTHS)})", 1)).cast("int"), lambda place: F.when(place > 0, place))
+    by_name = let(F.array_position(F.lit(list(_ENGLISH_MONTHS)), F.regexp_extract(one, f"({'|'.join(_ENGLISH_MONTHS)})", 1)).cast("int"), lambda place: F.when(place > 0, place))
     day = F.coalesce(number(r"^(\d{1,2})(?!\d)"), number(r"^[a-z]+\.?\s+(\d{1,2})"))
-    month = F.coalesce(named, number(r"^\d{1,2}[./](\d{1,2})"))
+    month = F.coalesce(by_name, number(r"^\d{1,2}[./](\d{1,2})"))
     year = F.coalesce(number(r"(\d{4})$"), number(r"^\d{1,2}[./]\d{1,2}[./](\d{2})$") + 2000)
 
     def dated(read: Column) -> Column:
